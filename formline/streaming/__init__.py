@@ -1,0 +1 @@
+"""No streaming operators: daily increments are batch jobs (see ``formline.sources.increments``)."""
