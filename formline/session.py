@@ -48,5 +48,5 @@ def leaf_bytes(df: DataFrame) -> int:
     total = 0
     for i in range(leaves.size()):
         size = leaves.apply(i).stats().sizeInBytes()
-        total += int(size.toString())
+        total += int(str(size))
     return total
