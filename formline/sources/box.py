@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formline import config
 from formline.functions import scalars as S
@@ -26,13 +27,20 @@ TEAM_SCHEMA = (
 )
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], schema: str, time: str = "gameDateTimeEst") -> DataFrame:
-    """Typed CSV scan with ``game_date`` from a time column that mixes forms.
+def read_named(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """CSV columns picked by header name and cast to the declared types.
 
-    Columns are matched by header name, so files may order them differently; a missing one reads as null
-    only for the rows of its file.
+    Files may carry more columns or another order. A declared column that is absent fails at analysis;
+    a value that does not fit its type reads as null.
     """
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    raw = spark.read.csv(path, header=True)
+    declared = T.StructType.fromDDL(schema)
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in declared])
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], schema: str, time: str = "gameDateTimeEst") -> DataFrame:
+    """Typed CSV scan with ``game_date`` from a time column that mixes forms."""
+    rows = read_named(spark, path, schema)
     return rows.withColumn("game_time", S.parse_time(F.col(time))).withColumn("game_date", F.to_date("game_time"))
 
 
@@ -48,7 +56,7 @@ def scan_many(spark: SparkSession, paths: list[str], schemas: list[str]) -> Data
     """Union of files whose columns differ; absent columns are null."""
     out = None
     for path, schema in zip(paths, schemas):
-        one = spark.read.schema(schema).csv(path, header=True)
+        one = read_named(spark, path, schema)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
