@@ -208,8 +208,8 @@ def tags_sql(alias: str = "") -> str:
     )
 
 
-CV_SQL = ("CASE WHEN sm > 0 THEN coalesce(sd5, sd10, CASE prop WHEN 'PTS' THEN 5.0 WHEN 'REB' THEN 2.5 "
-          "WHEN 'AST' THEN 2.0 ELSE 1.0 END) / sm ELSE 1.0 END")
+CV_SQL = ("round(CASE WHEN sm > 0 THEN coalesce(sd5, sd10, CASE prop WHEN 'PTS' THEN 5.0 WHEN 'REB' THEN 2.5 "
+          "WHEN 'AST' THEN 2.0 ELSE 1.0 END) / sm ELSE 1.0 END, 9)")
 RELIABILITY_SQL = (f"CASE WHEN {CV_SQL} < 0.25 THEN 'SNIPER' WHEN {CV_SQL} < 0.45 THEN 'STANDARD' "
                    "ELSE 'VOLATILE' END")
 

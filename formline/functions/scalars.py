@@ -108,6 +108,8 @@ def coefficient_of_variation(prop: Column, by_prop: dict[str, tuple[Column, Colu
 
 
 def reliability(cv: Column) -> Column:
+    """Tag of a coefficient of variation; nine digits, so summation noise cannot cross a limit."""
+    cv = F.round(cv, 9)
     return F.when(cv < 0.25, "SNIPER").when(cv < 0.45, "STANDARD").otherwise("VOLATILE")
 
 
