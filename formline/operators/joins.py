@@ -77,12 +77,14 @@ GRAM = 4
 def _grams(name: Column) -> Column:
     """Every substring of length 1..GRAM, the keys under which a containing name can be found."""
     size = F.length(name)
-    pieces = []
-    for n in range(1, GRAM + 1):
+
+    def of_length(n: int) -> Column:
         starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
             F.array().cast("array<int>")
         )
-        pieces.append(F.transform(starts, lambda i, n=n: F.substr(name, i, F.lit(n))))
+        return F.transform(starts, lambda i: F.substr(name, i, F.lit(n)))
+
+    pieces = [of_length(n) for n in range(1, GRAM + 1)]
     return F.array_distinct(F.concat(*pieces))
 
 
