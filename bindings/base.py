@@ -273,6 +273,15 @@ FRAGMENTS = {
 }
 
 
+def _accuracy_sql(dim: str, value: str) -> str:
+    return (f"SELECT '{dim}' AS dimension, CAST({value} AS VARCHAR) AS value, count(*) AS total, "
+            "count(*) FILTER (WHERE is_correct) * 100.0::DOUBLE / count(*) AS accuracy FROM q_log GROUP BY 2")
+
+
+FRAGMENTS["q_conf"] = " UNION ALL ".join(
+    _accuracy_sql(d, v) for d, v in (("confidence", "confidence2"), ("tier", "tier"), ("prop", "prop")))
+
+
 def with_fragments(body: str) -> str:
     """Prefix the fragments a query mentions, dependencies first."""
     done: dict[str, str] = {}
@@ -286,7 +295,9 @@ def with_fragments(body: str) -> str:
     visit(body)
     if not done:
         return body
-    return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in done.items()) + " " + body
+    shared = ", ".join(f"{n} AS ({s})" for n, s in done.items())
+    own = body.lstrip()
+    return f"WITH {shared}, {own[5:]}" if own.startswith("WITH ") else f"WITH {shared} {own}"
 
 
 QUERIES: dict = {}

@@ -116,7 +116,7 @@ def backtest_daily(df: DataFrame, day: str, prob: str, outcome: str, at_least: f
     p, y = F.col(prob), F.col(outcome)
     bet = p >= at_least
     if two_sided:
-        bet = bet | (p <= 1.0 - at_least)
+        bet = bet | (F.round(1.0 - p, 9) >= at_least)
     win = F.when(p >= 0.5, y == 1).otherwise(y == 0)
     profit = F.when(bet & win, 100).when(bet, -110).otherwise(0)
     daily = df.groupBy(F.col(day).alias("day")).agg(
