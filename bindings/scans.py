@@ -11,9 +11,11 @@ from formline.sources import increments as I
 from formline.sources import odds as O
 from formline.sources import sinks as K
 
-TIME_FORMS = F.when(F.col("game_id") % 3 == 0, F.concat(F.col("game_date").cast("string"), F.lit(" 19:30:00"))).when(
-    F.col("game_id") % 3 == 1, F.concat(F.col("game_date").cast("string"), F.lit("T19:30:00Z"))
-).otherwise(F.col("game_date").cast("string"))
+def time_forms():
+    day, form = F.col("game_date").cast("string"), F.col("game_id") % 3
+    return F.when(form == 0, F.concat(day, F.lit(" 19:30:00"))).when(
+        form == 1, F.concat(day, F.lit("T19:30:00Z"))
+    ).otherwise(day)
 
 
 def player_csv(spark, sf) -> str:
@@ -23,7 +25,7 @@ def player_csv(spark, sf) -> str:
     zero = F.lit(0)
     cols = {
         "personId": c("entity_id"), "gameId": c("game_id"), "firstName": F.lit("Customer"),
-        "lastName": F.substring("c_name", 10, 9), "gameDateTimeEst": TIME_FORMS,
+        "lastName": F.substring("c_name", 10, 9), "gameDateTimeEst": time_forms(),
         "playerteamCity": F.lit("NATION"), "playerteamName": c("team").cast("string"),
         "opponentteamCity": F.lit("NATION"), "opponentteamName": c("opponent").cast("string"),
         "home": c("home"), "win": c("game_id") % 2, "numMinutes": c("minutes"), "points": c("points"),

@@ -9,7 +9,6 @@ from formline.operators.ordered import Frame, rolling, running_total
 
 THRESHOLDS = (0.55, 0.60, 0.65, 0.70)
 CLIP = 1e-15
-ONE = F.lit(1)
 
 
 def share(num: Column, den: Column, scale: float = 1.0) -> Column:
@@ -18,7 +17,7 @@ def share(num: Column, den: Column, scale: float = 1.0) -> Column:
 
 def score_histogram(df: DataFrame, group: list[str], outcome: str, prob: str) -> DataFrame:
     return df.groupBy(*group, F.col(prob).alias("p")).agg(
-        F.count(ONE).alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos")
+        F.count("*").alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos")
     )
 
 
@@ -41,7 +40,7 @@ def metric_columns(y: Column, p: Column) -> list[Column]:
     right = F.coalesce(call.cast("int") == y, F.lit(False))
     safe = F.least(F.greatest(p, F.lit(CLIP)), F.lit(1.0 - CLIP))
     cols = [
-        F.count(ONE).alias("total_bets"),
+        F.count("*").alias("total_bets"),
         F.count_if(right).alias("wins"),
         F.count_if(~right).alias("losses"),
         F.avg(F.when(right, 1.0).otherwise(0.0)).alias("accuracy"),
@@ -94,7 +93,7 @@ def hybrid_metrics(df: DataFrame, first: str, second: str, confidence: str, outc
         return F.avg(v if where is None else F.when(where, v))
 
     cols = [
-        F.count(ONE).alias("total"),
+        F.count("*").alias("total"),
         F.count_if(a).alias("first_correct"), F.count_if(b).alias("second_correct"),
         pct(a).alias("first_accuracy"), pct(b).alias("second_accuracy"),
         F.count_if(differ).alias("disagreements"),
@@ -134,7 +133,7 @@ def calibration_bins(df: DataFrame, prob: str, outcome: str, strict: bool = Fals
 
     bins = (
         df.withColumn("bin", probability_bin(F.col(prob), strict)).groupBy("bin").agg(
-            F.count(ONE).alias("n"),
+            F.count("*").alias("n"),
             F.avg(F.col(outcome).cast("double")).alias("accuracy"),
             F.avg(prob).alias("confidence"),
         )
@@ -154,7 +153,7 @@ def accuracy_table(df: DataFrame, dims: list[str], correct: str) -> DataFrame:
     cols = [F.col(d) for d in dims]
     rows = df.groupingSets([[c] for c in cols] + [[]], *cols).agg(
         F.grouping_id(*cols).alias("__gid"),
-        F.count(ONE).alias("total"),
+        F.count("*").alias("total"),
         F.count_if(F.col(correct)).alias("correct"),
     )
     k = len(dims)
@@ -196,9 +195,9 @@ def confidence_adjust(df: DataFrame, table: DataFrame, confidence: str, tier: st
 
 def day_at_share(df: DataFrame, day: str, part: float) -> Column:
     """The distinct day at index ``int(part * n_days)``, as a scalar subquery."""
-    days = df.groupBy(F.col(day).alias("__d")).agg(F.count(ONE).alias("__n"))
+    days = df.groupBy(F.col(day).alias("__d")).agg(F.count("*").alias("__n"))
     w = Window.orderBy("__d")
-    numbered = days.select("__d", (F.row_number().over(w) - 1).alias("__i"), F.count(ONE).over(Window.partitionBy()).alias("__days"))
+    numbered = days.select("__d", (F.row_number().over(w) - 1).alias("__i"), F.count("*").over(Window.partitionBy()).alias("__days"))
     return numbered.filter(F.col("__i") == F.floor(F.col("__days") * part)).agg(F.max("__d")).scalar()
 
 
@@ -230,11 +229,11 @@ def time_gap_accuracy(df: DataFrame, day: str, prob: str, outcome: str, part: fl
 def walk_forward_majority(df: DataFrame, day: str, outcome: str, part: float = 0.6, days: int = 30) -> DataFrame:
     """Day by day, predict the majority of strictly earlier rows; accuracy over up to ``days`` days."""
     daily = df.groupBy(F.col(day).alias("d")).agg(
-        F.count(ONE).alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos")
+        F.count("*").alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos")
     )
     rows = rolling(daily, [], ["d"], [Frame("pn", "sum", "n"), Frame("pp", "sum", "pos"), Frame("i", "count", "n")],
                    bounded=True)
-    total = F.count(ONE).over(Window.partitionBy())
+    total = F.count("*").over(Window.partitionBy())
     start = F.floor(F.col("days") * part)
     rows = rows.withColumn("days", total).filter((F.col("i") >= start) & (F.col("i") < start + days))
     right = F.when(F.coalesce(F.col("pp") / F.col("pn"), F.lit(0.0)) > 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
@@ -247,7 +246,7 @@ def walk_forward_majority(df: DataFrame, day: str, outcome: str, part: float = 0
 def label_baseline(df: DataFrame, outcome: str, player: str, prop: str) -> DataFrame:
     """Over and under rates, majority accuracy and how props spread over players, all and by type."""
     y = F.col(outcome).cast("long")
-    per = df.groupBy(prop, player).agg(F.count(ONE).alias("n"), F.sum(y).alias("pos"))
+    per = df.groupBy(prop, player).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
     p = F.col(prop)
     # One row per (scope, player): the overall scope re-sums the per-type rows, not the input.
     scoped = per.withColumn("scope", F.explode(F.array(p, F.lit("ALL")))).groupBy("scope", player).agg(
@@ -255,7 +254,7 @@ def label_baseline(df: DataFrame, outcome: str, player: str, prop: str) -> DataF
     )
     rate = F.sum("pos") / F.sum("n")
     return scoped.groupBy("scope").agg(
-        F.sum("n").alias("samples"), F.count(ONE).alias("players"),
+        F.sum("n").alias("samples"), F.count("*").alias("players"),
         rate.alias("over_rate"), (1.0 - rate).alias("under_rate"),
         F.greatest(rate, 1.0 - rate).alias("majority_accuracy"),
         F.when(rate > 0.5, "OVER").otherwise("UNDER").alias("majority"),
@@ -283,7 +282,7 @@ def importance_share(df: DataFrame, model: str, feature: str, value: str) -> Dat
 def importance_by_feature(shares: DataFrame, model: str, feature: str, top: int = 15) -> DataFrame:
     """Mean share over models and the noise flag, from each model's leading features."""
     lead = shares.filter(F.col("rank") <= top)
-    return lead.groupBy(feature).agg(F.avg("pct").alias("mean_pct"), F.count(ONE).alias("models")).withColumn(
+    return lead.groupBy(feature).agg(F.avg("pct").alias("mean_pct"), F.count("*").alias("models")).withColumn(
         "noise", F.col("mean_pct") < 0.5
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from formline.operators.evaluate import accuracy_table
 from formline.operators.ordered import top_n
 
-ONE = F.lit(1)
 
 
 def session_metrics(log: DataFrame, studies: DataFrame) -> DataFrame:
@@ -18,14 +17,14 @@ def session_metrics(log: DataFrame, studies: DataFrame) -> DataFrame:
     main = accuracy_table(rows, ["tier", "prop", "day", "band"], "is_correct")
     main = main.filter(~((F.col("dimension") == "band") & (F.col("value") == "below 8")))
     tags = rows.select(F.explode("context_tags").alias("tag"), "is_correct").groupBy("tag").agg(
-        F.count(ONE).alias("total"), F.count_if("is_correct").alias("correct")
+        F.count("*").alias("total"), F.count_if("is_correct").alias("correct")
     )
     tags = tags.select(
         F.lit("tag").alias("dimension"), F.col("tag").alias("value"), "total", "correct",
         (F.col("correct") / F.col("total") * 100.0).alias("accuracy"),
     )
     per_day = studies.groupBy(F.coalesce(F.col("game_date").cast("string"), F.lit("Unknown")).alias("value")).agg(
-        F.count(ONE).alias("case_studies")
+        F.count("*").alias("case_studies")
     ).withColumn("dimension", F.lit("day"))
     rows = main.unionByName(tags).join(per_day, ["dimension", "value"], "left")
     return rows.withColumn("case_studies", F.when(F.col("dimension") == "day", F.coalesce("case_studies", F.lit(0))))
@@ -46,7 +45,7 @@ def archetype_counts(studies: DataFrame, recency: list[str], last: int = 50, at_
     recent = studies.orderBy(*[F.desc(c) for c in recency]).limit(last)
     return (
         recent.groupBy("archetype")
-        .agg(F.count(ONE).alias("n"), F.min_by("study_id", F.struct(*recency)).alias("first_study"))
+        .agg(F.count("*").alias("n"), F.min_by("study_id", F.struct(*recency)).alias("first_study"))
         .filter(F.col("n") >= at_least)
     )
 
@@ -57,7 +56,7 @@ def latest_n(df: DataFrame, recency: list[str], n: int = 200) -> DataFrame:
 
 def feature_requests(log: DataFrame, contexts: int = 3, top: int = 10) -> DataFrame:
     """Most requested features with first sight, a few contexts and a priority."""
-    counts = log.groupBy("feature").agg(F.count(ONE).alias("requests"), F.min("timestamp").alias("first_seen"))
+    counts = log.groupBy("feature").agg(F.count("*").alias("requests"), F.min("timestamp").alias("first_seen"))
     lead = counts.orderBy(F.desc("requests"), F.asc("feature")).limit(top)
     shown = top_n(log, ["feature"], ["timestamp", "request_id"], contexts, "__i")
     listed = shown.groupBy("feature").agg(
@@ -74,7 +73,7 @@ def study_lookup(studies: DataFrame, tier: str | None, prop: str | None, tags: l
                  order: list[str], n: int = 5) -> DataFrame:
     """Studies of the tier, the type and any of the tags; a criterion no study meets is skipped."""
     def criterion(hit: Column) -> Column:
-        known = studies.filter(hit).limit(1).agg(F.count(ONE)).scalar()
+        known = studies.filter(hit).limit(1).agg(F.count("*")).scalar()
         return hit | (known == 0)
 
     rows = studies

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ONE = F.lit(1)
 
 
 def profile_freshness(df: DataFrame, day: str, game: str, player: str, cutoff: Column, today: Column) -> DataFrame:
@@ -26,7 +25,7 @@ def profile_dataset(df: DataFrame, day: str, game: str, player: str, season: str
     """
     s, p = F.col(season), F.col(prop)
     pre = df.groupBy(s.alias("season"), p.alias("prop"), F.col(game).alias("g"), F.col(player).alias("pl")).agg(
-        F.count(ONE).alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos"),
+        F.count("*").alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos"),
         F.min(day).alias("lo"), F.max(day).alias("hi"),
     )
     cols = [F.col("season"), F.col("prop")]
@@ -48,7 +47,7 @@ def profile_missing(df: DataFrame, features: list[str]) -> DataFrame:
         F.struct(
             F.lit(f).alias("feature"), F.avg(F.col(f).cast("double")).alias("mean"),
             F.stddev_samp(F.col(f).cast("double")).alias("sd"),
-            (F.count_if(F.col(f).isNull()) / F.count(ONE) * 100.0).alias("missing_pct"),
+            (F.count_if(F.col(f).isNull()) / F.count("*") * 100.0).alias("missing_pct"),
         )
         for f in features
     ])
@@ -63,11 +62,11 @@ def column_groups(df: DataFrame, groups: dict[str, str]) -> dict[str, int]:
 def funnel_counts(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
     """Rows left after each stage and percent of all, one pass; stages apply one after another."""
     kept = F.lit(True)
-    items = [F.struct(F.lit(0).alias("step"), F.lit("all").alias("stage"), F.count(ONE).alias("n"))]
+    items = [F.struct(F.lit(0).alias("step"), F.lit("all").alias("stage"), F.count("*").alias("n"))]
     for i, (name, cond) in enumerate(stages.items(), 1):
         kept = kept & F.coalesce(cond, F.lit(False))
         items.append(F.struct(F.lit(i).alias("step"), F.lit(name).alias("stage"), F.count_if(kept).alias("n")))
-    one = df.agg(F.array(*items).alias("s"), F.count(ONE).alias("total"))
+    one = df.agg(F.array(*items).alias("s"), F.count("*").alias("total"))
     return one.select(F.explode("s").alias("s"), "total").select(
         "s.step", "s.stage", "s.n", (F.col("s.n") / F.greatest("total", F.lit(1)) * 100.0).alias("retained_pct")
     )
@@ -78,12 +77,12 @@ def group_counts(df: DataFrame, dims: list[str]) -> DataFrame:
     pairs = F.array(*[
         F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims
     ])
-    pre = df.groupBy(*dims).agg(F.count(ONE).alias("n"))
+    pre = df.groupBy(*dims).agg(F.count("*").alias("n"))
     return pre.select(F.explode(pairs).alias("d"), "n").groupBy("d.dimension", "d.value").agg(F.sum("n").alias("n"))
 
 
 def per_group(df: DataFrame, key: str) -> DataFrame:
     """Groups covered and rows per group on average and at most."""
-    return df.groupBy(key).agg(F.count(ONE).alias("n")).agg(
-        F.count(ONE).alias("groups"), F.avg("n").alias("mean_rows"), F.max("n").alias("max_rows")
+    return df.groupBy(key).agg(F.count("*").alias("n")).agg(
+        F.count("*").alias("groups"), F.avg("n").alias("mean_rows"), F.max("n").alias("max_rows")
     )

@@ -38,13 +38,20 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/formline-{label}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as parquet and go on from the files: later readers of the result do not repeat its
+    plan, and a lost executor costs a re-read. ``path`` must be reachable by all executors."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(f"spark.formline.{name}", str(default)))
 
 
 def leaf_bytes(df: DataFrame) -> int:
-    """Total size of the files and relations below ``df``, as the optimizer knows it (no job)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Total size of the files and relations below ``df``, from the analyzed plan: no job, no planning."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     total = 0
     for i in range(leaves.size()):
         size = leaves.apply(i).stats().sizeInBytes()
