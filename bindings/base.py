@@ -81,12 +81,8 @@ def box(spark, sf) -> DataFrame:
 def featured(spark, sf) -> DataFrame:
     """Box rows with rolling means and spreads, rest days and season means, one shuffle by entity."""
     stats = {**STATS, "MIN": "minutes"}
-    frames = [
-        *features.mean_frames(stats, features.SPANS[:2]), *features.std_frames(STATS),
-        Frame("__prev", "lag", "game_date", 1),
-    ]
+    frames = [*features.mean_frames(stats, "season"), *features.std_frames(STATS), Frame("__prev", "lag", "game_date", 1)]
     rows = rolling(box(spark, sf), ENTITY, ORDER, frames)
-    rows = rolling(rows, ["entity_id", "season"], ORDER, features.mean_frames(stats, features.SPANS[2:]))
     rest = F.coalesce(F.datediff("game_date", "__prev"), F.lit(7))
     return rows.withColumn("rest_days", rest).withColumn("is_b2b", (F.col("rest_days") == 1).cast("int")).drop("__prev")
 

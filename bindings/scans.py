@@ -129,34 +129,62 @@ def scan_odds_parquet(spark, sf):
     return O.stored_odds(raw, codes(spark, sf))
 
 
+PAYLOAD_MARKETS = ["player_points", "player_rebounds", "player_assists", "player_threes", "player_blocks"]
+
+
 def payloads(spark, sf):
-    """One JSON document per game: books, markets, outcomes. A game has a handful of lines."""
-    r = raw_lines(spark, sf)
-    name = F.when(F.col("market") == "spreads", F.when(F.col("side") == "Over", F.col("home_team")).otherwise(F.col("away_team"))).otherwise(F.col("side"))
-    keys = ["game_id", "home_team", "away_team", "game_date"]
-    o = F.struct(name.alias("name"), F.col("player_name").alias("description"), F.col("line").alias("point"), F.col("odds").alias("price"))
-    m = r.groupBy(*keys, "book", "market").agg(F.collect_list(o).alias("outcomes"))
-    b = m.groupBy(*keys, "book").agg(F.collect_list(F.struct(F.col("market").alias("key"), "outcomes")).alias("markets"))
-    books = F.sort_array(F.collect_list(F.struct(F.col("book").alias("key"), F.col("book").alias("title"), "markets")))
-    e = b.groupBy(*keys).agg(books.alias("bookmakers"))
-    return e.select("game_id", F.to_json(F.struct(
-        F.col("game_id").cast("string").alias("id"), "home_team", "away_team",
-        F.col("game_date").cast("string").alias("commence_time"), "bookmakers")).alias("payload"))
-
-
-@query("flatten_odds_payload", f"""SELECT game_id, home_team, book, {PROP_OF} AS prop, player_name AS player, line, odds
-    FROM ({RAW_SQL}) WHERE side = 'Over' AND market <> 'spreads' AND player_name IS NOT NULL AND line IS NOT NULL""")
+    """One JSON document per order: two books, five player markets, spread and total, both sides."""
+    people = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    o = table(spark, sf, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    home, away = F.concat(F.lit("N"), "c_nationkey"), F.concat(F.lit("A"), k % 30)
+
+    def outcome(name, who, point, price):
+        return F.struct(name.alias("name"), who.alias("description"), point.cast("double").alias("point"), price.cast("int").alias("price"))
+
+    def book(b: int):
+        who = F.when(k % 11 != 0, F.col("c_name"))
+        markets = []
+        for m, key in enumerate(PAYLOAD_MARKETS):
+            point = F.when((k + m) % 7 != 0, (k % 40 + m + b) / 2)
+            sides = [outcome(F.lit(s), who, point, (k % 9) * 30 - 130 + b) for s in ("Over", "Under")]
+            markets.append(F.struct(F.lit(key).alias("key"), F.array(*sides).alias("outcomes")))
+        none = F.lit(None).cast("string")
+        spread = [outcome(home, none, -(k % 15) + b, F.lit(-110)), outcome(away, none, k % 15 - b, F.lit(-110))]
+        total = [outcome(F.lit("Over"), none, k % 45 + 200 + b, F.lit(-110)), outcome(F.lit("Under"), none, k % 45 + 200 + b, F.lit(-110))]
+        markets += [F.struct(F.lit("spreads").alias("key"), F.array(*spread).alias("outcomes")),
+                    F.struct(F.lit("totals").alias("key"), F.array(*total).alias("outcomes"))]
+        name = F.lit(f"book{b}")
+        return F.struct(name.alias("key"), name.alias("title"), F.array(*markets).alias("markets"))
+
+    books = F.when(k % 5 == 0, F.array(book(1))).otherwise(F.array(book(0), book(1)))
+    doc = F.struct(k.cast("string").alias("id"), home.alias("home_team"), away.alias("away_team"),
+                   F.col("o_orderdate").cast("string").alias("commence_time"), books.alias("bookmakers"))
+    return o.select(k.alias("game_id"), F.to_json(doc).alias("payload"))
+
+
+PAYLOAD_SQL = """SELECT o_orderkey AS game_id, 'book' || b AS book, CASE m WHEN 0 THEN 'PTS' WHEN 1 THEN 'REB' WHEN 2 THEN 'AST' WHEN 3 THEN '3PM' ELSE 'BLOCKS' END AS prop,
+    c_name AS player, (o_orderkey % 40 + m + b) / 2.0::DOUBLE AS line, CAST((o_orderkey % 9) * 30 - 130 + b AS INTEGER) AS odds
+    FROM orders JOIN customer ON o_custkey = c_custkey, range(2) t(b), range(5) u(m)
+    WHERE o_orderkey % 11 <> 0 AND (o_orderkey + m) % 7 <> 0 AND (b = 1 OR o_orderkey % 5 <> 0)"""
+
+
+@query("flatten_odds_payload", PAYLOAD_SQL)
 def flatten_odds_payload(spark, sf):
     rows = O.flatten_odds_payload(O.parse_payload(payloads(spark, sf), "payload"))
-    return rows.select("game_id", "home_team", "book", "prop", "player", "line", "odds")
+    return rows.select("game_id", "book", "prop", "player", "line", "odds")
+
+
+@query("flatten_one_book", f"SELECT game_id, prop, line FROM ({PAYLOAD_SQL}) WHERE book = 'book0'")
+def flatten_one_book(spark, sf):
+    rows = O.flatten_odds_payload(O.parse_payload(payloads(spark, sf), "payload"), book="book0")
+    return rows.select("game_id", "prop", "line")
 
 
-@query("flatten_game_lines", f"""SELECT game_id, home_team, away_team,
-    abs(max(line) FILTER (WHERE market = 'spreads' AND side = 'Over' AND book = first_book)) AS spread,
-    max(line) FILTER (WHERE market = 'totals' AND side = 'Over' AND book = first_book) AS total
-    FROM (SELECT *, min(book) OVER (PARTITION BY game_id) AS first_book FROM ({RAW_SQL})) GROUP BY ALL""")
+@query("flatten_game_lines", """SELECT o_orderkey AS game_id, CAST(abs(-(o_orderkey % 15) + b) AS DOUBLE) AS spread, CAST(o_orderkey % 45 + 200 + b AS DOUBLE) AS total
+    FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS b FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def flatten_game_lines(spark, sf):
-    return O.flatten_game_lines(O.parse_payload(payloads(spark, sf), "payload"))
+    return O.flatten_game_lines(O.parse_payload(payloads(spark, sf), "payload")).select("game_id", "spread", "total")
 
 
 @query("consolidate_lines", f"""SELECT game_id, player_name, market, arg_min(line, (book, line)) AS line,

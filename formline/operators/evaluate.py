@@ -16,63 +16,61 @@ def share(num: Column, den: Column, scale: float = 1.0) -> Column:
 
 
 def score_histogram(df: DataFrame, group: list[str], outcome: str, prob: str) -> DataFrame:
+    """Rows and positives per distinct score: all that the metrics below need to know."""
     return df.groupBy(*group, F.col(prob).alias("p")).agg(
         F.count("*").alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos")
     )
 
 
-def auc_of_histogram(hist: DataFrame, group: list[str]) -> DataFrame:
-    """Exact AUC with ties from distinct scores: rows below each score come from ordered prefix sums."""
-    ahead = rolling(hist, group, ["p"], [Frame("__below", "sum", "n")])
+def roc_auc() -> Column:
+    """Exact AUC with ties from ``__below``, the rows under each score; no rows are sorted."""
     rank = F.coalesce(F.col("__below"), F.lit(0)) + (F.col("n") + 1) / 2.0
-    sums = ahead.groupBy(*group).agg(
-        F.sum(F.col("pos") * rank).alias("r"),
-        F.sum("pos").cast("double").alias("np"),
-        F.sum(F.col("n") - F.col("pos")).cast("double").alias("nn"),
-    )
-    auc = (F.col("r") - F.col("np") * (F.col("np") + 1.0) / 2.0) / (F.col("np") * F.col("nn"))
-    return sums.select(*group, F.when((F.col("np") > 0) & (F.col("nn") > 0), auc).alias("roc_auc"))
+    n_pos, n_neg = F.sum("pos").cast("double"), F.sum(F.col("n") - F.col("pos")).cast("double")
+    auc = (F.sum(F.col("pos") * rank) - n_pos * (n_pos + 1.0) / 2.0) / (n_pos * n_neg)
+    return F.when((n_pos > 0) & (n_neg > 0), auc)
 
 
-def metric_columns(y: Column, p: Column) -> list[Column]:
-    """Aggregates of the one-pass metrics."""
+def metric_columns() -> list[Column]:
+    """Metrics as sums over the histogram."""
+    p, n, pos = F.col("p"), F.col("n"), F.col("pos")
+    neg = n - pos
     call = p >= 0.5
-    right = F.coalesce(call.cast("int") == y, F.lit(False))
+    total, wins = F.sum(n), F.sum(F.when(call, pos).otherwise(neg))
     safe = F.least(F.greatest(p, F.lit(CLIP)), F.lit(1.0 - CLIP))
+
+    def rows(cond: Column, value: Column) -> Column:
+        return F.sum(F.when(cond, value).otherwise(0))
+
     cols = [
-        F.count("*").alias("total_bets"),
-        F.count_if(right).alias("wins"),
-        F.count_if(~right).alias("losses"),
-        F.avg(F.when(right, 1.0).otherwise(0.0)).alias("accuracy"),
-        F.avg(-F.when(y == 1, F.log(safe)).otherwise(F.log(1.0 - safe))).alias("log_loss"),
-        F.avg((p - y) * (p - y)).alias("brier_score"),
-        F.count_if(call & (y == 1)).alias("true_positives"),
-        F.count_if(~call & (y == 0)).alias("true_negatives"),
-        F.count_if(call & (y == 0)).alias("false_positives"),
-        F.count_if(~call & (y == 1)).alias("false_negatives"),
+        total.alias("total_bets"), wins.alias("wins"), (total - wins).alias("losses"),
+        (wins / total).alias("accuracy"),
+        (F.sum(-(pos * F.log(safe) + neg * F.log(1.0 - safe))) / total).alias("log_loss"),
+        (F.sum(pos * (p - 1.0) * (p - 1.0) + neg * p * p) / total).alias("brier_score"),
+        roc_auc().alias("roc_auc"),
+        rows(call, pos).alias("true_positives"), rows(~call, neg).alias("true_negatives"),
+        rows(call, neg).alias("false_positives"), rows(~call, pos).alias("false_negatives"),
+        ((wins * 210 - total * 110) / (total * 110)).alias("simulated_roi"),
+        ((wins * 100 - (total - wins) * 110) / 100.0).alias("profit_units"),
     ]
     for t in THRESHOLDS:
         name = int(round(t * 100))
-        cols.append(F.avg(F.when(p >= t, y.cast("double"))).alias(f"hit_rate_{name}"))
-        cols.append(F.count_if(p >= t).alias(f"n_bets_{name}"))
+        bets = rows(p >= t, n)
+        cols += [share(rows(p >= t, pos), bets).alias(f"hit_rate_{name}"), bets.alias(f"n_bets_{name}")]
     return cols
 
 
+def metrics_of_histogram(hist: DataFrame, group: list[str]) -> DataFrame:
+    ahead = rolling(hist, group, ["p"], [Frame("__below", "sum", "n")])
+    return ahead.groupBy(*group).agg(*metric_columns())
+
+
 def binary_metrics(df: DataFrame, outcome: str, prob: str, group: list[str] | None = None,
                    at_least: int = 1) -> DataFrame:
     """Accuracy, log-loss, Brier, AUC, hit rates, wins, flat-stake return and confusion counts."""
     keys = list(group or [])
-    rows = df if keys else df.withColumn("__one", F.lit(1))
-    by = keys or ["__one"]
-    y, p = F.col(outcome).cast("int"), F.col(prob)
-    main = rows.groupBy(*by).agg(*metric_columns(y, p)).filter(F.col("total_bets") >= at_least)
-    auc = auc_of_histogram(score_histogram(rows, by, outcome, prob), by)
-    main = main.join(auc, by)
-    wagered = F.col("total_bets") * 110
-    out = main.withColumn(
-        "simulated_roi", (F.col("wins") * 210 - wagered) / wagered
-    ).withColumn("profit_units", (F.col("wins") * 100 - F.col("losses") * 110) / 100.0)
-    return out if keys else out.drop("__one")
+    rows = df.filter(F.col(outcome).isNotNull() & F.col(prob).isNotNull())
+    out = metrics_of_histogram(score_histogram(rows, keys, outcome, prob), keys)
+    return out.filter(F.col("total_bets") >= at_least)
 
 
 def metrics_by_type(df: DataFrame, outcome: str, prob: str, prop: str, at_least: int = 5) -> DataFrame:
@@ -170,27 +168,35 @@ def accuracy_table(df: DataFrame, dims: list[str], correct: str) -> DataFrame:
 
 
 def confidence_adjust(df: DataFrame, table: DataFrame, confidence: str, tier: str, prop: str) -> DataFrame:
-    """Lower a confidence whose past accuracy fell short; weak tiers and types cost one more each."""
-    def part(dim: str, key: str) -> DataFrame:
-        return table.filter(F.col("dimension") == dim).select(
-            F.col("value").alias(key), F.col("total").alias(f"{key}_n"), F.col("accuracy").alias(f"{key}_acc")
-        )
+    """Lower a confidence whose past accuracy fell short; weak tiers and types cost one more each.
+
+    The table holds ten confidences and the tier and type names, so it enters as one map (a scalar
+    subquery) and the predictions are neither joined nor shuffled.
+    """
+    kept = table.filter(
+        F.col("dimension").isin("tier", "prop")
+        | ((F.col("dimension") == "confidence") & F.col("value").isin(*[str(i) for i in range(1, 11)]))
+    )
+    entry = F.struct(F.concat_ws(":", "dimension", "value").alias("k"), F.struct("total", "accuracy").alias("v"))
+    past = kept.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
-    c = F.col(confidence)
-    rows = df.join(part("confidence", "__c"), c.cast("string") == F.col("__c"), "left")
-    rows = rows.join(part("tier", "__t"), F.col(tier) == F.col("__t"), "left")
-    rows = rows.join(part("prop", "__p"), F.col(prop) == F.col("__p"), "left")
-    known = F.coalesce(F.col("__c_n") >= 10, F.lit(False))
-    short = F.when(F.col("__c_acc") < 50 + (c - 5) * 10 - 10, 1).otherwise(0)
+    def of(dim: str, key: Column) -> Column:
+        return F.try_element_at("__past", F.concat_ws(":", F.lit(dim), key.cast("string")))
 
-    def weak(k: str) -> Column:
-        return F.when((F.col(f"{k}_n") >= 10) & (F.col(f"{k}_acc") < 50), 1).otherwise(0)
+    def weak(entry: str) -> Column:
+        return F.when((F.col(f"{entry}.total") >= 10) & (F.col(f"{entry}.accuracy") < 50), 1).otherwise(0)
 
+    c = F.col(confidence)
+    rows = df.withColumn("__past", past).withColumns({
+        "__c": of("confidence", c), "__t": of("tier", F.col(tier)), "__p": of("prop", F.col(prop)),
+    })
+    known = F.coalesce(F.col("__c.total") >= 10, F.lit(False))
+    short = F.when(F.col("__c.accuracy") < 50 + (c - 5) * 10 - 10, 1).otherwise(0)
     first = F.least(F.greatest(c - short, F.lit(1)), F.lit(10))
     second = F.greatest(first - weak("__t"), F.lit(1))
     third = F.greatest(second - weak("__p"), F.lit(1))
     out = rows.withColumn("calibrated_confidence", F.when(known, third).otherwise(c).cast("int"))
-    return out.drop(*[f"{k}{s}" for k in ("__c", "__t", "__p") for s in ("", "_n", "_acc")])
+    return out.drop("__past", "__c", "__t", "__p")
 
 
 def day_at_share(df: DataFrame, day: str, part: float) -> Column:
@@ -218,12 +224,13 @@ def time_gap_accuracy(df: DataFrame, day: str, prob: str, outcome: str, part: fl
         F.sum("n").alias("n"), F.sum("pos").alias("pos")
     )
     over = F.col("p") > 0.5
-    main = spread.groupBy("gap").agg(
-        F.sum("n").alias("test_size"),
-        (F.sum(F.when(over, F.col("pos")).otherwise(F.col("n") - F.col("pos"))) / F.sum("n")).alias("accuracy"),
-    ).filter(F.col("test_size") >= at_least)
-    auc = auc_of_histogram(spread, ["gap"]).withColumn("roc_auc", F.coalesce("roc_auc", F.lit(0.5)))
-    return main.join(auc, "gap")
+    right = F.sum(F.when(over, F.col("pos")).otherwise(F.col("n") - F.col("pos")))
+    out = rolling(spread, ["gap"], ["p"], [Frame("__below", "sum", "n")]).groupBy("gap").agg(
+        F.sum("n").alias("total_bets"), (right / F.sum("n")).alias("accuracy"), roc_auc().alias("roc_auc")
+    )
+    return out.filter(F.col("total_bets") >= at_least).select(
+        "gap", F.col("total_bets").alias("test_size"), "accuracy", F.coalesce("roc_auc", F.lit(0.5)).alias("roc_auc")
+    )
 
 
 def walk_forward_majority(df: DataFrame, day: str, outcome: str, part: float = 0.6, days: int = 30) -> DataFrame:

@@ -10,13 +10,15 @@ from formline.operators.ordered import Frame, ranked, rolling
 SPANS = (("L5", 5), ("L10", 10), ("Season", None))
 
 
-def mean_frames(stats: dict[str, str], spans=SPANS, suffix: str = "", infix: str = "_Avg_") -> list[Frame]:
-    """Frames for every (span, stat): ``{"PTS": "points"}`` gives ``L5_Avg_PTS`` and so on."""
-    return [
-        Frame(f"{label}{infix}{stat}{suffix}", "mean", col, rows)
-        for label, rows in spans
-        for stat, col in stats.items()
-    ]
+def mean_frames(stats: dict[str, str], season: str | None = None, spans=SPANS, suffix: str = "",
+                infix: str = "_Avg_", by: tuple[str, ...] = ()) -> list[Frame]:
+    """Frames for every (span, stat): ``{"PTS": "points"}`` gives ``L5_Avg_PTS`` and so on. The
+    unbounded span restarts with the ``season`` column where one is given."""
+    frames = []
+    for label, rows in spans:
+        keys = (*by, season) if season and rows is None else by
+        frames += [Frame(f"{label}{infix}{stat}{suffix}", "mean", col, rows, keys) for stat, col in stats.items()]
+    return frames
 
 
 def std_frames(stats: dict[str, str], spans=SPANS[:2]) -> list[Frame]:
@@ -29,18 +31,18 @@ def std_frames(stats: dict[str, str], spans=SPANS[:2]) -> list[Frame]:
 
 def rolling_mean(df: DataFrame, entity: list[str], order: list[str], stats: dict[str, str],
                  season: str | None = None) -> DataFrame:
-    """Last-5, last-10 and season-to-date means. The season restarts where ``season`` is given."""
-    recent = rolling(df, entity, order, mean_frames(stats, SPANS[:2]))
-    return rolling(recent, entity + ([season] if season else []), order, mean_frames(stats, SPANS[2:]))
+    """Last-5, last-10 and season-to-date means."""
+    return rolling(df, entity, order, mean_frames(stats, season))
+
+
+def venue_frames(stats: dict[str, str], split: str, season: str | None = None) -> list[Frame]:
+    return mean_frames(stats, season, (SPANS[0], SPANS[2]), "_SameVenue", by=(split,))
 
 
 def rolling_mean_split(df: DataFrame, entity: list[str], split: str, order: list[str],
                        stats: dict[str, str], season: str | None = None) -> DataFrame:
     """The same inside one context (home or away): last 5 and season to date."""
-    suffix = "_SameVenue"
-    recent = rolling(df, [*entity, split], order, mean_frames(stats, SPANS[:1], suffix))
-    keys = [*entity, split] + ([season] if season else [])
-    return rolling(recent, keys, order, mean_frames(stats, SPANS[2:], suffix))
+    return rolling(df, entity, order, venue_frames(stats, split, season))
 
 
 def rolling_std(df: DataFrame, entity: list[str], order: list[str], stats: dict[str, str]) -> DataFrame:
@@ -127,9 +129,7 @@ def team_rates(joined: DataFrame) -> DataFrame:
 def rolling_team(df: DataFrame, entity: list[str], order: list[str], season: str | None = None) -> DataFrame:
     """Last-5, last-10 and season-to-date means of the seven team metrics."""
     stats = {m: f"{m}_Game" for m in TEAM_METRICS}
-    recent = rolling(df, entity, order, mean_frames(stats, SPANS[:2], infix="_"))
-    keys = entity + ([season] if season else [])
-    return rolling(recent, keys, order, mean_frames(stats, SPANS[2:], infix="_"))
+    return rolling(df, entity, order, mean_frames(stats, season, infix="_"))
 
 
 def daily_rank(df: DataFrame, day: str) -> DataFrame:

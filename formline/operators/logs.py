@@ -11,23 +11,29 @@ from formline.operators.ordered import top_n
 
 
 def session_metrics(log: DataFrame, studies: DataFrame) -> DataFrame:
-    """Accuracy overall, by tier, type, tag, day and at high confidence; studies counted per day."""
-    rows = log.withColumn("band", F.when(F.col("confidence") >= 8, "8+").otherwise("below 8"))
-    rows = rows.withColumn("day", F.coalesce(F.col("game_date").cast("string"), F.lit("Unknown")))
-    main = accuracy_table(rows, ["tier", "prop", "day", "band"], "is_correct")
-    main = main.filter(~((F.col("dimension") == "band") & (F.col("value") == "below 8")))
-    tags = rows.select(F.explode("context_tags").alias("tag"), "is_correct").groupBy("tag").agg(
+    """Accuracy overall, by tier, type, tag, day and at high confidence; studies counted per day.
+
+    Each row states the (dimension, value) pairs it counts under, so one pass and one reduce do it all.
+    """
+    day = F.coalesce(F.col("game_date").cast("string"), F.lit("Unknown"))
+
+    def pair(dimension: str, value: Column) -> Column:
+        return F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
+
+    fixed = F.array_compact(F.array(
+        pair("overall", F.lit("all")), pair("tier", F.col("tier")), pair("prop", F.col("prop")), pair("day", day),
+        F.when(F.col("confidence") >= 8, pair("band", F.lit("8+"))),
+    ))
+    tags = F.transform("context_tags", lambda t: pair("tag", t))
+    rows = log.select("is_correct", F.explode(F.concat(fixed, tags)).alias("d")).groupBy("d.dimension", "d.value").agg(
         F.count("*").alias("total"), F.count_if("is_correct").alias("correct")
     )
-    tags = tags.select(
-        F.lit("tag").alias("dimension"), F.col("tag").alias("value"), "total", "correct",
-        (F.col("correct") / F.col("total") * 100.0).alias("accuracy"),
+    per_day = studies.groupBy(day.alias("value")).agg(F.count("*").alias("case_studies"))
+    per_day = per_day.withColumn("dimension", F.lit("day"))
+    rows = rows.join(per_day, ["dimension", "value"], "left")
+    return rows.withColumn("accuracy", F.col("correct") / F.col("total") * 100.0).withColumn(
+        "case_studies", F.when(F.col("dimension") == "day", F.coalesce("case_studies", F.lit(0)))
     )
-    per_day = studies.groupBy(F.coalesce(F.col("game_date").cast("string"), F.lit("Unknown")).alias("value")).agg(
-        F.count("*").alias("case_studies")
-    ).withColumn("dimension", F.lit("day"))
-    rows = main.unionByName(tags).join(per_day, ["dimension", "value"], "left")
-    return rows.withColumn("case_studies", F.when(F.col("dimension") == "day", F.coalesce("case_studies", F.lit(0))))
 
 
 def parlay_stats(slips: DataFrame) -> DataFrame:
@@ -72,18 +78,20 @@ def feature_requests(log: DataFrame, contexts: int = 3, top: int = 10) -> DataFr
 def study_lookup(studies: DataFrame, tier: str | None, prop: str | None, tags: list[str] | None,
                  order: list[str], n: int = 5) -> DataFrame:
     """Studies of the tier, the type and any of the tags; a criterion no study meets is skipped."""
-    def criterion(hit: Column) -> Column:
-        known = studies.filter(hit).limit(1).agg(F.count("*")).scalar()
-        return hit | (known == 0)
-
-    rows = studies
+    hits = {}
     if tier:
-        rows = rows.filter(criterion(F.col("tier") == tier))
+        hits["tier"] = F.col("tier") == tier
     if prop:
-        rows = rows.filter(criterion(F.col("prop") == prop))
+        hits["prop"] = F.col("prop") == prop
     if tags:
-        wanted = F.array(*[F.lit(t) for t in tags])
-        rows = rows.filter(criterion(F.arrays_overlap("context_tags", wanted)))
+        hits["tags"] = F.arrays_overlap("context_tags", F.array(*[F.lit(t) for t in tags]))
+    rows = studies
+    if hits:
+        met = studies.agg(F.struct(*[F.bool_or(h).alias(k) for k, h in hits.items()])).scalar()
+        rows = rows.withColumn("__met", met)
+        for k, h in hits.items():
+            rows = rows.filter(h | ~F.coalesce(F.col(f"__met.{k}"), F.lit(False)))
+        rows = rows.drop("__met")
     return rows.orderBy(*order).limit(n)
 
 

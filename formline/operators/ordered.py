@@ -8,6 +8,9 @@ per-piece counts, and the work then runs over chunks of exactly ``splitRows`` po
 k rows sees the k last rows of the chunk before it as copies; an unbounded frame adds the totals of
 earlier chunks. Both paths give the same values.
 
+The check and the split path read their input several times. A large input that is more than a scan is
+therefore written once to the shared folder and read back, so the plan below it runs once.
+
 Order specs are column names; a leading ``-`` means descending. Nulls sort first ascending and last
 descending.
 """
@@ -15,13 +18,14 @@ descending.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formline.session import leaf_bytes, setting
+from formline.session import leaf_bytes, run_dir, setting, staged
 
 SPLIT_ROWS = 4_000_000
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
@@ -38,6 +42,7 @@ class Frame:
     fn: str  # mean | std | sum | count | lag
     col: str
     rows: int | None = None  # None: everything before
+    by: tuple[str, ...] = ()  # further partition columns inside the entity (season, venue)
 
 
 @dataclass
@@ -55,11 +60,31 @@ def split_rows(df: DataFrame) -> int:
     return setting(df.sparkSession, "splitRows", SPLIT_ROWS)
 
 
+SCAN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "Relation", "LogicalRDD", "LocalRelation", "Range"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """True where reading ``df`` again costs no more than reading its source."""
+    tree = df._jdf.queryExecution().analyzed().toString()
+    return set(re.findall(r"^[\s:+\-|]*([A-Z]\w*)", tree, re.M)) <= SCAN_NODES
+
+
+def is_small(df: DataFrame) -> bool:
+    return leaf_bytes(df) <= setting(df.sparkSession, "smallInputBytes", SMALL_INPUT_BYTES)
+
+
+def settled(df: DataFrame, entity: list[str]) -> tuple[DataFrame, Hot | None]:
+    """The input to work on and its hot entities. Inputs that are small as a whole need no job."""
+    if is_small(df):
+        return df, None
+    if not is_scan(df):
+        df = staged(df, run_dir(df.sparkSession, "ordered"))
+    return df, hot_keys(df, entity)
+
+
 def hot_keys(df: DataFrame, entity: list[str]) -> Hot | None:
-    """Entities above the row limit, or None. Inputs that are small as a whole need no job."""
+    """Entities above the row limit, or None: one map-side reduced count."""
     spark = df.sparkSession
-    if leaf_bytes(df) <= setting(spark, "smallInputBytes", SMALL_INPUT_BYTES):
-        return None
     cap = split_rows(df)
     over = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > cap)
     listed = over.limit(LOCAL_KEYS + 1).collect()
@@ -68,22 +93,12 @@ def hot_keys(df: DataFrame, entity: list[str]) -> Hot | None:
     if len(listed) <= LOCAL_KEYS:
         schema = T.StructType([df.schema[c] for c in entity])
         keys = [tuple(r[c] for c in entity) for r in listed]
-        if entity:
-            local = F.broadcast(spark.createDataFrame(keys, schema))
-        else:
-            local = spark.range(1).select()
+        local = F.broadcast(spark.createDataFrame(keys, schema)) if entity else spark.range(1).select()
         return Hot(local, len(listed), max(r["__n"] for r in listed))
     biggest = over.agg(F.max("__n")).first()[0]
     return Hot(over.select(*entity), None, biggest)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _part(df: DataFrame, hot: Hot, entity: list[str], how: str) -> DataFrame:
     if not entity:
         return df if how == "left_semi" else df.filter(F.lit(False))
@@ -160,7 +175,7 @@ def positions(df: DataFrame, entity: list[str], order: list[str], out: str = "po
 
     ``bounded`` states that every entity is small by construction (days, bins, types): no check job.
     """
-    hot = None if bounded else hot_keys(df, entity)
+    df, hot = (df, None) if bounded else settled(df, entity)
     window = Window.partitionBy(*entity).orderBy(*sort_columns(order))
     number = F.row_number().over(window).cast("long").alias(out)
     if hot is None:
@@ -181,14 +196,34 @@ def _over(frame: Frame, base) -> Column:
 
 def rolling(df: DataFrame, entity: list[str], order: list[str], frames: list[Frame],
             bounded: bool = False) -> DataFrame:
-    """Append frame columns that read only rows before the current one."""
-    hot = None if bounded else hot_keys(df, entity)
-    window = Window.partitionBy(*entity).orderBy(*sort_columns(order))
-    plain = [_over(f, window).alias(f.out) for f in frames]
-    if hot is None:
-        return df.select("*", *plain)
-    cold = _part(df, hot, entity, "left_anti").select("*", *plain)
-    return cold.unionByName(_hot_rolling(df, hot, entity, order, frames))
+    """Append frame columns that read only rows before the current one.
+
+    Frames with ``by`` columns run inside finer partitions of the same entity. One exchange on the entity
+    serves them all while no entity is hot; a finer partition can then not be hot either.
+    """
+    columns = df.columns
+    df, hot = (df, None) if bounded else settled(df, entity)
+    groups: dict[tuple[str, ...], list[Frame]] = {}
+    for f in frames:
+        groups.setdefault(f.by, []).append(f)
+    for by, mine in groups.items():
+        keys = [*entity, *by]
+        if hot is not None and by:
+            df, finer = settled(df, keys)
+        else:
+            finer = hot
+        df = _plain(df, keys, order, mine) if finer is None else _split(df, finer, keys, order, mine)
+    return df.select(*columns, *[f.out for f in frames])
+
+
+def _plain(df: DataFrame, keys: list[str], order: list[str], frames: list[Frame]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
+    return df.select("*", *[_over(f, window).alias(f.out) for f in frames])
+
+
+def _split(df: DataFrame, hot: Hot, keys: list[str], order: list[str], frames: list[Frame]) -> DataFrame:
+    cold = _plain(_part(df, hot, keys, "left_anti"), keys, order, frames)
+    return cold.unionByName(_hot_rolling(df, hot, keys, order, frames))
 
 
 def _hot_rolling(df, hot, entity, order, frames) -> DataFrame:
@@ -246,7 +281,7 @@ def _hot_rolling(df, hot, entity, order, frames) -> DataFrame:
 
 def ranked(df: DataFrame, entity: list[str], order: list[str], out: str) -> DataFrame:
     """SQL ``rank()``; hot groups rank their distinct values and join the ranks back."""
-    hot = hot_keys(df, entity)
+    df, hot = settled(df, entity)
     window = Window.partitionBy(*entity).orderBy(*sort_columns(order))
     if hot is None:
         return df.select("*", F.rank().over(window).alias(out))

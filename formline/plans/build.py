@@ -27,22 +27,15 @@ class Columns:
 
 
 def engineer(box: DataFrame, c: Columns, rates: dict | None = None) -> DataFrame:
-    """Every feature of the entity's own history. Frames that share a partition share its window, so the
-    four partitions (entity; entity and season; with and without venue) need one exchange."""
-    order = [c.day, c.game]
+    """Every feature of the entity's own history: four partitions (entity, season, venue, venue and
+    season), one exchange."""
     stats = {**c.stats, "MIN": c.minutes}
     raw = box.select("*", *[v.alias(f"__r_{n}") for n, v in (rates or {}).items()])
-    own = [
-        *features.mean_frames(stats, features.SPANS[:2]), *features.std_frames(c.stats),
+    rows = rolling(raw, [c.entity], [c.day, c.game], [
+        *features.mean_frames(stats, c.season), *features.std_frames(c.stats),
         *[Frame(f"Player_{n}", "mean", f"__r_{n}") for n in rates or {}],
-        Frame("__prev", "lag", c.day, 1),
-    ]
-    rows = rolling(raw, [c.entity], order, own)
-    rows = rolling(rows, [c.entity, c.season], order, features.mean_frames(stats, features.SPANS[2:]))
-    venue = features.mean_frames(c.stats, features.SPANS[:1], "_SameVenue")
-    rows = rolling(rows, [c.entity, c.home], order, venue)
-    season_venue = features.mean_frames(c.stats, features.SPANS[2:], "_SameVenue")
-    rows = rolling(rows, [c.entity, c.home, c.season], order, season_venue)
+        Frame("__prev", "lag", c.day, 1), *features.venue_frames(c.stats, c.home, c.season),
+    ])
     rest = F.coalesce(F.datediff(c.day, "__prev"), F.lit(7))
     rows = features.form_delta(rows, list(c.stats)).withColumn("rest_days", rest)
     return rows.withColumn("is_b2b", (F.col("rest_days") == 1).cast("int")).drop(

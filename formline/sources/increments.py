@@ -40,7 +40,7 @@ def upsert_by_date(stored: DataFrame, new: DataFrame, day: str) -> DataFrame:
 def write_dates(new: DataFrame, path: str, day: str) -> None:
     """The stored form of the same replacement: only the partitions of the new dates are rewritten."""
     (
-        new.repartition(day).write.mode("overwrite")
+        new.hint("rebalance", day).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     )
 
