@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from formline.functions import scalars as S
 from formline.operators import classify, features
 from formline.operators.ordered import Frame, rolling
+from formline.session import run_dir, staged
 
 STATS = {"PTS": "points", "REB": "rebounds", "AST": "assists", "3PM": "threes"}
 ENTITY, ORDER = ["entity_id"], ["game_date", "game_id"]
@@ -125,9 +126,19 @@ def predicted(spark, sf) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a source has fewer splits than cores (small files only)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tagged(spark, sf) -> DataFrame:
-    """Prediction log: predictions with tier, reliability, tags and whether they came in."""
-    rows = classify.player_tier(predicted(spark, sf), "Season_Avg_PTS", "Season_Avg_MIN", "tier")
+    """Prediction log: predictions with tier, reliability, tags and whether they came in.
+
+    The log is a stored table; tier limits and the reports on it read the files, not the plan again.
+    """
+    log = staged(predicted(spark, sf), run_dir(spark, "predictions"))
+    rows = classify.player_tier(log, "Season_Avg_PTS", "Season_Avg_MIN", "tier")
     rows = rows.withColumn("Reliability_Tag", S.reliability(row_cv()))
     return rows.withColumn("context_tags", row_tags()).withColumn(
         "is_correct", (F.col("side") == "OVER") == (F.col("outcome") == 1)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import box, events, featured, labelled, prop_rows, query, r6, r6_sql, season_sql, table, tagged
+from bindings.base import box, events, featured, labelled, prop_rows, query, r6, r6_sql, season_sql, spread, table, tagged
 from formline.functions import scalars as S
 from formline.operators import profile as P
 from formline.session import run_dir
@@ -135,7 +135,7 @@ PAYLOAD_MARKETS = ["player_points", "player_rebounds", "player_assists", "player
 def payloads(spark, sf):
     """One JSON document per order: two books, five player markets, spread and total, both sides."""
     people = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    o = table(spark, sf, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf, "orders")).join(people, F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     home, away = F.concat(F.lit("N"), "c_nationkey"), F.concat(F.lit("A"), k % 30)
 

@@ -32,17 +32,16 @@ def flatten_odds_payload(events: DataFrame, event: str = "event", book: str | No
     if book:
         books = F.filter(books, lambda b: b["key"] == book)
     kept = [c for c in events.columns if c != event]
-    rows = events.select(*kept, e["home_team"].alias("home_team"), e["away_team"].alias("away_team"),
-                         e["commence_time"].alias("commence_time"), F.explode(books).alias("b"))
-    rows = rows.select("*", F.explode("b.markets").alias("m"))
-    rows = rows.select("*", F.explode("m.outcomes").alias("o"))
-    rows = rows.filter(
-        (F.col("o.name") == "Over") & F.col("o.description").isNotNull() & F.col("o.point").isNotNull()
-    )
+    ids = [*kept, "home_team", "away_team", "commence_time"]
+    # explode_outer plus a filter behind it: an inner explode would add a size test that parses again.
+    rows = events.select(*kept, *[e[c].alias(c) for c in ids[len(kept):]], F.explode_outer(books).alias("b"))
+    rows = rows.filter(F.col("b").isNotNull()).select(*ids, F.col("b.key").alias("book"), F.explode("b.markets").alias("m"))
+    rows = rows.select(*ids, "book", market_prop(F.col("m.key")).alias("prop"), F.explode(
+        F.filter("m.outcomes", lambda o: (o["name"] == "Over") & o["description"].isNotNull() & o["point"].isNotNull())
+    ).alias("o"))
     return rows.select(
-        *kept, "home_team", "away_team", "commence_time", F.col("b.key").alias("book"),
-        market_prop(F.col("m.key")).alias("prop"), F.col("o.description").alias("player"),
-        F.col("o.point").alias("line"), F.col("o.price").alias("odds"),
+        *ids, "book", "prop", F.col("o.description").alias("player"), F.col("o.point").alias("line"),
+        F.col("o.price").alias("odds"),
     )
 
 
