@@ -1,6 +1,8 @@
 """Run registered queries on Spark and their SQL on DuckDB and compare the values.
 
-    python -m tests.oracle_check [--sf DIR] [name ...]
+    python -m tests.oracle_check [--sf DIR] [--split ROWS] [name ...]
+
+``--split`` forces the path for hot entities: every entity above ROWS rows is cut into pieces.
 """
 
 from __future__ import annotations
@@ -76,7 +78,15 @@ def main(argv: list[str]) -> int:
         i = argv.index("--sf")
         sf = argv[i + 1]
         del argv[i : i + 2]
+    rows = None
+    if "--split" in argv:
+        i = argv.index("--split")
+        rows = argv[i + 1]
+        del argv[i : i + 2]
     spark = local_session("oracle-check")
+    if rows:
+        spark.conf.set("spark.formline.smallInputBytes", "0")
+        spark.conf.set("spark.formline.splitRows", rows)
     con = connect(sf)
     queries, oracle = entry.queries(), entry.oracle_sql()
     names = argv or list(queries)
