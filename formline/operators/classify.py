@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from formline import config
 from formline.functions import scalars as S
+from formline.operators.ordered import is_small
 
-ACCURACY = 1_000_000
+def accuracy(df: DataFrame) -> int:
+    """Sketch size of percentiles: exact on small inputs, Spark's own default (rank error 1e-4) on large
+    ones, where every task sends its sketch to one reducer."""
+    return 1_000_000 if is_small(df) else 10_000
 
 
 def tier_limits(df: DataFrame, points: str, minutes: str) -> DataFrame:
     """One row of slate percentiles; missing or zero falls back to the fixed defaults."""
+    size = accuracy(df)
+
     def cut(col: str, q: float, name: str) -> Column:
-        return S.or_default(F.percentile_approx(col, q, ACCURACY), config.TIER_DEFAULTS[name]).alias(name)
+        return S.or_default(F.percentile_approx(col, q, size), config.TIER_DEFAULTS[name]).alias(name)
 
     return df.agg(
         cut(points, 0.8, "p80_pts"), cut(minutes, 0.8, "p80_min"),
@@ -127,7 +133,8 @@ def add_severity(df: DataFrame, actual: str, line: str, side: str) -> DataFrame:
 
 def impute_median(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill nulls with the training rows' lower median, 0 where a column is all null."""
-    medians = train.agg(F.struct(*[F.percentile_approx(c, 0.5, ACCURACY).alias(c) for c in columns])).scalar()
+    size = accuracy(train)
+    medians = train.agg(F.struct(*[F.percentile_approx(c, 0.5, size).alias(c) for c in columns])).scalar()
     rows = df.withColumn("__median", medians)
     return rows.select(
         *[c for c in df.columns if c not in columns],

@@ -134,8 +134,5 @@ def rolling_team(df: DataFrame, entity: list[str], order: list[str], season: str
 
 def daily_rank(df: DataFrame, day: str) -> DataFrame:
     """Rank within the day by season-prior figures: 1 allows most; 1 has the lowest rating."""
-    specs = [(f"Rank_Allows_{s}", f"-Season_Allowed_{s}") for s in ("PTS", "REB", "AST", "3PA")]
-    specs.append(("Team_Def_Rank", "Season_Team_Def_Rating"))
-    for out, spec in specs:
-        df = ranked(df, [day], [spec], out)
-    return df
+    ranks = {f"Rank_Allows_{s}": [f"-Season_Allowed_{s}"] for s in ("PTS", "REB", "AST", "3PA")}
+    return ranked(df, [day], {**ranks, "Team_Def_Rank": ["Season_Team_Def_Rating"]})

@@ -71,33 +71,23 @@ def asof_latest(props: DataFrame, history: DataFrame, on: list[str], time: list[
     return props.join(latest, on, "inner").select(props["*"], *[F.col(f"__last.{c}").alias(c) for c in take])
 
 
-GRAM = 4
-
-
-def _grams(name: Column) -> Column:
-    """Every substring of length 1..GRAM, the keys under which a containing name can be found."""
-    size = F.length(name)
-
-    def of_length(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substr(name, i, F.lit(n)))
-
-    pieces = [of_length(n) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*pieces))
-
-
 def containing_names(needles: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (needle, name) with the needle inside the name, both distinct and lower case.
+    """Pairs (needle, name) with the needle inside the name, from distinct needles and names.
 
-    A needle meets only names that share its first characters somewhere, by equality.
+    Each name offers its substrings of the lengths that needles have, and a needle meets its names by
+    equality: only true pairs are formed, however many names share a beginning.
     """
-    left = needles.select("needle").distinct().withColumn(
-        "__g", F.substring("needle", 1, GRAM)
-    ).filter(F.length("needle") > 0)
-    right = names.select("name").distinct().withColumn("__g", F.explode(_grams(F.col("name"))))
-    return left.join(right, "__g").filter(F.col("name").contains(F.col("needle"))).select("needle", "name")
+    left = needles.filter(F.length("needle") > 0).select("needle").distinct()
+    lengths = left.agg(F.collect_set(F.length("needle"))).scalar()
+    size = F.length("name")
+
+    def of_length(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(F.col("name"), i, n))
+
+    fitting = F.filter(F.col("__lengths"), lambda n: n <= size)
+    pieces = F.array_distinct(F.flatten(F.transform(fitting, of_length)))
+    right = names.select("name").distinct().withColumn("__lengths", lengths)
+    return right.select("name", F.explode(pieces).alias("needle")).join(left, "needle").select("needle", "name")
 
 
 def asof_by_last_token(props: DataFrame, history: DataFrame, name: str, kind: str, time: list[str],

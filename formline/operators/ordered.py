@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from formline.session import leaf_bytes, run_dir, setting, staged
 
 SPLIT_ROWS = 4_000_000
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
+SMALL_INPUT_BYTES = 256 * 1024 * 1024  # one entity may hold all of it
+SMALL_TOTAL_BYTES = 64 * 1024 * 1024  # the same where there is no entity and one task orders all rows
 LOCAL_KEYS = 10_000
 MAX_PIECES = 4096
 BROADCAST_VALUES = 2_000_000
@@ -69,13 +70,14 @@ def is_scan(df: DataFrame) -> bool:
     return set(re.findall(r"^[\s:+\-|]*([A-Z]\w*)", tree, re.M)) <= SCAN_NODES
 
 
-def is_small(df: DataFrame) -> bool:
-    return leaf_bytes(df) <= setting(df.sparkSession, "smallInputBytes", SMALL_INPUT_BYTES)
+def is_small(df: DataFrame, keyed: bool = True) -> bool:
+    limit = setting(df.sparkSession, "smallInputBytes", SMALL_INPUT_BYTES if keyed else SMALL_TOTAL_BYTES)
+    return leaf_bytes(df) <= limit
 
 
 def settled(df: DataFrame, entity: list[str]) -> tuple[DataFrame, Hot | None]:
     """The input to work on and its hot entities. Inputs that are small as a whole need no job."""
-    if is_small(df):
+    if is_small(df, bool(entity)):
         return df, None
     if not is_scan(df):
         df = staged(df, run_dir(df.sparkSession, "ordered"))
@@ -279,17 +281,19 @@ def _hot_rolling(df, hot, entity, order, frames) -> DataFrame:
     return rows.select(*df.columns, *[f.out for f in frames])
 
 
-def ranked(df: DataFrame, entity: list[str], order: list[str], out: str) -> DataFrame:
-    """SQL ``rank()``; hot groups rank their distinct values and join the ranks back."""
+def ranked(df: DataFrame, entity: list[str], ranks: dict[str, list[str]]) -> DataFrame:
+    """SQL ``rank()`` columns by name; hot groups rank their distinct values and join the ranks back."""
     df, hot = settled(df, entity)
-    window = Window.partitionBy(*entity).orderBy(*sort_columns(order))
     if hot is None:
-        return df.select("*", F.rank().over(window).alias(out))
-    names = [c.lstrip("-") for c in order]
-    sizes = df.groupBy(*entity, *names).agg(F.count(F.lit(1)).alias("__n"))
-    ahead = rolling(sizes, entity, order, [Frame("__ahead", "sum", "__n")])
-    ranks = ahead.select(*entity, *names, (F.coalesce("__ahead", F.lit(0)) + 1).cast("int").alias(out))
-    return _join_small(df, ranks, [*entity, *names], False)
+        part = Window.partitionBy(*entity)
+        return df.select("*", *[F.rank().over(part.orderBy(*sort_columns(o))).alias(out) for out, o in ranks.items()])
+    for out, order in ranks.items():
+        names = [c.lstrip("-") for c in order]
+        sizes = df.groupBy(*entity, *names).agg(F.count(F.lit(1)).alias("__n"))
+        ahead = rolling(sizes, entity, order, [Frame("__ahead", "sum", "__n")])
+        place = (F.coalesce("__ahead", F.lit(0)) + 1).cast("int").alias(out)
+        df = _join_small(df, ahead.select(*entity, *names, place), [*entity, *names], False)
+    return df
 
 
 def top_n(df: DataFrame, group: list[str], order: list[str], n: int, rank_as: str | None = None) -> DataFrame:

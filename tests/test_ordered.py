@@ -75,7 +75,7 @@ def test_positions_and_ranks_split(split):
     rows = [r.asDict() for r in df.collect()]
     got = {r["id"]: r["position"] for r in positions(df, ["k"], ["-day", "id"]).collect()}
     everyone = {r["id"]: r["position"] for r in positions(df, [], ["day", "id"]).collect()}
-    rank = {r["id"]: r["r"] for r in ranked(df, ["k"], ["-day"], "r").collect()}
+    rank = {r["id"]: r["r"] for r in ranked(df, ["k"], {"r": ["-day"]}).collect()}
     total = sorted(rows, key=lambda r: (r["day"], r["id"]))
     for i, r in enumerate(total):
         assert everyone[r["id"]] == i + 1
@@ -96,6 +96,19 @@ def test_string_and_time_order_split(split):
             assert got[r["id"]] == i + 1
 
 
+def test_large_derived_input_is_written_once(split):
+    from formline.operators.ordered import is_scan, settled
+
+    scan = skewed(split)
+    derived = scan.groupBy("k", "day", "id").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    assert is_scan(scan.filter("day > 1").select("k", "day")) and not is_scan(derived)
+    files, hot = settled(derived, ["k"])
+    assert is_scan(files) and hot is not None and hot.max_rows > 12
+    got = frame_of(rolling(derived, ["k"], ["day", "id"], FRAMES))
+    split.conf.set("spark.formline.smallInputBytes", str(2**62))
+    pd.testing.assert_frame_equal(got, frame_of(rolling(scan, ["k"], ["day", "id"], FRAMES)))
+
+
 def test_running_total_and_top(split):
     df = split.createDataFrame([(d, d * 2) for d in range(50)], "d int, x int")
     rows = {r["d"]: r["t"] for r in running_total(df, [], ["d"], "x", "t").collect()}
