@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import predicted, query, r6, r6_sql, table, tagged
+from bindings.base import predicted, query, r6, table, tagged
 from bindings.scans import RAW_SQL, raw_lines
 from formline.operators import evaluate as E
 from formline.operators import logs as L
 from formline.operators import select as T
-from formline.functions import scalars as S
 
 AUC_SQL = """(sum(CASE WHEN outcome = 1 THEN rk END) - count(*) FILTER (WHERE outcome = 1) * (count(*) FILTER (WHERE outcome = 1) + 1) / 2.0::DOUBLE)
     / (count(*) FILTER (WHERE outcome = 1) * count(*) FILTER (WHERE outcome = 0))"""

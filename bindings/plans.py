@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import (CV_SQL, STATS, box, predicted, prop_rows, query, r6, r6_sql, row_cv, tagged, tier_sql, windows_sql)
+from bindings.base import STATS, box, predicted, prop_rows, query, r6, r6_sql, tagged
 from bindings.evaluating import rounded
 from bindings.joining import LATEST_SQL, TODAY_SQL, todays
 from bindings.project import ODDS_SQL, REL_NUM, TIER_NUM

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bindings.base import (RELIABILITY_SQL, STATS, box, events, featured, labelled, predicted, prop_rows, query, r6,
-                           r6_sql, row_cv, season_sql, table, tagged, tags_sql, tier_sql)
+                           r6_sql, season_sql, table, tagged, tags_sql, tier_sql)
 from formline import config
 from formline.functions import scalars as S
 from formline.operators import classify as C

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import box, events, featured, labelled, prop_rows, query, r6, r6_sql, season_sql, spread, table, tagged
+from bindings.base import box, events, featured, labelled, prop_rows, query, r6, spread, table, tagged
 from formline.functions import scalars as S
 from formline.operators import profile as P
 from formline.session import run_dir

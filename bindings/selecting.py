@@ -2,14 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import box, featured, labelled, predicted, prop_rows, query, r6, table, tagged
+from bindings.base import box, labelled, predicted, prop_rows, query, table
 from bindings.evaluating import rounded
-from bindings.joining import PICK_SQL, slate_picks
+from bindings.joining import slate_picks
 from bindings.scans import RAW_SQL, raw_lines
 from formline.operators import select as T
 from formline.operators import slips
 from formline.operators import splits as P
-from formline.functions import scalars as S
 
 
 @query("dedup_best", """SELECT entity_id, prop, game_id, odds FROM q_prop

@@ -8,7 +8,6 @@
 from __future__ import annotations
 
 import datetime
-import glob
 import math
 import os
 import sys
