@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from formline.llm import warc
+import public_tokenizers
+
+from formline.llm import token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -31,3 +33,12 @@ SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
 FROM m""")
 def op3_warc(spark, sf):
     return warc.round_trip(table(spark, sf, "pages"))
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf):
+    return token_counts.count_tokens(
+        table(spark, sf, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"])
