@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from formline.llm import token_counts, warc
+from formline.llm import quality, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -42,3 +42,11 @@ PIECES = "piece_bpe_32k.model"
 def op6_token_counts(spark, sf):
     return token_counts.count_tokens(
         table(spark, sf, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"])
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf):
+    docs = table(spark, sf, "documents")
+    rules = quality.learn(docs, table(spark, sf, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
