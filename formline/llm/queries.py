@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from formline.llm import quality, token_counts, warc
+from formline.llm import line_dedup, quality, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -50,3 +50,30 @@ def op7_quality_rules(spark, sf):
     rules = quality.learn(docs, table(spark, sf, "labels"))
     return quality.judge(docs.select("doc_id", "text"), rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_line_dedup", r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d WHERE text <> ''),
+w AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+pairs AS (SELECT a.doc_id, a.i AS b, z.i AS e FROM c a JOIN c z
+  ON a.doc_id = z.doc_id AND a.i <= z.i AND z.upto - a.upto + a.n >= 50),
+runs AS (SELECT doc_id, b, min(e) AS e FROM pairs GROUP BY doc_id, b
+  UNION SELECT doc_id, max(b) AS b, e FROM pairs GROUP BY doc_id, e),
+seqs AS (SELECT r.doc_id, r.b, r.e, array_to_string(list_slice(d.l, r.b, r.e), chr(10)) AS s
+  FROM runs r JOIN d ON r.doc_id = d.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, b) AS k,
+  first_value(doc_id) OVER (PARTITION BY s ORDER BY doc_id, b) AS d1,
+  first_value(b) OVER (PARTITION BY s ORDER BY doc_id, b) AS b1 FROM seqs),
+gone AS (SELECT DISTINCT ln.doc_id, ln.i FROM ln JOIN ranked r
+  ON ln.doc_id = r.doc_id AND r.k > 1 AND ln.i <= r.e
+  AND ln.i >= CASE WHEN r.d1 = r.doc_id THEN greatest(r.b, r.b1 + r.e - r.b + 1) ELSE r.b END),
+kept AS (SELECT ln.doc_id, string_agg(ln.line, chr(10) ORDER BY ln.i) AS t, count(*) AS n FROM ln
+  LEFT JOIN gone g ON ln.doc_id = g.doc_id AND ln.i = g.i WHERE g.i IS NULL GROUP BY ln.doc_id)
+SELECT d.doc_id, CASE WHEN d.text <> '' THEN coalesce(kept.t, '') ELSE d.text END AS text,
+  CASE WHEN d.text <> '' THEN len(d.l) - coalesce(kept.n, 0) ELSE 0 END::BIGINT AS n_deleted
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""")
+def op4_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, deleted="n_deleted")
