@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from formline.llm import line_dedup, quality, token_counts, warc
+from formline.llm import line_dedup, ngram_join, quality, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -77,3 +77,8 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""")
 def op4_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs, deleted="n_deleted")
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, sf):
+    return ngram_join.components(table(spark, sf, "documents"))
