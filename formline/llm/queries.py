@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from formline.llm import line_dedup, ngram_join, quality, token_counts, warc
+from formline.llm import line_dedup, ngram_join, quality, sp_codec, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -82,3 +82,9 @@ def op4_line_dedup(spark, sf):
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark, sf):
     return ngram_join.components(table(spark, sf, "documents"))
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return sp_codec.encode(docs, public_tokenizers.path(PIECES)).drop("text")
