@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from formline.llm import line_dedup, ngram_join, quality, sp_codec, token_counts, warc
+from formline.llm import line_dedup, ngram_join, pii, quality, sp_codec, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -88,3 +89,18 @@ def op10_ngram_jaccard_join(spark, sf):
 def op2_sentencepiece(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return sp_codec.encode(docs, public_tokenizers.path(PIECES)).drop("text")
+
+
+def digest_columns(spans: str, base: tuple[str, ...]) -> list:
+    """n_<kind> of the base kinds, base_sha256 of the base spans, and all spans; ``spans`` is in the order to join."""
+    def joined(only=None):
+        some = F.filter(spans, lambda s: s["kind"].isin(*only)) if only else F.col(spans)
+        return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    counts = [F.expr(f"cast(size(filter(`{spans}`, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in base]
+    return [*counts, F.sha2(joined(base), 256).alias("base_sha256"), joined().alias("spans")]
+
+
+@query("op8_pii")
+def op8_pii(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii.find(docs).select("doc_id", *digest_columns("pii", pii.BASE))
