@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from formline.llm import line_dedup, ngram_join, pii, quality, sp_codec, token_counts, warc
+from formline.llm import line_dedup, ngram_join, pii, quality, secrets, sp_codec, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -104,3 +104,9 @@ def digest_columns(spans: str, base: tuple[str, ...]) -> list:
 def op8_pii(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return pii.find(docs).select("doc_id", *digest_columns("pii", pii.BASE))
+
+
+@query("op5_secrets")
+def op5_secrets(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return secrets.find(docs).select("doc_id", *digest_columns("secrets", secrets.BASE))
