@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from formline.llm import line_dedup, ngram_join, pii, quality, secrets, sp_codec, token_counts, warc
+from formline.llm import decontam, line_dedup, ngram_join, pii, quality, secrets, sp_codec, token_counts, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -110,3 +110,8 @@ def op8_pii(spark, sf):
 def op5_secrets(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return secrets.find(docs).select("doc_id", *digest_columns("secrets", secrets.BASE))
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf):
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
