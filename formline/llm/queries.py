@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from formline.llm import decontam, line_dedup, ngram_join, pii, quality, secrets, sp_codec, token_counts, warc
+from formline.llm import decontam, line_dedup, ngram_join, pii, quality, secrets, sp_codec, token_counts, toxicity, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -115,3 +115,8 @@ def op5_secrets(spark, sf):
 @query("op1_decontamination")
 def op1_decontamination(spark, sf):
     return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf):
+    return toxicity.predict(table(spark, sf, "documents"), table(spark, sf, "labels"))
