@@ -11,9 +11,10 @@ behind the first pass works on classes, so exact copies cost nothing more.
 * Large sets scan inverted lists. Shingles are put in one global order, rare ones first; linked sets share one of their
   first n - ceil(percent n) + 1. Lists of one class are dropped. Short lists give their pairs. Long lists (groups of near
   copies, shared passages) test all members against one hub, the member whose rarest shingle is most common; what lies in
-  one group afterwards needs no more tests. A list ends when all its members are in one group; as soon as the pairs between
-  different groups are few, they are all tested. So every two classes that share a list are tested or already connected:
-  no link between groups is lost, and a list of N near copies costs N tests, not N squared.
+  one group afterwards needs no more tests. The next turn takes four hubs a list, then sixteen, so turns are few. A list
+  ends when all its members are in one group; as soon as the pairs between different groups are few, they are all tested.
+  So every two classes that share a list are tested or already connected: no link between groups is lost, and a list of N
+  near copies costs N tests, not N squared.
 * The boundary is the largest size up to which listing subsets costs less than lists and checks (``boundary``).
 
 The global order takes a class of frequency from a table of 2^25 bytes. Counts cover all shingles of all documents (32-bit
@@ -46,7 +47,8 @@ from formline.session import leaf_bytes, run_dir, staged
 
 SLOT_BITS, MAP_BITS = 25, 26
 SHORT = 32  # a list of at most so many classes gives its pairs at once
-FEW = 4  # pairs between groups, for each posting, that are tested at once
+FEW = 16  # pairs between groups, for each posting, that are tested at once
+MORE = 4  # a turn has so many times the hubs of the turn before
 FLUSH = 4_000_000  # shingles held before their remainders are passed on
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -335,13 +337,16 @@ def list_links(postings: DataFrame, known: DataFrame, sets_of, percent: int, fol
         if pairs <= FEW * rows:
             last = check(pairs_of(left, "x.label <> y.label"), sets, percent)
             return staged(found.union(last), f"{folder}/last")
-        hubs = left.groupBy("k1").agg(F.max(F.struct("rare", "cid", "n", "label")).alias("hub"))
+        nth = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("rare"), "cid"))
+        hubs = left.withColumn("nth", nth).where(F.col("nth") <= MORE ** turn).select(
+            "k1", F.struct("cid", "n", "label").alias("hub"))
         tests = left.join(hubs, "k1").where(
             (F.col("label") != F.col("hub.label")) & fits("n", "hub.n", percent, most)
         ).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
         found = staged(found.union(check(tests, sets, percent)), f"{folder}/hubs-{turn}")
         # a hub has met everybody of its list
-        left = left.join(hubs, "k1").where("cid <> hub.cid").select("k1", "cid", "n", "rare")
+        left = left.join(hubs, (left["k1"] == hubs["k1"]) & (left["cid"] == hubs["hub.cid"]), "left_anti").select(
+            "k1", "cid", "n", "rare")
 
 
 def labelled(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:

@@ -118,7 +118,9 @@ def log_odds(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[np.ndarray], toxic: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.05, seed: int = 0) -> Model:
+def train(texts: list[np.ndarray], toxic: np.ndarray, visits: int = 20_000, batch: int = 128, rate: float = 0.05, seed: int = 0) -> Model:
+    """Four passes over the texts, or as many as ``visits`` texts take where these are few."""
+    epochs = max(4, visits // len(texts))
     rng = np.random.default_rng(seed)
     rows = rng.normal(0, 0.05, (PAD + 1, DIM))
     rows[:, 0] = log_odds(texts, toxic) / 4
