@@ -100,8 +100,14 @@ def responses(projected: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def within(fn: np.ufunc, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``fn`` over each text's windows: those that begin at a word or the first pad, so none reaches the next text."""
+    ends = np.append(starts[1:], len(values)) - max(WIDTHS) + 1
+    return fn.reduceat(values, np.stack([starts, ends], 1).reshape(-1), axis=0)[::2]
+
+
 def pooled(projected: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.maximum.reduceat(responses(projected), starts, axis=0)
+    return within(np.maximum, responses(projected), starts)
 
 
 def log_odds(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -146,10 +152,10 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, visits: int = 20_000, batc
             x = model.rows[word] + model.rows[stem]
             table = np.concatenate([x @ w for k in WIDTHS for w in model.filters[k]], axis=1)
             reply = responses(table)
-            top = np.maximum.reduceat(reply, starts, axis=0)
+            top = within(np.maximum, reply, starts)
             doc = np.repeat(np.arange(len(pick)), np.diff(np.append(starts, len(codes))))
             place = np.where(reply == top[doc], np.arange(len(codes))[:, None], len(codes))
-            at = np.minimum.reduceat(place, starts, axis=0)  # the first position of each maximum
+            at = within(np.minimum, place, starts)  # the first position of each maximum
             z = top + model.bias
             hidden = np.maximum(z, 0)
             error = 1 / (1 + np.exp(-(hidden @ model.out + model.shift))) - toxic[pick]
