@@ -91,15 +91,19 @@ def quota_fill(df: DataFrame, game: str, prop: str, order: list[str], per_game:
     )
 
 
-def greedy_reach(per_player: int, per_type: int, total: int) -> tuple[int, int]:
-    """How far down a slate a capped scan can look, per type and in all.
+def greedy_reach(per_player: int, per_type: int, total: int) -> tuple[int, int, int]:
+    """How far down a slate a capped scan can look, per type, per player and in all.
 
     After a player's first ``per_player`` rows of one type the rest are never taken, because caps
     only close. At most ``total // per_player`` players close, and each then holds at most
-    ``per_player`` rows of a type, so a type is settled within ``per_type + total`` rows.
+    ``per_player`` rows of a type, so a type is settled within ``per_type + total`` rows. An open
+    player's row is skipped only if its type is closed, and at most ``total // per_type`` types
+    close, so a player is settled within ``per_player`` rows of each of them and of one open type.
+    Every row the scan passes is taken, or lies in a closed type, or belongs to a closed player.
     """
     in_type = per_type + total
-    return in_type, total + total + (total // per_type + 1) * in_type
+    of_player = per_player * (1 + total // per_type)
+    return in_type, of_player, total + (total // per_type) * in_type + (total // per_player) * of_player
 
 
 def greedy_caps(df: DataFrame, slate: list[str], player: str, prop: str, order: list[str],
@@ -109,8 +113,9 @@ def greedy_caps(df: DataFrame, slate: list[str], player: str, prop: str, order:
     Rows the scan can never take are cut by window limits first, losing nothing, so a slate reaches
     its task at a fixed size whatever its length was.
     """
-    in_type, in_all = greedy_reach(per_player, per_type, total)
+    in_type, of_player, in_all = greedy_reach(per_player, per_type, total)
     rows = top_n(df, [*slate, player, prop], order, per_player)
+    rows = top_n(rows, [*slate, player], order, of_player)
     rows = top_n(rows, [*slate, prop], order, in_type)
     rows = top_n(rows, slate, order, in_all, "__seq")
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from formline.operators.joins import pair_label
 
 CLASS = ["team", "opponent", "prop", "side", "spread", "total"]
-MAX_SLATE = 5_000
 
 
 def pick_classes(picks: DataFrame, slate: str) -> DataFrame:
@@ -37,22 +36,27 @@ def pair_correlation(picks: DataFrame, slate: str) -> DataFrame:
     return labelled.groupBy(slate, "relation").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
 
 
+def _same(a, b) -> bool:
+    """Equality as in SQL: a missing value equals nothing."""
+    return a is not None and b is not None and a == b
+
+
 def negative(p: dict, q: dict) -> bool:
-    """The two rules that forbid a pair, for the scan of one small slate."""
-    if p["team"] == q["team"] and p["prop"] == q["prop"] and p["side"] == "OVER" == q["side"]:
+    """The two rules that forbid a pair, for the scan of one small slate; a missing spread counts as 0."""
+    together = _same(p["team"], q["team"])
+    if together and _same(p["prop"], q["prop"]) and p["side"] == "OVER" == q["side"]:
         return True
-    mates = p["team"] == q["team"] and {p["prop"], q["prop"]} == {"POINTS", "ASSISTS"}
-    opposing = p["opponent"] == q["team"] or p["team"] == q["opponent"]
-    wide = max(abs(p["spread"] or 0), abs(q["spread"] or 0)) > 12
+    mates = together and {p["prop"], q["prop"]} == {"POINTS", "ASSISTS"}
+    opposing = _same(p["opponent"], q["team"]) or _same(p["team"], q["opponent"])
+    wide = max(abs(p["spread"]), abs(q["spread"])) > 12
     return bool(not mates and opposing and wide)
 
 
 def _records(pdf: pd.DataFrame, order: list[str]) -> list[dict]:
-    if len(pdf) > MAX_SLATE:
-        raise ValueError(f"slate of {len(pdf)} picks: select with greedy_caps before building slips")
     keys = [c.lstrip("-") for c in order]
     pdf = pdf.sort_values(keys, ascending=[not c.startswith("-") for c in order])
-    return pdf.to_dict("records")
+    names = {c: pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("team", "opponent", "prop", "side")}
+    return pdf.assign(spread=pdf["spread"].astype(float).fillna(0.0), **names).to_dict("records")
 
 
 def _frame(slips: list[list[dict]], slate_value, slate: str, key: str) -> pd.DataFrame:

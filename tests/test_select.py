@@ -49,8 +49,10 @@ def test_greedy_reach_is_enough_without_spark():
     for _ in range(300):
         caps = (rng.randrange(1, 4), rng.randrange(1, 6), rng.randrange(1, 15))
         rows = slate_rows(n=rng.randrange(5, 200), seed=rng.random(), players=rng.randrange(1, 12))
+        kinds = rng.choice([4, 30, 2000])
+        rows = [(s, i, p, f"t{rng.randrange(kinds)}", c) for s, i, p, _, c in rows]
         per_player, per_type, total = caps
-        in_type, in_all = T.greedy_reach(*caps)
+        in_type, of_player, in_all = T.greedy_reach(*caps)
 
         def cut(rows, key, n):
             seen, out = {}, []
@@ -62,6 +64,7 @@ def test_greedy_reach_is_enough_without_spark():
             return out
 
         kept = cut(rows, lambda r: (r[0], r[2], r[3]), per_player)
+        kept = cut(kept, lambda r: (r[0], r[2]), of_player)
         kept = cut(kept, lambda r: (r[0], r[3]), in_type)
         kept = cut(kept, lambda r: r[0], in_all)
         assert scan(kept, *caps) == scan(rows, *caps)
@@ -133,11 +136,11 @@ def test_safe_slip_agrees_with_pairs(spark):
         assert safe == all(label(p, q) != "negative" for p, q in combinations(mine, 2))
 
 
-def test_oversized_slate_is_refused(spark):
-    df = spark.range(6000).selectExpr("'s' slate", "int(id) pick", "1 team", "2 opponent", "'REB' prop", "'OVER' side",
+def test_long_slate_has_no_limit(spark):
+    df = spark.range(6000).selectExpr("'s' slate", "int(id) pick", "int(id) team", "-1 opponent", "'REB' prop", "'OVER' side",
                                       "0D spread", "220D total", "5 confidence")
-    with pytest.raises(Exception, match="greedy_caps"):
-        slips.power_slips(df, "slate", "pick", ["pick"]).collect()
+    got = slips.power_slips(df, "slate", "pick", ["pick"]).collect()
+    assert {(r["slip"], r["leg"], r["pick"]) for r in got} == {(i // 2 + 1, i % 2 + 1, i) for i in range(6000)}
 
 
 def test_quota_fill_order(spark):
@@ -159,3 +162,23 @@ def test_samples_repeat_and_cover(spark):
     assert set(counts.values()) == {2} and len(counts) == 10
     d = T.diverse_sample(df.withColumn("p", F.col("id") % 11), "prop", "p", ["id"], ["id"], 23)
     assert d.count() == 23 and d.select("id").distinct().count() == 23
+
+
+def test_one_player_in_many_types_costs_no_pick(spark):
+    """A closed player that holds a row in every type must not push others out of reach."""
+    rows = [("s", i, "p0", f"t{i}", 9) for i in range(1200)] + [("s", 2000 + i, f"q{i}", f"t{i}", 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "slate string, id int, player string, prop string, conf int")
+    for caps in ((1, 8, 75), (3, 8, 75)):
+        got = {(r["slate"], r["id"]) for r in T.greedy_caps(df, ["slate"], "player", "prop", ["-conf", "id"], *caps).collect()}
+        assert got == scan(rows, *caps) and len(got) == 50 + caps[0]
+
+
+def test_missing_spreads_and_teams_in_slips(spark):
+    cols = "slate string, pick int, team int, opponent int, prop string, side string, spread double, total double, confidence int"
+    rows = [("s", 1, 1, 2, "REB", "OVER", 13.0, 220.0, 9), ("s", 2, 2, 1, "REB", "UNDER", None, 220.0, 8),
+            ("s", 3, None, None, "REB", "OVER", None, None, 7), ("s", 4, None, None, "REB", "OVER", None, None, 6)]
+    df = spark.createDataFrame(rows, cols)
+    got = {(r["slip"], r["pick"]) for r in slips.power_slips(df, "slate", "pick", ["-confidence", "pick"]).collect()}
+    assert got == {(1, 1), (1, 3), (2, 2), (2, 4)}
+    count = {r["relation"]: r["pairs"] for r in slips.pair_correlation(df.filter("pick < 3"), "slate").collect()}
+    assert count == {"negative": 1}
