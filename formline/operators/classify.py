@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from formline import config
 from formline.functions import scalars as S
-from formline.operators.ordered import is_small
+from formline.operators.ordered import Frame, rolling
 
-def accuracy(df: DataFrame) -> int:
-    """Sketch size of percentiles: exact on small inputs, Spark's own default (rank error 1e-4) on large
-    ones, where every task sends its sketch to one reducer."""
-    return 1_000_000 if is_small(df) else 10_000
 
+def quantiles(df: DataFrame, column: str, at: dict[str, float]) -> DataFrame:
+    """One row of exact discrete quantiles of a column's values that are not null, by name; null without any.
 
-def tier_limits(df: DataFrame, points: str, minutes: str) -> DataFrame:
-    """One row of slate percentiles; missing or zero falls back to the fixed defaults."""
-    size = accuracy(df)
+    Values are counted map-side first, so running counts go over distinct values only. The same at every size.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).scalar()
+    run = rolling(counts, [], ["__v"], [Frame("__before", "sum", "__n")])
+    upto = F.coalesce("__before", F.lit(0)) + F.col("__n")
+    return run.agg(*[F.min(F.when(upto >= F.ceil(F.lit(q) * total), F.col("__v"))).alias(n) for n, q in at.items()])
 
-    def cut(col: str, q: float, name: str) -> Column:
-        return S.or_default(F.percentile_approx(col, q, size), config.TIER_DEFAULTS[name]).alias(name)
 
-    return df.agg(
-        cut(points, 0.8, "p80_pts"), cut(minutes, 0.8, "p80_min"),
-        cut(minutes, 0.6, "p60_min"), cut(minutes, 0.4, "p40_min"),
-    )
+def tier_limits(df: DataFrame, points: str, minutes: str) -> DataFrame:
+    """One row of slate percentiles; missing or zero falls back to the fixed defaults."""
+    rows = [quantiles(df, points, {"p80_pts": 0.8}), quantiles(df, minutes, {"p80_min": 0.8, "p60_min": 0.6, "p40_min": 0.4})]
+    one = df.sparkSession.range(1).select(
+        *[r.select(F.struct(*r.columns)).scalar().alias(f"__{i}") for i, r in enumerate(rows)])
+    return one.select(*[
+        S.or_default(F.col(f"__{i}.{n}"), config.TIER_DEFAULTS[n]).alias(n) for i, r in enumerate(rows) for n in r.columns])
 
 
 def player_tier(df: DataFrame, points: str, minutes: str, out: str = "Player_Tier") -> DataFrame:
@@ -133,8 +136,7 @@ def add_severity(df: DataFrame, actual: str, line: str, side: str) -> DataFrame:
 
 def impute_median(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill nulls with the training rows' lower median, 0 where a column is all null."""
-    size = accuracy(train)
-    medians = train.agg(F.struct(*[F.percentile_approx(c, 0.5, size).alias(c) for c in columns])).scalar()
+    medians = F.struct(*[quantiles(train, c, {"m": 0.5}).scalar().alias(c) for c in columns])
     rows = df.withColumn("__median", medians)
     return rows.select(
         *[c for c in df.columns if c not in columns],
