@@ -119,13 +119,19 @@ def _axis(df: DataFrame, spec: str) -> Column:
     c = F.col(name)
     if isinstance(kind, T.DateType):
         v = F.unix_date(c).cast("double")
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        v = F.unix_micros(c.cast("timestamp")).cast("double")
+    elif isinstance(kind, T.TimestampNTZType):
+        # without a zone, so no clock change folds two moments into one
+        day = F.to_date(c)
+        v = F.unix_date(day).cast("double") * 86_400e6 + (
+            (F.hour(c) * 60 + F.minute(c)) * 60_000_000 + F.extract(F.lit("SECOND"), c) * 1_000_000).cast("double")
+    elif isinstance(kind, T.TimestampType):
+        v = F.unix_micros(c).cast("double")
     elif isinstance(kind, T.StringType):
         head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
         v = F.conv(head, 16, 10).cast("double")
     else:
         v = c.cast("double")
+        v = F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)  # Spark sorts NaN above all numbers
     v = F.coalesce(v, F.lit(float("-inf")))
     return -v if spec.startswith("-") else v
 

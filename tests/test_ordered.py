@@ -4,6 +4,8 @@ import random
 
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from formline.operators.ordered import Frame, positions, ranked, rolling, running_total, top_n
 
 
@@ -130,3 +132,21 @@ def test_partitioning_does_not_matter(spark):
     a = frame_of(rolling(df.repartition(1), ["k"], ["day", "id"], FRAMES))
     b = frame_of(rolling(df.repartition(7).orderBy("v"), ["k"], ["day", "id"], FRAMES))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_nan_descending_and_zoneless_time_on_the_split_path(spark, split):
+    from formline.operators.ordered import positions
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("a", i, float("nan") if i % 10 == 0 else (None if i % 7 == 0 else float(i % 23)),
+                 f"2024-11-03 0{i % 3}:{i % 60:02d}:00.{i:06d}") for i in range(90)]
+        df = spark.createDataFrame(rows, "k string, i int, v double, s string").withColumn("t", F.to_timestamp_ntz("s"))
+        for order in (["-v", "i"], ["v", "i"], ["t", "i"], ["-t", "i"]):
+            got = {r["i"]: r["n"] for r in positions(df, ["k"], order, "n").collect()}
+            spark.conf.set("spark.formline.smallInputBytes", str(1 << 30))
+            want = {r["i"]: r["n"] for r in positions(df, ["k"], order, "n").collect()}
+            spark.conf.set("spark.formline.smallInputBytes", "0")
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
