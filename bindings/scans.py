@@ -72,13 +72,17 @@ def scan_actuals(spark, sf):
 
 
 @query("scan_multi_csv", """SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, CAST(NULL AS BIGINT) AS k FROM orders
-    UNION ALL SELECT event_id, cents, k FROM q_ev""")
+    UNION ALL SELECT event_id, cents, k FROM q_ev
+    UNION ALL SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT), NULL FROM customer""")
 def scan_multi_csv(spark, sf):
+    """One folder whose files differ in columns and their order, and a second folder with fewer columns."""
     a, b = run_dir(spark, "multi-a"), run_dir(spark, "multi-b")
     orders = table(spark, sf, "orders")
     K.sink_csv(orders.select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), a)
-    K.sink_csv(events(spark, sf).select("k", F.col("event_id").alias("id"), "cents"), b)
-    return B.scan_many(spark, [a, b], ["id long, cents long", "id long, cents long, k long"])
+    K.sink_csv(events(spark, sf).select("k", F.col("event_id").alias("id"), "cents"), f"{b}/one")
+    K.sink_csv(table(spark, sf, "customer").select(
+        F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"), F.col("c_custkey").alias("id")), f"{b}/two")
+    return B.scan_many(spark, [a, f"{b}/*"], ["id long, cents long", "id long, cents long, k long"])
 
 
 def codes(spark, sf):

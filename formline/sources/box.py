@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,15 +29,37 @@ TEAM_SCHEMA = (
 )
 
 
+def by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by their header. Only first lines are read, sixteen files at a time."""
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        names = list(pool.map(lambda f: tuple(spark.read.csv(f, header=True).columns), files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for name, file in zip(names, files, strict=True):
+        if name:
+            out.setdefault(name, []).append(file)
+    return out
+
+
 def read_named(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """CSV columns picked by header name and cast to the declared types.
 
-    Files may carry more columns or another order. A declared column that is absent fails at analysis;
-    a value that does not fit its type reads as null.
+    Files may carry more columns or another order, also within one folder: files of one header are read together. A
+    declared column that a file lacks is null there, and one that all files lack raises; a value that does not fit its
+    type reads as null.
     """
-    raw = spark.read.csv(path, header=True)
     declared = T.StructType.fromDDL(schema)
-    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in declared])
+    found = by_header(spark, path)
+    if absent := [f.name for f in declared if found and not any(f.name in header for header in found)]:
+        raise ValueError(f"no file has the columns {absent}")
+    out = spark.createDataFrame([], declared)
+    for k, (header, files) in enumerate(sorted(found.items())):
+        raw = spark.read.csv(files, header=True)
+        one = raw.select(*[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in declared])
+        out = out.unionByName(one) if k else one
+    return out
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], schema: str, time: str = "gameDateTimeEst") -> DataFrame:
@@ -53,7 +77,7 @@ def scan_teams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_many(spark: SparkSession, paths: list[str], schemas: list[str]) -> DataFrame:
-    """Union of files whose columns differ; absent columns are null."""
+    """Union of folders whose columns differ; absent columns are null."""
     out = None
     for path, schema in zip(paths, schemas):
         one = read_named(spark, path, schema)

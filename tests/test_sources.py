@@ -119,3 +119,14 @@ def test_shared_dir_follows_the_session(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or shared_dir(spark))
     assert run_dir(spark, "x") != run_dir(spark, "x")
+
+
+def test_files_of_one_folder_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,extra\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+    (tmp_path / "c.csv").write_text("x\n7\n")
+    (tmp_path / "d.csv").write_text("")
+    got = B.read_named(spark, str(tmp_path), "x long, y long").collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, 2), (2, 1), (7, None)]
+    with pytest.raises(ValueError, match="no file has"):
+        B.read_named(spark, str(tmp_path), "x long, z long")
