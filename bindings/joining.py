@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import box, events, featured, labelled, predicted, prop_rows, query, r6, table
+from bindings.base import STATS, box, events, featured, labelled, predicted, prop_rows, query, r6, table
 from bindings.project import ODDS_SQL
 from bindings.rolling import ROLLED_SQL, team_context
 from formline.operators import joins as J
@@ -126,13 +126,16 @@ def recent_hit_rate(spark, sf):
     return rows.select("c_name", "prop", *r6("recent_prob", "implied_prob", "edge"))
 
 
-@query("compare_predictions", """SELECT game_id, prop, CASE WHEN points > line THEN 'OVER' ELSE 'UNDER' END AS actual_side,
-    side = CASE WHEN points > line THEN 'OVER' ELSE 'UNDER' END AS hit,
-    confidence2 >= 7 AND side <> CASE WHEN points > line THEN 'OVER' ELSE 'UNDER' END AS confident_miss
-    FROM q_pred JOIN (SELECT game_id, entity_id, points FROM q_box) b USING (game_id, entity_id) WHERE prop = 'PTS'""")
+@query("compare_predictions", """SELECT game_id, prop, CASE WHEN got > line THEN 'OVER' ELSE 'UNDER' END AS actual_side,
+    side = CASE WHEN got > line THEN 'OVER' ELSE 'UNDER' END AS hit,
+    confidence2 >= 7 AND side <> CASE WHEN got > line THEN 'OVER' ELSE 'UNDER' END AS confident_miss
+    FROM (SELECT p.*, CASE prop WHEN 'PTS' THEN points WHEN 'REB' THEN rebounds WHEN 'AST' THEN assists ELSE threes END AS got
+      FROM q_pred p JOIN (SELECT game_id, entity_id, points, rebounds, assists, threes FROM q_box) b USING (game_id, entity_id))""")
 def compare_predictions(spark, sf):
-    rows = predicted(spark, sf).filter("prop = 'PTS'").select("game_id", "entity_id", "prop", "line", "side", F.col("confidence2").alias("confidence"))
-    out = J.compare_predictions(rows, box(spark, sf).select("game_id", "entity_id", "points"), ["game_id", "entity_id"], F.col("points"), 7)
+    rows = predicted(spark, sf).select("game_id", "entity_id", "prop", "line", "side", F.col("confidence2").alias("confidence"))
+    settled = box(spark, sf).select("game_id", "entity_id", *STATS.values())
+    got = F.coalesce(*[F.when(F.col("prop") == p, F.col(c)) for p, c in STATS.items()])
+    out = J.compare_predictions(rows, settled, ["game_id", "entity_id"], got, 7)
     return out.select("game_id", "prop", "actual_side", "hit", "confident_miss")
 
 

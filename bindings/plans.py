@@ -1,5 +1,7 @@
 """Whole plans and model jobs over the test tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from bindings.base import STATS, box, predicted, prop_rows, query, r6, r6_sql, tagged
@@ -68,27 +70,38 @@ def train_per_type(spark, sf):
     return M.importance_table(spark, models)
 
 
-def _blocks(spark, sf, prop="PTS", k=3):
-    rows = _rows(spark, sf).filter(F.col("prop") == prop)
+FOLDS = 5
+
+
+def _blocks(rows, k):
     return splits.timeseries_folds(rows, ["game_date", "game_id"], k)
 
 
+def _by_type(spark, sf, one):
+    """``one`` of the rows of every type, with the type as first column."""
+    rows = _rows(spark, sf)
+    parts = [one(rows.filter(F.col("prop") == p)) for p in STATS]
+    return reduce(lambda a, b: a.unionByName(b), [t.select(F.lit(p).alias("prop"), *t.columns) for p, t in zip(STATS, parts, strict=True)])
+
+
 @query("time_cv")
 def time_cv(spark, sf):
-    return M.time_cv(_blocks(spark, sf), FEATURES, "outcome", 3, LIGHT)
+    return _by_type(spark, sf, lambda rows: M.time_cv(_blocks(rows, FOLDS), FEATURES, "outcome", FOLDS, LIGHT))
 
 
 @query("player_holdout_cv")
 def player_holdout_cv(spark, sf):
-    rows = _rows(spark, sf).filter("prop = 'REB'")
-    held = splits.group_holdout(rows.select("entity_id"), "entity_id", 2)
-    return M.player_holdout_cv(rows, held, "entity_id", FEATURES, "outcome", 2, LIGHT)
+    def one(rows):
+        held = splits.group_holdout(rows.select("entity_id"), "entity_id", FOLDS)
+        return M.player_holdout_cv(rows, held, "entity_id", FEATURES, "outcome", FOLDS, LIGHT)
+    return _by_type(spark, sf, one)
 
 
 @query("random_search")
 def random_search(spark, sf):
+    """Four configurations of each type; the number is the search's own parameter."""
     grid = {"max_depth": [2, 3], "step": [0.05, 0.1, 0.2], "max_iter": [3, 5]}
-    return M.random_search(_blocks(spark, sf, "AST", 2), FEATURES, "outcome", 2, n=4, top=3, grid=grid)
+    return _by_type(spark, sf, lambda rows: M.random_search(_blocks(rows, 2), FEATURES, "outcome", 2, n=4, top=3, grid=grid))
 
 
 @query("isotonic_calibrate")
@@ -101,11 +114,11 @@ def isotonic_calibrate(spark, sf):
 
 @query("score_props")
 def score_props(spark, sf):
-    """Train, calibrate and score on three disjoint ranges of days; one type has no model."""
+    """Train, calibrate and score on three disjoint ranges of days."""
     rows = splits.three_way_split(_rows(spark, sf), "game_date").withColumn("implied", S.implied_probability(F.col("odds")))
     with M.kept(rows) as held:
         train, later = held.filter("split = 'train'"), held.filter("split = 'calibrate'")
-        models = M.train_per_type(train, "prop", ["PTS", "REB", "AST"], lambda t: FEATURES, "outcome", LIGHT)
+        models = M.train_per_type(train, "prop", list(STATS), lambda t: FEATURES, "outcome", LIGHT)
         cals = {t: M.isotonic_calibrate(m.score(later.filter(F.col("prop") == t)), "ml_prob_raw", "outcome") for t, m in models.items()}
     scored = M.score_props(rows.filter("split = 'test'"), "prop", models, cals, F.col("implied"))
     return scored.select("game_id", "prop", "ml_prob_over", "ml_prediction", "ml_confidence", "ml_edge", "outcome")

@@ -1,8 +1,10 @@
 """Selection, sampling, splits and set operations."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from bindings.base import box, labelled, predicted, prop_rows, query, table
+from bindings.base import STATS, box, labelled, predicted, prop_rows, query, table
 from bindings.evaluating import rounded
 from bindings.joining import slate_picks
 from bindings.scans import RAW_SQL, raw_lines
@@ -63,17 +65,17 @@ def diverse_sample(spark, sf):
 
 
 @query("quota_fill", f"""SELECT game_id, market, line, odds FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY late, ty, t) AS r FROM
-    (SELECT *, t > 1 AS late, CASE market WHEN 'PTS' THEN 0 WHEN 'REB' THEN 1 WHEN 'AST' THEN 2 WHEN '3PM' THEN 3 ELSE 4 END AS ty FROM
+    (SELECT *, t > 3 AS late, CASE market WHEN 'PTS' THEN 0 WHEN 'REB' THEN 1 WHEN 'AST' THEN 2 WHEN '3PM' THEN 3 ELSE 4 END AS ty FROM
     (SELECT *, row_number() OVER (PARTITION BY game_id, market ORDER BY player_name, line, odds, book, side) AS t FROM
       (SELECT DISTINCT game_id, CASE market WHEN 'player_points' THEN 'PTS' WHEN 'player_rebounds' THEN 'REB' WHEN 'player_assists' THEN 'AST'
         WHEN 'player_threes' THEN '3PM' END AS market, player_name, line, odds, book, side FROM ({RAW_SQL})
-        WHERE market LIKE 'player%' AND line IS NOT NULL AND player_name IS NOT NULL)))) WHERE r <= 6""")
+        WHERE market LIKE 'player%' AND line IS NOT NULL AND player_name IS NOT NULL)))) WHERE r <= 15""")
 def quota_fill(spark, sf):
     from formline.sources.odds import market_prop
 
     rows = raw_lines(spark, sf).filter("market LIKE 'player%' AND line IS NOT NULL AND player_name IS NOT NULL")
     rows = rows.select("game_id", market_prop(F.col("market")).alias("market"), "player_name", "line", "odds", "book", "side").distinct()
-    out = T.quota_fill(rows, "game_id", "market", ["player_name", "line", "odds", "book", "side"], 6)
+    out = T.quota_fill(rows, "game_id", "market", ["player_name", "line", "odds", "book", "side"], 15)
     return out.select("game_id", "market", "line", "odds")
 
 
@@ -127,10 +129,12 @@ def top_confidence(spark, sf):
     return T.top_confidence(predicted(spark, sf), "confidence", ["game_id", "prop"], 50, 2).select("game_id", "prop", "confidence")
 
 
-@query("union_selected", """SELECT prop, game_id FROM q_prop WHERE prop IN ('PTS', 'AST')
+@query("union_selected", """SELECT prop, game_id FROM q_prop
     QUALIFY row_number() OVER (PARTITION BY prop ORDER BY odds NULLS LAST, game_id) <= 12""")
 def union_selected(spark, sf):
-    return topn_by_type(spark, sf).filter(F.col("prop").isin("PTS", "AST"))
+    """Each type selected by itself, all types united."""
+    picks = [topn_by_type(spark, sf).filter(F.col("prop") == p) for p in STATS]
+    return reduce(lambda a, b: a.unionByName(b), picks)
 
 
 @query("set_intersect_except", """SELECT 'both' AS part, count(*) AS n FROM (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A')
