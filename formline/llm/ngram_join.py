@@ -285,29 +285,31 @@ def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(links: DataFrame, folder: str) -> DataFrame:
     """(cid, label): every class with a link and the smallest class of its group."""
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/edges")
-    before = None
+    before = state(edges)
     for step in itertools.count():
-        # large star: the larger neighbours of u go to its smallest; small star: the smaller ones and u itself
+        # large star: the larger neighbours of u go to its smallest
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(
-            "u <> v").distinct()
-        large = staged(large, f"{folder}/large-{step}")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # small star: the smaller neighbours of u, and u itself, go to its smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small, f"{folder}/small-{step}")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        edges = staged(small, f"{folder}/star-{step}")
+        now = state(edges)
+        if now == before:  # stars stay as they are
             break
         before = now
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).union(
         edges.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
-def list_links(postings: DataFrame, known: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
-    """Links found by lists, enough to connect all groups; ``known`` links count as found."""
+def list_groups(postings: DataFrame, known: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
+    """(cid, label) of the groups that ``known`` links and those found by lists make."""
     most = boundary(percent)
     ends = postings.groupBy("k1").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("k1")
     lists = staged(postings.join(ends, "k1", "left_semi").select("k1", "cid", "n", "rare").distinct(), f"{folder}/lists")
@@ -319,11 +321,14 @@ def list_links(postings: DataFrame, known: DataFrame, sets_of, percent: int, fol
         return x.join(y, F.expr("x.k1 = y.k1 and x.cid < y.cid") & fits("x.n", "y.n", percent, most) & F.expr(extra)).select(
             F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
-    found = known.union(check(pairs_of(lists.join(short, "k1", "left_semi")), sets, percent))
-    found = staged(found, f"{folder}/short")
+    def grown(new: DataFrame, name: str) -> DataFrame:
+        """The groups of ``label`` and new links; known groups enter as stars."""
+        stars = label.where("cid <> label").select(F.col("cid").alias("a"), F.col("label").alias("b"))
+        return groups(stars.union(new), f"{folder}/{name}")
+
+    label = groups(known.union(check(pairs_of(lists.join(short, "k1", "left_semi")), sets, percent)), f"{folder}/groups")
     left = lists.join(short, "k1", "left_anti")
     for turn in itertools.count():
-        label = groups(found, f"{folder}/groups-{turn}")
         left = left.select("k1", "cid", "n", "rare").join(label, "cid", "left").withColumn(
             "label", F.coalesce("label", "cid"))
         open_ = left.groupBy("k1").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("k1")
@@ -333,17 +338,16 @@ def list_links(postings: DataFrame, known: DataFrame, sets_of, percent: int, fol
         of_list = of_group.groupBy("k1").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
         rows, pairs = left.count(), of_list.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         if not rows:
-            return found
+            return label
         if pairs <= FEW * rows:
-            last = check(pairs_of(left, "x.label <> y.label"), sets, percent)
-            return staged(found.union(last), f"{folder}/last")
+            return grown(check(pairs_of(left, "x.label <> y.label"), sets, percent), "groups-last")
         nth = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("rare"), "cid"))
         hubs = left.withColumn("nth", nth).where(F.col("nth") <= MORE ** turn).select(
             "k1", F.struct("cid", "n", "label").alias("hub"))
         tests = left.join(hubs, "k1").where(
             (F.col("label") != F.col("hub.label")) & fits("n", "hub.n", percent, most)
         ).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
-        found = staged(found.union(check(tests, sets, percent)), f"{folder}/hubs-{turn}")
+        label = grown(check(tests, sets, percent), f"groups-{turn}")
         # a hub has met everybody of its list
         left = left.join(hubs, (left["k1"] == hubs["k1"]) & (left["cid"] == hubs["hub.cid"]), "left_anti").select(
             "k1", "cid", "n", "rare")
@@ -364,8 +368,7 @@ def labelled(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 90)
         return third_pass(docs, text, k, wanted).join(asked, "cid", "left_semi").dropDuplicates(["cid"])
 
     small = subset_links(keys.where("partner is not null"))
-    links = list_links(keys.where("partner is null"), small, sets_of, percent, folder)
-    label = groups(links, f"{folder}/groups")
+    label = list_groups(keys.where("partner is null"), small, sets_of, percent, folder)
     documents = rows.where("bucket is null").select("doc_id", "text_hash", "n", "cid")
     return documents.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
