@@ -12,7 +12,8 @@ and the item counts as found where consistent windows cover ``COVER`` of it. Of
 item twice) each is checked by itself, and the best counts.
 
 The benchmark side is broadcast only if its windows measure at most ``BROADCAST_ROWS``, a bound on its bytes; beyond it the
-same join shuffles. The document side is never held whole: each window is one row of 8 bytes, a position and its slots.
+same join shuffles. A bitmap of 2^19 bits of the benchmark's template windows goes in front of the join, so only windows that
+may match become rows; the document side is never held whole.
 
 Defined cases: null and empty texts hold nothing. Empty items are never found. Rows with equal doc_id and equal text are
 one document; a null doc_id is an id like any other. Other columns are untouched. An empty benchmark finds nothing.
@@ -35,6 +36,9 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l dl gal s sec secs seco
          "meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams kilogram kilograms liter "
          "liters litre litres degree degrees mph kmh kw kwh w v a hz khz mhz ghz kb mb gb tb").split()
 NUMBER = r"^[$€£(+-]*[0-9][0-9.,:/]*(%|st|nd|rd|th)?$"
+PLAIN = r"^\p{Ll}+$"
+WORD_BITS = 13
+WORDS = 1 << WORD_BITS  # of 64 bits
 EDGE = r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}%]+$"
 
 
@@ -45,40 +49,73 @@ def words_of(text: Column) -> Column:
 
 def templates(text: Column) -> Column:
     """Array of (t, s): template word and slot (the bare word for a placeholder, else null)."""
-    words = F.transform(words_of(text), lambda w: F.struct(w.alias("w"), F.regexp_replace(w, EDGE, "").alias("b")))
+    # most words are plain: one pattern decides, and the bare word is the word itself
+    words = F.transform(words_of(text), lambda w: F.struct(w.alias("w"), F.when(w.rlike(PLAIN), w).otherwise(
+        F.regexp_replace(w, EDGE, "")).alias("b")))
 
     def one(all_words: Column, x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(all_words, i - 1))
-        number = x["b"].rlike(NUMBER)
         unit = F.lower(x["b"]).isin(*UNITS) & F.coalesce(before["b"].rlike(NUMBER), F.lit(False))
+        upper = x["b"].rlike(r"^\p{Lu}[\p{Ll}'’-]+$")
         inside = F.coalesce(~before["w"].rlike(r"[.!?:;\"”»|]$"), F.lit(False))
-        name = x["b"].rlike(r"^\p{Lu}[\p{Ll}'’-]+$") & inside
-        kind = F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>")
-        return F.struct(
-            F.coalesce(kind, F.when(x["b"] == "", x["w"]).otherwise(F.lower(x["b"]))).alias("t"),
-            F.when(kind.isNotNull(), x["b"]).alias("s"))
+        plain = (x["b"] == x["w"]) & x["w"].rlike(PLAIN)
+        kind = F.when(unit, "<unit>").when(plain, F.lit(None)).when(x["b"].rlike(NUMBER), "<num>").when(upper & inside, "<name>")
+        return F.transform(F.array(kind), lambda k: F.struct(
+            F.coalesce(k, F.when(x["b"] == "", x["w"]).otherwise(F.lower(x["b"]))).alias("t"),
+            F.when(k.isNotNull(), x["b"]).alias("s")))[0]
 
     # bound once by the outer lambda, so no step computes the words again
     return F.flatten(F.transform(F.array(words), lambda ws: F.transform(ws, lambda x, i: one(ws, x, i))))
 
 
-def windows(text: Column, sizes: list[int]) -> Column:
-    """Array of (h, at, slots) of each window of each size; slots are (offset, value)."""
+def windows(text: Column, sizes: list[int], bits: Column | None = None) -> Column:
+    """Array of (h, at, slots, key) of each window of each size; slots are (offset, value).
+
+    ``key`` hashes the template words alone. With ``bits`` only windows whose key is in that bitmap are spelled out."""
+
+    def of_size(ts: Column, keys: Column, set_bits: Column | None, size: int) -> Column:
+        def key(i: Column) -> Column:
+            return F.xxhash64(F.lit(size), F.slice(keys, i, F.lit(size)))
 
-    def of_size(ts: Column, size: int) -> Column:
         def window(i: Column) -> Column:
             part = F.slice(ts, i, F.lit(size))
             slots = F.filter(F.transform(part, lambda x, k: F.struct(k.alias("o"), x["s"].alias("v"))), lambda x: x["v"].isNotNull())
-            few = size - F.size(slots) < min(LITERALS, size)
-            key = F.transform(part, lambda x: x["t"])
             return F.transform(F.array(slots), lambda z: F.struct(
-                F.when(few, F.xxhash64(F.lit(size), key, z)).otherwise(F.xxhash64(F.lit(size), key)).alias("h"),
-                (i - 1).alias("at"), z.alias("slots")))[0]
-        return F.when(F.size(ts) >= size, F.transform(F.sequence(F.lit(1), F.size(ts) - size + 1), window))
+                F.when(size - F.size(z) < min(LITERALS, size), F.xxhash64(key(i), z)).otherwise(key(i)).alias("h"),
+                (i - 1).alias("at"), z.alias("slots"), key(i).alias("key")))[0]
+
+        places = F.sequence(F.lit(1), F.size(ts) - size + 1)
+        if set_bits is not None:
+            places = F.filter(places, lambda i: F.transform(F.array(slot_of(key(i))), lambda at: (
+                F.call_function("shiftright", F.get(set_bits, at.bitwiseAND(WORDS - 1)), F.shiftright(at, WORD_BITS)).bitwiseAND(1) == 1))[0])
+        return F.when(F.size(ts) >= size, F.transform(places, window))
+
+    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint>>)")
+
+    def each(ts: Column, set_bits: Column | None) -> Column:
+        keys = F.transform(ts, lambda x: F.xxhash64(x["t"]))
+        return F.flatten(F.transform(F.array(keys), lambda ks: F.flatten(F.array(
+            *[F.coalesce(of_size(ts, ks, set_bits, n), none) for n in sizes]))))
+
+    bound = F.array(templates(text))
+    if bits is None:
+        return F.flatten(F.transform(bound, lambda ts: each(ts, None)))
+    return F.flatten(F.flatten(F.transform(bound, lambda ts: F.transform(F.array(bits), lambda b: each(ts, b)))))
+
+
+def slot_of(key: Column) -> Column:
+    """Place of a key in the bitmap: low bits name the word, the six above them the bit."""
+    return key.bitwiseAND(WORDS * 64 - 1).cast("int")
+
 
-    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>>>)")
-    return F.flatten(F.transform(F.array(templates(text)), lambda ts: F.flatten(F.array(
-        *[F.coalesce(of_size(ts, n), none) for n in sizes]))))
+def bitmap(spark, keys: DataFrame) -> Column:
+    """The keys' bitmap of 2^19 bits as one array: it only spares rows, the join decides. A fuller one spares fewer."""
+    at = slot_of(F.col("key"))
+    found = keys.select(at.bitwiseAND(WORDS - 1).alias("word"), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.shiftright(at, WORD_BITS)).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(WORDS).select(F.col("id").cast("int").alias("word")).join(found, "word", "left").select(
+        F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("x"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits")).scalar()
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
@@ -93,16 +130,19 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     if found is None:
         found = sized.select("item_id", F.col("n").alias("n_windows"), F.explode(windows(F.col("text"), [1])).alias("w"))
     return found.select("item_id", "n_windows", F.col("w.h").alias("h"), F.col("w.at").alias("item_at"),
-                        F.col("w.slots").alias("item_slots")), sizes
+                        F.col("w.slots").alias("item_slots"), F.col("w.key").alias("key")), sizes
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, item_id, shift and windows that match at that alignment, with (item value, document value) pairs."""
     items, sizes = benchmark_windows(benchmark, window)
+    bits = bitmap(docs.sparkSession, items.select("key"))
+    items = items.drop("key")
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    rows = docs.select(
-        "doc_id", F.xxhash64(f"`{text}`").alias("text_hash"), F.explode(windows(F.col(f"`{text}`"), sizes or [1])).alias("w")
+    value = docs.select("doc_id", F.col(f"`{text}`").alias("text"), bits.alias("bits"))
+    rows = value.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), sizes or [1], F.col("bits"))).alias("w")
     ).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
     return rows.join(items, "h").select(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
