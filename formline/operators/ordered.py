@@ -123,7 +123,7 @@ def _axis(df: DataFrame, spec: str) -> Column:
         # without a zone, so no clock change folds two moments into one
         day = F.to_date(c)
         v = F.unix_date(day).cast("double") * 86_400e6 + (
-            (F.hour(c) * 60 + F.minute(c)) * 60_000_000 + F.extract(F.lit("SECOND"), c) * 1_000_000).cast("double")
+            (F.hour(c) * 60 + F.minute(c)).cast("double") * 60e6 + F.extract(F.lit("SECOND"), c).cast("double") * 1e6)
     elif isinstance(kind, T.TimestampType):
         v = F.unix_micros(c).cast("double")
     elif isinstance(kind, T.StringType):
