@@ -9,7 +9,7 @@ behind the first pass works on classes, so exact copies cost nothing more.
   overlap they need. Each small set lists those subsets for every partner size; whoever lists the same one is linked,
   without a check and without pairs: each class links to the smallest class of the other size.
 * Large sets scan inverted lists. Shingles are put in one global order, rare ones first; linked sets share one of their
-  first n - ceil(percent n) + 1. Lists of one class are dropped. Short lists give their pairs. Long lists (groups of near
+  first n - ceil(percent n) + 1, and enough shingles must be left behind the first one they share. Lists of one class are dropped. Short lists give their pairs. Long lists (groups of near
   copies, shared passages) test all members against one hub, the member whose rarest shingle is most common; what lies in
   one group afterwards needs no more tests. The next turn takes four hubs a list, then sixteen, so turns are few. A list
   ends when all its members are in one group; as soon as the pairs between different groups are few, they are all tested.
@@ -17,10 +17,10 @@ behind the first pass works on classes, so exact copies cost nothing more.
   near copies costs N tests, not N squared.
 * The boundary is the largest size up to which listing subsets costs less than lists and checks (``boundary``).
 
-The global order takes a class of frequency from a table of 2^25 bytes. Counts cover all shingles of all documents (32-bit
+The global order takes a class of frequency from a table of 2^24 bytes. Counts cover all shingles of all documents (32-bit
 remainders in buckets, summed bucket by bucket); where shingles share a slot the larger class holds. Any fixed order gives
 right results, so the table needs no more room as data grows; a fuller table only makes lists longer. It is the only thing
-sent to all tasks besides a bitmap of 2^26 bits that spares tasks sets nobody asks for; an exact join follows it.
+sent to all tasks besides a bitmap of 2^24 bits that spares tasks sets nobody asks for; an exact join follows it.
 
 Tables that later steps read are written to the shared folder. Groups come from alternating large-star and small-star
 steps, as joins and map-side reduced minima.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from formline.llm.common import fresh
 from formline.session import leaf_bytes, run_dir, staged
 
-SLOT_BITS, MAP_BITS = 25, 26
+SLOT_BITS, MAP_BITS = 24, 24
 SHORT = 32  # a list of at most so many classes gives its pairs at once
 FEW = 16  # pairs between groups, for each posting, that are tested at once
 MORE = 4  # a turn has so many times the hubs of the turn before
@@ -179,7 +179,7 @@ def frequency_table(rows: DataFrame, bits: int) -> np.ndarray:
     found = rows.where("bucket is not null").select("bucket", "remainders").groupBy("bucket").applyInArrow(
         count, "bucket int, slots binary")
     table = np.zeros((1 << bits, 1 << low), np.uint8)
-    for r in found.toLocalIterator():  # 2^25 bytes altogether
+    for r in found.toLocalIterator():  # 2^24 bytes altogether
         table[r.bucket] = np.frombuffer(r.slots, np.uint8)
     return table.reshape(-1)
 
@@ -211,7 +211,9 @@ def second_pass(docs: DataFrame, text: str, k: int, percent: int, bits: int, tab
                     freq = classes[slots_of(tokens, bits)]
                     first = np.lexsort((tokens, freq))[:prefix(n, percent)]
                     rare = int(freq[first[0]])
-                    out += [(t, 0, cid, n, None, rare) for t in tokens[first[freq[first] > 0]].view(np.int64).tolist()]
+                    often = np.flatnonzero(freq[first] > 0)
+                    here = tokens[first[often]].view(np.int64).tolist()
+                    out += [(t, p, cid, n, None, rare) for t, p in zip(here, often.tolist(), strict=True)]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
@@ -241,7 +243,7 @@ def third_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
 
 
 def bitmap(cids: DataFrame) -> np.ndarray:
-    """2^26 bits, those of the given classes set; or-ed together by Spark."""
+    """2^24 bits, those of the given classes set; or-ed together by Spark."""
     at = F.conv(F.hex(F.substring("cid", 1, 4)), 16, 10).cast("bigint").bitwiseAND((1 << MAP_BITS) - 1)
     words = cids.select(
         F.shiftright(at, 6).alias("word"),
@@ -269,9 +271,13 @@ def subset_links(subsets_: DataFrame) -> DataFrame:
     return rows.join(heads, keys).select(F.col("cid").alias("a"), other.alias("b")).where("a <> b").distinct()
 
 
-def fits(n: str, m: str, percent: int, most: int):
-    """Whether sizes can link and are not both small."""
-    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and greatest({n}, {m}) > {most}")
+def fits(x: str, y: str, percent: int, most: int):
+    """Whether two postings of a list can be the first common shingle of linked sets that are not both small: the sizes
+    must be near, and enough shingles must be left from both positions on."""
+    n, m = f"{x}.n", f"{y}.n"
+    return F.expr(
+        f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and greatest({n}, {m}) > {most} and "
+        f"{100 + percent} * least({n} - {x}.k2, {m} - {y}.k2) >= {percent} * ({n} + {m})")
 
 
 def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -310,15 +316,15 @@ def groups(links: DataFrame, folder: str) -> DataFrame:
 
 def list_groups(postings: DataFrame, known: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
     """(cid, label) of the groups that ``known`` links and those found by lists make."""
-    most = boundary(percent)
+    most, posting = boundary(percent), ["k1", "k2", "cid", "n", "rare"]
     ends = postings.groupBy("k1").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("k1")
-    lists = staged(postings.join(ends, "k1", "left_semi").select("k1", "cid", "n", "rare").distinct(), f"{folder}/lists")
+    lists = staged(postings.join(ends, "k1", "left_semi").select(*posting).distinct(), f"{folder}/lists")
     sets = staged(sets_of(lists.select("cid")), f"{folder}/sets")
     short = lists.groupBy("k1").count().where(f"count <= {SHORT}").select("k1")
 
     def pairs_of(rows: DataFrame, extra: str = "true") -> DataFrame:
         x, y = rows.alias("x"), rows.alias("y")
-        return x.join(y, F.expr("x.k1 = y.k1 and x.cid < y.cid") & fits("x.n", "y.n", percent, most) & F.expr(extra)).select(
+        return x.join(y, F.expr("x.k1 = y.k1 and x.cid < y.cid") & fits("x", "y", percent, most) & F.expr(extra)).select(
             F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
     def grown(new: DataFrame, name: str) -> DataFrame:
@@ -329,7 +335,7 @@ def list_groups(postings: DataFrame, known: DataFrame, sets_of, percent: int, fo
     label = groups(known.union(check(pairs_of(lists.join(short, "k1", "left_semi")), sets, percent)), f"{folder}/groups")
     left = lists.join(short, "k1", "left_anti")
     for turn in itertools.count():
-        left = left.select("k1", "cid", "n", "rare").join(label, "cid", "left").withColumn(
+        left = left.select(*posting).join(label, "cid", "left").withColumn(
             "label", F.coalesce("label", "cid"))
         open_ = left.groupBy("k1").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("k1")
         left = staged(left.join(open_, "k1", "left_semi"), f"{folder}/left-{turn}")
@@ -343,14 +349,13 @@ def list_groups(postings: DataFrame, known: DataFrame, sets_of, percent: int, fo
             return grown(check(pairs_of(left, "x.label <> y.label"), sets, percent), "groups-last")
         nth = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("rare"), "cid"))
         hubs = left.withColumn("nth", nth).where(F.col("nth") <= MORE ** turn).select(
-            "k1", F.struct("cid", "n", "label").alias("hub"))
-        tests = left.join(hubs, "k1").where(
-            (F.col("label") != F.col("hub.label")) & fits("n", "hub.n", percent, most)
+            "k1", F.struct("k2", "cid", "n", "label").alias("hub"))
+        tests = left.alias("own").join(hubs, "k1").where(
+            (F.col("label") != F.col("hub.label")) & fits("own", "hub", percent, most)
         ).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
         label = grown(check(tests, sets, percent), f"groups-{turn}")
         # a hub has met everybody of its list
-        left = left.join(hubs, (left["k1"] == hubs["k1"]) & (left["cid"] == hubs["hub.cid"]), "left_anti").select(
-            "k1", "cid", "n", "rare")
+        left = left.join(hubs, (left["k1"] == hubs["k1"]) & (left["cid"] == hubs["hub.cid"]), "left_anti").select(*posting)
 
 
 def labelled(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
