@@ -6,10 +6,11 @@ without punctuation at its ends. A placeholder's own text is its slot. Windows o
 benchmark items are joined by hash; items with fewer words are matched as a whole.
 
 A window with few literal words says little, so below ``LITERALS`` of them its slots belong to its hash: it only matches
-with equal values. For each document and item the matched windows are then checked together: aligned by position, every
-item slot value must stand for one document value (an injective, consistent renaming, as in a re-parameterised question),
-and the item counts as found where consistent windows cover ``COVER`` of it. Of several alignments (a document that holds an
-item twice) each is checked by itself, and the best counts.
+with equal values. The matched windows of a document and item are then judged by alignment (document position less item
+position): a window counts if its slots equal the item's, or if they follow the renaming that most positions of the
+alignment agree on, as in a re-parameterised question. So one edited name or number costs only the windows it stands in. The
+item is found where the windows that count, of all alignments together, cover ``COVER`` of its windows, so an inserted or
+left out word costs no more than the windows around it.
 
 The benchmark side is broadcast only if its windows measure at most ``BROADCAST_ROWS``, a bound on its bytes; beyond it the
 same join shuffles. A bitmap of 2^19 bits of the benchmark's template windows goes in front of the join, so only windows that
@@ -21,7 +22,7 @@ one document; a null doc_id is an id like any other. Other columns are untouched
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.common import fresh
@@ -37,6 +38,7 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l dl gal s sec secs seco
          "liters litre litres degree degrees mph kmh kw kwh w v a hz khz mhz ghz kb mb gb tb").split()
 NUMBER = r"^[$€£(+-]*[0-9][0-9.,:/]*(%|st|nd|rd|th)?$"
 PLAIN = r"^\p{Ll}+$"
+PAIR = ["doc_id", "text_hash", "item_id"]
 WORD_BITS = 13
 WORDS = 1 << WORD_BITS  # of 64 bits
 EDGE = r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}%]+$"
@@ -134,7 +136,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, item_id, shift and windows that match at that alignment, with (item value, document value) pairs."""
+    """doc_id, text_hash, item_id, shift and windows that match at that alignment, with slots (position, item value, document value)."""
     items, sizes = benchmark_windows(benchmark, window)
     bits = bitmap(docs.sparkSession, items.select("key"))
     items = items.drop("key")
@@ -146,17 +148,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: i
     ).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
     return rows.join(items, "h").select(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
-        F.zip_with("item_slots", "slots", lambda a, b: F.struct(a["v"].alias("item"), b["v"].alias("doc"))).alias("slots"))
+        F.zip_with("item_slots", "slots", lambda a, b: F.struct(
+            (F.col("item_at") + a["o"]).alias("at"), a["v"].alias("item"), b["v"].alias("doc"))).alias("slots"))
+
+
+def consistent(hits: DataFrame) -> DataFrame:
+    """The matched windows whose slots all equal the item's, or all follow their alignment's majority renaming.
+
+    That renaming sends an item value to the document value it meets at most positions of the alignment; of as many, the
+    equal value counts first. Two item values may meet one document value. One exchange, by document and item."""
+    within = lambda *more: Window.partitionBy(*PAIR, "shift", *more)
+    one = [*PAIR, "n_windows", "shift", "item_at", "slots"]
+    rows = hits.repartition(*PAIR).select(*one).distinct().select(*one, F.explode_outer("slots").alias("x")).select(*one, "x.*")
+    rows = rows.withColumn("once", (F.row_number().over(within("at").orderBy("item_at")) == 1).cast("int"))
+    rows = rows.withColumn("votes", F.sum("once").over(within("item", "doc")))
+    rows = rows.withColumn("most", F.max_by("doc", F.struct("votes", F.expr("item = doc"), "doc")).over(within("item")))
+    same, renamed = (F.every(F.coalesce(F.expr(x), F.lit(True))) for x in ("item = doc", "doc = most"))
+    return rows.groupBy(*one).agg(same.alias("same"), renamed.alias("renamed")).where("same or renamed")
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
-    """doc_id, text_hash, item_id and covered (the best alignment's share of the item), for items found in a document."""
-    hits = matches(docs, benchmark, text, window).groupBy("doc_id", "text_hash", "item_id", "n_windows", "shift").agg(
-        F.count_distinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    # a renaming is consistent if it is a function both ways
-    count = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side])))
-    consistent = (count("item") == F.size("slots")) & (count("doc") == F.size("slots"))
-    return hits.where(consistent).groupBy("doc_id", "text_hash", "item_id").agg(
+    """doc_id, text_hash, item_id and covered (the matched share of the item), for items found in a document."""
+    return consistent(matches(docs, benchmark, text, window)).groupBy(*PAIR, "n_windows").agg(
+        F.count_distinct("item_at").alias("n")).groupBy(*PAIR).agg(
         F.max(F.col("n") / F.col("n_windows")).alias("covered")).where(F.col("covered") >= cover)
 
 
