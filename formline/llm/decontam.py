@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
 Words are split at white space. The template of a word is a typed placeholder for a number (``<num>``), a unit behind a
-number (``<unit>``) and a name (``<name>``: a capitalised word that does not begin a sentence), else the word in lower case
-without punctuation at its ends. A placeholder's own text is its slot. Windows of ``WINDOW`` template words of documents and
+number (``<unit>``) and a name (``<name>``: a capitalised word that does not begin a sentence), else the word in lower
+case without punctuation at its ends. A placeholder's own text is its slot. A capitalised word that begins a sentence may be
+either, so a window that holds such words is read twice, with all of them as words and with all of them as names. Windows of ``WINDOW`` template words of documents and
 benchmark items are joined by hash; items with fewer words are matched as a whole.
 
 A window with few literal words says little, so below ``LITERALS`` of them its slots belong to its hash: it only matches
-with equal values. The matched windows of a document and item are then judged by alignment (document position less item
+with equal values, or as part of a window of ``WIDE`` times its length (or of its whole item) that has so many literal words.
+A passage with fewer even there, as a bare list of numbers, says nothing by its template and is found as an exact copy. The matched windows of a document and item are then judged by alignment (document position less item
 position): a window counts if its slots equal the item's, or if they follow the renaming that most positions of the
 alignment agree on, as in a re-parameterised question. So one edited name or number costs only the windows it stands in. The
 item is found where the windows that count, of all alignments together, cover ``COVER`` of its windows, so an inserted or
@@ -29,6 +31,8 @@ from formline.llm.common import fresh
 
 WINDOW = 8
 LITERALS = 4
+WIDE = 2  # windows' length
+OPEN = "<name?>"
 COVER = 0.3
 BROADCAST_ROWS = 1_000_000  # hash, item, position and slots: at most about 100 MB
 #: Units that make the word behind a number a unit.
@@ -50,7 +54,8 @@ def words_of(text: Column) -> Column:
 
 
 def templates(text: Column) -> Column:
-    """Array of (t, s): template word and slot (the bare word for a placeholder, else null)."""
+    """Array of (t, s, n): template word, slot (the bare word for a placeholder, else null), and the bare word where it is
+    capitalised at the start of a sentence, so that it may be a name."""
     # most words are plain: one pattern decides, and the bare word is the word itself
     words = F.transform(words_of(text), lambda w: F.struct(w.alias("w"), F.when(w.rlike(PLAIN), w).otherwise(
         F.regexp_replace(w, EDGE, "")).alias("b")))
@@ -61,43 +66,80 @@ def templates(text: Column) -> Column:
         upper = x["b"].rlike(r"^\p{Lu}[\p{Ll}'’-]+$")
         inside = F.coalesce(~before["w"].rlike(r"[.!?:;\"”»|]$"), F.lit(False))
         plain = (x["b"] == x["w"]) & x["w"].rlike(PLAIN)
-        kind = F.when(unit, "<unit>").when(plain, F.lit(None)).when(x["b"].rlike(NUMBER), "<num>").when(upper & inside, "<name>")
+        kind = F.when(unit, "<unit>").when(plain, F.lit(None)).when(x["b"].rlike(NUMBER), "<num>").when(
+            upper, F.when(inside, "<name>").otherwise(OPEN))
         return F.transform(F.array(kind), lambda k: F.struct(
-            F.coalesce(k, F.when(x["b"] == "", x["w"]).otherwise(F.lower(x["b"]))).alias("t"),
-            F.when(k.isNotNull(), x["b"]).alias("s")))[0]
+            F.when(k != OPEN, k).otherwise(F.when(x["b"] == "", x["w"]).otherwise(F.lower(x["b"]))).alias("t"),
+            F.when(k != OPEN, x["b"]).alias("s"), F.when(k == OPEN, x["b"]).alias("n")))[0]
 
     # bound once by the outer lambda, so no step computes the words again
     return F.flatten(F.transform(F.array(words), lambda ws: F.transform(ws, lambda x, i: one(ws, x, i))))
 
 
-def windows(text: Column, sizes: list[int], bits: Column | None = None) -> Column:
-    """Array of (h, at, slots, key) of each window of each size; slots are (offset, value).
+def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: Column | None = None, window: int = WINDOW) -> Column:
+    """Array of (h, at, slots, key, size) of each window of each size; slots are (offset, value).
 
-    ``key`` hashes the template words alone. With ``bits`` only windows whose key is in that bitmap are spelled out."""
+    ``key`` hashes the template words alone. With ``bits`` only windows whose key is in that bitmap are spelled out.
+    Windows that hold an open word come twice, the second time with all their open words as names. ``wides`` are the sizes
+    to read around windows of ``window`` words with too few literal words, where the longer one has enough."""
 
-    def of_size(ts: Column, keys: Column, set_bits: Column | None, size: int) -> Column:
-        def key(i: Column) -> Column:
-            return F.xxhash64(F.lit(size), F.slice(keys, i, F.lit(size)))
+    def key(keys: Column, size, i: Column) -> Column:
+        return F.xxhash64(size, F.slice(keys, i, size))
 
-        def window(i: Column) -> Column:
-            part = F.slice(ts, i, F.lit(size))
-            slots = F.filter(F.transform(part, lambda x, k: F.struct(k.alias("o"), x["s"].alias("v"))), lambda x: x["v"].isNotNull())
+    def spelled(ts: Column, keys: Column, set_bits: Column | None, size: Column, places: Column) -> Column:
+        def one(i: Column) -> Column:
+            slots = F.filter(F.transform(F.slice(ts, i, size), lambda x, k: F.struct(k.alias("o"), x["s"].alias("v"))),
+                             lambda x: x["v"].isNotNull())
             return F.transform(F.array(slots), lambda z: F.struct(
-                F.when(size - F.size(z) < min(LITERALS, size), F.xxhash64(key(i), z)).otherwise(key(i)).alias("h"),
-                (i - 1).alias("at"), z.alias("slots"), key(i).alias("key")))[0]
+                F.when(size - F.size(z) < F.least(F.lit(LITERALS), size), F.xxhash64(key(keys, size, i), z)).otherwise(
+                    key(keys, size, i)).alias("h"),
+                (i - 1).alias("at"), z.alias("slots"), key(keys, size, i).alias("key"), size.alias("size")))[0]
 
-        places = F.sequence(F.lit(1), F.size(ts) - size + 1)
         if set_bits is not None:
-            places = F.filter(places, lambda i: F.transform(F.array(slot_of(key(i))), lambda at: (
+            places = F.filter(places, lambda i: F.transform(F.array(slot_of(key(keys, size, i))), lambda at: (
                 F.call_function("shiftright", F.get(set_bits, at.bitwiseAND(WORDS - 1)), F.shiftright(at, WORD_BITS)).bitwiseAND(1) == 1))[0])
-        return F.when(F.size(ts) >= size, F.transform(places, window))
-
-    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint>>)")
+        return F.when(F.size(ts) >= size, F.transform(places, one))
+
+    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint, size: int>>)")
+
+    def positions(ts: Column, field: str) -> Column:
+        return F.filter(F.transform(ts, lambda x, i: F.when(x[field].isNotNull(), i + 1)), lambda i: i.isNotNull())
+
+    def around(ts: Column, size: Column, ranges: Column) -> Column:
+        """Begins of the windows that hold a range (lo, hi) of positions."""
+        return F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(
+            F.greatest(F.lit(1), r["hi"] - size + 1), F.least(r["lo"], F.size(ts) - size + 1)))))
+
+    def dense(ts: Column) -> Column:
+        """Ranges of slots that leave a window too few literal words."""
+        gap = max(0, window - LITERALS)
+        return F.flatten(F.transform(F.array(positions(ts, "s")), lambda q: F.filter(
+            F.transform(F.slice(q, 1, F.greatest(F.size(q) - gap, F.lit(0))), lambda lo, j: F.struct(lo.alias("lo"), F.get(q, j + gap).alias("hi"))),
+            lambda r: r["hi"] - r["lo"] < window)))
+
+    def reading(ts: Column, set_bits: Column | None, opened: Column | None) -> Column:
+        def all_sizes(keys: Column) -> Column:
+            parts = []
+            for n in sizes:
+                size = F.lit(n)
+                places = F.sequence(F.lit(1), F.size(ts) - n + 1) if opened is None else around(ts, size, opened)
+                parts.append(F.coalesce(spelled(ts, keys, set_bits, size, places), none))
+            if wides is not None:
+                parts.append(F.flatten(F.flatten(F.transform(F.array(dense(ts)), lambda runs: F.transform(
+                    F.when(F.size(runs) > 0, wides).otherwise(F.expr("cast(array() as array<int>)")),
+                    lambda size: F.coalesce(spelled(ts, keys, set_bits, size, F.filter(around(ts, size, runs), lambda i: (
+                        F.size(F.filter(F.slice(ts, i, size), lambda x: x["s"].isNull())) >= LITERALS))), none))))))
+            return F.flatten(F.array(*parts))
+
+        return F.flatten(F.transform(F.array(F.transform(ts, lambda x: F.xxhash64(x["t"]))), all_sizes))
 
     def each(ts: Column, set_bits: Column | None) -> Column:
-        keys = F.transform(ts, lambda x: F.xxhash64(x["t"]))
-        return F.flatten(F.transform(F.array(keys), lambda ks: F.flatten(F.array(
-            *[F.coalesce(of_size(ts, ks, set_bits, n), none) for n in sizes]))))
+        named = F.transform(ts, lambda x: F.struct(F.when(x["n"].isNotNull(), "<name>").otherwise(x["t"]).alias("t"),
+                                                   F.coalesce(x["n"], x["s"]).alias("s")))
+        opened = F.transform(positions(ts, "n"), lambda i: F.struct(i.alias("lo"), i.alias("hi")))
+        second = F.flatten(F.transform(F.array(named), lambda us: F.flatten(F.transform(
+            F.array(opened), lambda o: F.when(F.size(o) > 0, reading(us, set_bits, o)).otherwise(none)))))
+        return F.concat(reading(ts, set_bits, None), second)
 
     bound = F.array(templates(text))
     if bits is None:
@@ -120,36 +162,45 @@ def bitmap(spark, keys: DataFrame) -> Column:
     return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits")).scalar()
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int]]:
-    """(item_id, h, item_at, item_slots, windows of the item), and the window sizes that occur: at most ``window`` of them."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[int], list[int]]:
+    """(item_id, h, item_at, item_slots, windows of the item), the window sizes that occur (at most ``window`` of them), and
+    the longer sizes."""
     sized = benchmark.select("item_id", "text", F.size(words_of(F.col("text"))).alias("n")).where("n > 0").distinct()
     sizes = sorted(r[0] for r in sized.select(F.least("n", F.lit(window))).distinct().collect())
+    longer = sorted(r[0] for r in sized.where(F.col("n") > window).select(F.least("n", F.lit(WIDE * window))).distinct().collect())
     found = None
     for size in sizes:
         some = sized.where(F.col("n") == size if size < window else F.col("n") >= window)
-        one = some.select("item_id", (F.col("n") - size + 1).alias("n_windows"), F.explode(windows(F.col("text"), [size])).alias("w"))
+        wides = F.when(F.col("n") > window, F.array(F.least("n", F.lit(WIDE * window)))).otherwise(F.expr("cast(array() as array<int>)"))
+        one = some.select("item_id", (F.col("n") - size + 1).alias("n_windows"), F.explode(
+            windows(F.col("text"), [size], wides=wides if size == window else None, window=window)).alias("w"))
         found = one if found is None else found.union(one)
     if found is None:
         found = sized.select("item_id", F.col("n").alias("n_windows"), F.explode(windows(F.col("text"), [1])).alias("w"))
     return found.select("item_id", "n_windows", F.col("w.h").alias("h"), F.col("w.at").alias("item_at"),
-                        F.col("w.slots").alias("item_slots"), F.col("w.key").alias("key")), sizes
+                        F.col("w.slots").alias("item_slots"), F.col("w.key").alias("key")), sizes, longer
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, item_id, shift and windows that match at that alignment, with slots (position, item value, document value)."""
-    items, sizes = benchmark_windows(benchmark, window)
+    items, sizes, longer = benchmark_windows(benchmark, window)
     bits = bitmap(docs.sparkSession, items.select("key"))
     items = items.drop("key")
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     value = docs.select("doc_id", F.col(f"`{text}`").alias("text"), bits.alias("bits"))
-    rows = value.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), sizes or [1], F.col("bits"))).alias("w")
-    ).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
-    return rows.join(items, "h").select(
-        "doc_id", "text_hash", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
+    wides = F.array(*[F.lit(n) for n in longer]) if longer else None
+    rows = value.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(
+        windows(F.col("text"), sizes or [1], F.col("bits"), wides, window)).alias("w")
+    ).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"), F.col("w.size").alias("size"))
+    hits = rows.join(items, "h").select(
+        "doc_id", "text_hash", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"),
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(
-            (F.col("item_at") + a["o"]).alias("at"), a["v"].alias("item"), b["v"].alias("doc"))).alias("slots"))
+            (F.col("item_at") + a["o"]).alias("at"), a["v"].alias("item"), b["v"].alias("doc"))).alias("all_slots"),
+        # a longer window stands for the windows in it
+        F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.greatest(F.col("size") - window, F.lit(0)))).alias("item_at"))
+    return hits.select("doc_id", "text_hash", "item_id", "n_windows", "shift", "item_at", F.filter("all_slots", lambda x: (
+        x["at"] >= F.col("item_at")) & (x["at"] < F.col("item_at") + window)).alias("slots"))
 
 
 def consistent(hits: DataFrame) -> DataFrame:
