@@ -9,8 +9,9 @@ Thresholds are calibrated by language on labelled rows kept out of training. The
 letters (never from a column); a language with few labelled toxic rows takes the threshold of all. The score is a
 logistic function of the distance to the threshold, so 0.5 is the threshold of each language.
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows of each label, those of the smallest hash of their id; this is the only
-bound. The model is about 2 MB; scoring is one pass without a shuffle, and a task remembers at most ``MAX_WORDS`` words.
+The weights are trained on at most ``SAMPLE_ROWS`` labelled rows of each label, those of the smallest hash of their id; this
+is the only bound. The thresholds are chosen from all labelled rows kept out of training: labels are counted by language and
+score (to six decimals), and running sums of that table, in cells of 1/1024, give the F1 of each possible limit. The model is about 2 MB; scoring is one pass without a shuffle, and a task remembers at most ``MAX_WORDS`` words.
 
 Defined cases: a null or empty text is scored as a text without words. Labels with a null id or null label are left out; of
 contradicting labels the larger counts. Without labels of both kinds every score is 0. Rows are independent; repeated rows
@@ -25,11 +26,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from formline.llm.common import add_struct, fresh, without
+from formline.session import run_dir, staged
 
 SAMPLE_ROWS = 3_000
 BITS = 15  # of a hash; a word and a stem are packed into one int
@@ -216,7 +218,8 @@ class Scorer:
         top = pooled(self.cache[np.array(rows, np.int64)], starts)
         return np.maximum(top + self.model.bias, 0) @ self.model.out + self.model.shift
 
-    def scores(self, texts: list[str | None], characters: int = 1_000_000) -> np.ndarray:
+    def all_logits(self, texts: list[str | None], characters: int = 1_000_000) -> np.ndarray:
+        """Logits of texts, about so many characters at once."""
         if not texts:
             return np.empty(0)
         out, part, size = [], [], 0
@@ -228,8 +231,13 @@ class Scorer:
                 part, size = [], 0
         if part:
             out.append(self.logits(part))
+        return np.concatenate(out)
+
+    def scores(self, texts: list[str | None], characters: int = 1_000_000) -> np.ndarray:
+        if not texts:
+            return np.empty(0)
         limit = np.array([self.model.thresholds.get(language((t or "").lower()), self.model.thresholds.get("", 0.0)) for t in texts])
-        z = np.clip(self.model.scale * (np.concatenate(out) - limit), -500, 500)
+        z = np.clip(self.model.scale * (self.all_logits(texts, characters) - limit), -500, 500)
         return 1 / (1 + np.exp(-z))
 
 
@@ -244,55 +252,86 @@ def best_threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
     return float((z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 2)) / 2)
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, languages: list[str], held: np.ndarray, least: int = 10) -> Model:
-    """Train on rows that are not ``held``, set the thresholds on those that are."""
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], toxic[~held])
-    use = held if toxic[held].any() and (~toxic[held]).any() else np.ones(len(texts), bool)
-    codes, starts = padded([t for t, u in zip(texts, use, strict=True) if u])
-    table = model.projections()
-    word, stem = split_codes(codes)
-    top = pooled(table[word] + table[stem], starts)
-    logits, y = np.maximum(top + model.bias, 0) @ model.out + model.shift, toxic[use]
-    spoken = np.array(languages)[use]
-    model.thresholds[""] = best_threshold(logits, y)
-    for name in LANGUAGES:
-        own = spoken == name
-        if y[own].sum() >= least and (~y[own]).sum() >= least:
-            model.thresholds[name] = best_threshold(logits[own], y[own])
-    return model
-
-
 def remainder() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5
 
 
+def counted(docs: DataFrame, known: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """language (also "", for all), logit, toxic and n: labelled documents by language and score. No text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scorers: list[Scorer] = []
+    fields = StructType([StructField("language", StringType()), StructField("logit", DoubleType())])
+
+    def batch(values: list) -> pa.Array:
+        if not scorers:
+            scorers.append(Scorer(shared.value))
+        return pa.StructArray.from_arrays([
+            pa.array([language((t or "").lower()) for t in values], pa.string()),
+            pa.array(scorers[0].all_logits(values), pa.float64())], names=["language", "logit"])
+
+    scored = add_struct(docs.select("doc_id", F.col(f"`{text}`").alias("text")), "text", "x", fields, batch)
+    return scored.select("doc_id", "x.*").join(known, "doc_id").select(
+        F.explode(F.array("language", F.lit(""))).alias("language"), F.round("logit", 6).alias("logit"), "toxic").groupBy(
+        "language", "logit").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+
+
+def best_thresholds(counts: DataFrame, least: int = 10) -> dict[str, float]:
+    """``best_threshold`` of each language from its table of counts; languages with ``least`` rows of each label, and "" with
+    any. Sums run over cells first and then within each cell, which holds at most about 1,000 scores."""
+    each = counts.withColumn("cell", F.floor(F.col("logit") * 1024))
+    cells = each.groupBy("language", "cell").agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.max("logit").alias("top"))
+    every, down = Window.partitionBy("language"), Window.partitionBy("language").orderBy(F.desc("cell"))
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(
+        "language", "cell", F.lead("top").over(down).alias("below"), F.sum("toxic").over(every).alias("all_toxic"),
+        F.sum("n").over(every).alias("all_n"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("toxic", "n")])
+    inner = Window.partitionBy("language", "cell").orderBy(F.desc("logit"))
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    hits, picked = (F.col(f"{c}_above") + F.sum(c).over(upto) for c in ("toxic", "n"))
+    rows = each.join(cells, ["language", "cell"]).select(
+        "language", "logit", "all_toxic", "all_n", F.coalesce(F.lead("logit").over(inner), "below").alias("next"),
+        (2 * hits / (picked + F.col("all_toxic"))).alias("f1"))
+    best = rows.groupBy("language", "all_toxic", "all_n").agg(
+        F.max_by(F.struct("logit", "next"), F.struct("f1", "logit")).alias("z")).collect()
+    return {r.language: (r.z.logit + (r.z.logit - 2 if r.z.next is None else r.z.next)) / 2 for r in best
+            if min(r.all_toxic, r.all_n - r.all_toxic) >= (least if r.language else 1)}
+
+
+def calibrate(docs: DataFrame, known: DataFrame, model: Model, text: str = "text") -> dict[str, float]:
+    """Thresholds from all labelled rows of remainder 4; where these lack a label, from all that may be read."""
+    folder = run_dir(docs.sparkSession, "toxicity")
+    found: dict[str, float] = {}
+    for name, own in (("held", remainder() == 4), ("all", remainder() > 0)):
+        if "" not in found:
+            found = best_thresholds(staged(counted(docs.where(own), known.where(own), model, text), f"{folder}/{name}"))
+    return found
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from labelled rows whose crc32(doc_id) mod 5 is 1 to 3 (training) or 4 (thresholds); None without both labels."""
     known = labels.where("doc_id is not null and toxic is not null").where(remainder() > 0).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     picked = None
     for y in (0, 1):
-        some = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        some = known.where(F.col("toxic") == y).where(remainder() < 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         picked = some if picked is None else picked.union(some)
     # at most twice ``rows`` pairs of numbers, so the hint has a bound
     texts = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
-    fields = StructType([StructField("codes", ArrayType(IntegerType(), False)), StructField("language", StringType())])
+    fields = StructType([StructField("codes", ArrayType(IntegerType(), False))])
 
     def batch(values: list) -> pa.Array:
-        return pa.StructArray.from_arrays([
-            pa.array([codes_of(t) for t in values], pa.list_(pa.int32())),
-            pa.array([language((t or "").lower()) for t in values], pa.string())], names=["codes", "language"])
+        return pa.StructArray.from_arrays([pa.array([codes_of(t) for t in values], pa.list_(pa.int32()))], names=["codes"])
 
-    found = add_struct(texts, "text", "x", fields, batch).select(
-        "doc_id", "toxic", "x.*", (remainder() == 4).alias("held")).toArrow().sort_by([("doc_id", "ascending")])
+    found = add_struct(texts, "text", "x", fields, batch).select("doc_id", "toxic", "x.*").toArrow().sort_by([("doc_id", "ascending")])
     toxic = np.array(found.column("toxic").to_pylist(), np.int64) == 1
-    held = np.array(found.column("held").to_pylist(), bool)
-    if not toxic[~held].any() or toxic[~held].all():
+    if not toxic.any() or toxic.all():
         return None
     codes = found.column("codes").combine_chunks()
     values, ends = codes.values.to_numpy().astype(np.int64), codes.offsets.to_numpy()
-    sequences = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit(sequences, toxic, found.column("language").to_pylist(), held)
+    model = train([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], toxic)
+    model.thresholds = calibrate(docs, known.where("toxic in (0, 1)"), model, text)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
