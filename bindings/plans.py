@@ -71,6 +71,7 @@ def train_per_type(spark, sf):
 
 
 FOLDS = 5
+SEARCHES = 500
 
 
 def _blocks(rows, k):
@@ -99,9 +100,8 @@ def player_holdout_cv(spark, sf):
 
 @query("random_search")
 def random_search(spark, sf):
-    """Four configurations of each type; the number is the search's own parameter."""
-    grid = {"max_depth": [2, 3], "step": [0.05, 0.1, 0.2], "max_iter": [3, 5]}
-    return _by_type(spark, sf, lambda rows: M.random_search(_blocks(rows, 2), FEATURES, "outcome", 2, n=4, top=3, grid=grid))
+    """``SEARCHES`` configurations of the whole grid for each type, over the folds of ``time_cv``."""
+    return _by_type(spark, sf, lambda rows: M.random_search(_blocks(rows, FOLDS), FEATURES, "outcome", FOLDS, n=SEARCHES))
 
 
 @query("isotonic_calibrate")
