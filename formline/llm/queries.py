@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from formline.llm import decontam, line_dedup, ngram_join, pii, quality, secrets, sp_codec, token_counts, toxicity, warc
+from formline.llm import decontam, line_dedup, ngram_join, packing, periodic, pii, quality, secrets, sp_codec, token_counts
+from formline.llm import toxicity, vector_codes, warc
+from formline.session import run_dir, staged
 
 QUERIES, ORACLE = {}, {}
 
@@ -120,3 +122,74 @@ def op1_decontamination(spark, sf):
 @query("op9_toxicity")
 def op9_toxicity(spark, sf):
     return toxicity.predict(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+BYTES = "byte_bpe_50k.json"
+
+
+@query("op11_packing")
+def op11_packing(spark, sf):
+    pieces = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(BYTES), keep=["doc_id"])
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def with_periods(docs):
+    """Every tenth text by the hash of its id with its tail made periodic, the others as they are.
+
+    No lambda reads the words one by one, so each text is split a fixed number of times."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("h"))
+    words = "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    chosen = hashed.withColumn("words", F.expr(f"case when h % 10 = 0 then {words} end")).withColumn("n", F.size("words"))
+    sized = chosen.withColumn("a", F.expr("cast(case when n > 0 then (h div 10) % n end as int)")).withColumn(
+        "p", F.expr("cast(1 + (n - a) div (3 + (h div 10) % 8) as int)"))
+    tail = "slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a)"
+    return sized.select("doc_id", F.expr(
+        f"case when n > 0 then array_join(concat(slice(words, 1, a), {tail}), ' ') else text end").alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf):
+    found = periodic.find_runs(with_periods(table(spark, sf, "documents")))
+    best = found.withColumn("best", periodic.strongest("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def coded_sql(base: str, entries: str) -> str:
+    """Nearest entry of every part."""
+    return f"""(SELECT vec_id, part, e, x, d FROM (SELECT b.vec_id, b.part, c.e, b.x,
+      list_sum(list_transform(range(1, len(b.x) + 1), lambda i: (b.x[i] - c.c[i]) * (b.x[i] - c.c[i]))) AS d
+      FROM {base} b JOIN {entries} c ON b.part = c.part) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, e) = 1)"""
+
+
+def moved_sql(coded: str, entries: str) -> str:
+    """Entries after one round."""
+    return f"""(SELECT o.part, o.e, coalesce(m.c, o.c) AS c FROM {entries} o LEFT JOIN (SELECT part, e, list(v ORDER BY i) AS c FROM
+      (SELECT part, e, i, CAST(floor(sum(x[i])::DOUBLE / count(*)) AS BIGINT) AS v FROM {coded}, (SELECT unnest(range(1, 5)) AS i)
+       GROUP BY ALL) GROUP BY ALL) m ON o.part = m.part AND o.e = m.e)"""
+
+
+@query("op13_vector_codes", f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, part, v[part * 4 + 1 : part * 4 + 4] AS x FROM k, (SELECT unnest(range(16)) AS part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 64),
+c0 AS (SELECT part, e, x AS c FROM parts JOIN first USING (vec_id)),
+a1 AS {coded_sql("parts", "c0")}, c1 AS {moved_sql("a1", "c0")},
+a2 AS {coded_sql("parts", "c1")}, c2 AS {moved_sql("a2", "c1")},
+a3 AS {coded_sql("parts", "c2")},
+coded AS (SELECT vec_id, string_agg(lpad(format('{{:x}}', e), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a3 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS s FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM coded JOIN k USING (vec_id), books""")
+def op13_vector_codes(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.train(rows)
+    coded = staged(vector_codes.encode(rows, books), f"{run_dir(spark, 'vector-codes')}/coded")
+    summed = vector_codes.with_total(coded, "label", "error", "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
