@@ -23,7 +23,7 @@ import functools
 import json
 import os
 import re
-import struct
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -110,15 +110,18 @@ class Encoder:
     def unit(self, unit: str) -> bytes:
         """Ids of one pre-token."""
         named = unit.encode().decode("latin-1").translate(self.names)
-        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.tokenizer.model.tokenize(named)]) else b""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a word with a space in front."""
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.tokenizer.model.tokenize("Ġ" + word)]).tobytes()
         if not word or word[0].isspace() or word[-1].isspace():
             raise Mixed
         if not FAMILIAR.fullmatch(word) or any(s in word for s in self.special):
             return self.whole([f" {word}"])[0]
-        return b"".join(map(self.units.__getitem__, UNITS.findall(f" {word}")))
+        head, *rest = UNITS.findall(f" {word}")
+        return b"".join([self.words[head[1:]], *map(self.units.__getitem__, rest)]) if rest else self.unit(head)
 
     def text(self, text: str) -> bytes:
         words = text.split(" ")
