@@ -14,6 +14,7 @@ from formline.operators import splits
 from formline.plans import build as B
 from formline.plans import daily as D
 from formline.plans import models as M
+from formline.plans import search as Q
 from formline.session import run_dir
 
 COLUMNS = B.Columns(stats=STATS)
@@ -101,7 +102,9 @@ def player_holdout_cv(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     """``SEARCHES`` configurations of the whole grid for each type, over the folds of ``time_cv``."""
-    return _by_type(spark, sf, lambda rows: M.random_search(_blocks(rows, FOLDS), FEATURES, "outcome", FOLDS, n=SEARCHES))
+    rows = _rows(spark, sf)
+    blocks = reduce(lambda a, b: a.unionByName(b), [_blocks(rows.filter(F.col("prop") == p), FOLDS) for p in STATS])
+    return Q.random_search(blocks, "prop", ["game_id"], FEATURES, "outcome", FOLDS, n=SEARCHES)
 
 
 @query("isotonic_calibrate")

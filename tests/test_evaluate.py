@@ -160,8 +160,3 @@ def test_holdout_cv_sees_only_other_players(spark):
     held = P.group_holdout(df, "who", 2)
     got = M.player_holdout_cv(df, held, "who", ["f"], "y", 2, M.TreeParams(max_iter=2, max_depth=2, step=0.3)).first()
     assert got["folds"] == 2 and got["accuracy"] == 1.0 and got["roc_auc_std"] == 0.0
-
-
-def test_grid_sample_is_repeatable():
-    a, b = M.sample_grid(50), M.sample_grid(50)
-    assert a == b and len(set(a)) == 50
