@@ -9,7 +9,9 @@ from bindings.evaluating import rounded
 from bindings.joining import LATEST_SQL, TODAY_SQL, todays
 from bindings.project import ODDS_SQL, REL_NUM, TIER_NUM
 from bindings.rolling import RATE_SQL, SHOTS_SQL, _rates
+from bindings.selecting import boundary_sql
 from formline.functions import scalars as S
+from formline.operators import isotonic as I
 from formline.operators import splits
 from formline.plans import build as B
 from formline.plans import daily as D
@@ -107,12 +109,33 @@ def random_search(spark, sf):
     return Q.random_search(blocks, "prop", ["game_id"], FEATURES, "outcome", FOLDS, n=SEARCHES)
 
 
-@query("isotonic_calibrate")
+# the greatest lower mean: max over starts of the min over ends of the mean between them, then linear between scores
+ISO_SQL = f"""WITH split AS (SELECT *, CASE WHEN game_date <= {boundary_sql(0.6)} THEN 'train' WHEN game_date <= {boundary_sql(0.8)} THEN 'calibrate'
+    ELSE 'test' END AS split FROM q_pred),
+    sums AS (SELECT p AS x, sum(outcome)::DOUBLE AS s, count(*) AS w FROM split WHERE split = 'calibrate' GROUP BY p),
+    upto AS (SELECT x, s, w, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM sums),
+    low AS (SELECT b.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m FROM upto a JOIN upto b ON a.i <= b.i),
+    fit AS (SELECT i, x, g FROM (SELECT i, max(m) AS g FROM low GROUP BY i) JOIN upto USING (i))"""
+CALIBRATED_SQL = """greatest(0.01, least(0.99, CASE WHEN l.x IS NULL THEN h.g WHEN h.x IS NULL THEN l.g WHEN h.x > l.x
+    THEN l.g + (h.g - l.g) * (p - l.x) / (h.x - l.x) ELSE l.g END))"""
+
+
+@query("isotonic_calibrate", f"""{ISO_SQL} SELECT game_id, prop, p, outcome, round({CALIBRATED_SQL}, 6) AS calibrated FROM
+    (SELECT t.*, (SELECT max(i) FROM fit WHERE x <= p) AS li, (SELECT min(i) FROM fit WHERE x >= p) AS hi FROM split t WHERE split = 'test') r
+    LEFT JOIN fit l ON l.i = li LEFT JOIN fit h ON h.i = hi""")
 def isotonic_calibrate(spark, sf):
     """Fit on the calibration days, applied to the later ones."""
     rows = splits.three_way_split(_rows(spark, sf), "game_date")
     cal = M.isotonic_calibrate(rows.filter("split = 'calibrate'"), "p", "outcome")
-    return cal.apply(rows.filter("split = 'test'"), "p", "calibrated").select("game_id", "prop", "p", "calibrated", "outcome")
+    out = cal.apply(rows.filter("split = 'test'"), "p", "calibrated")
+    return out.select("game_id", "prop", "p", "outcome", *r6("calibrated"))
+
+
+@query("isotonic_blocks", f"""{ISO_SQL} SELECT min(x) AS low, max(x) AS high, round(g, 6) AS mean, CAST(sum(w) AS BIGINT) AS weight
+    FROM fit JOIN upto USING (i, x) GROUP BY g""")
+def isotonic_blocks(spark, sf):
+    rows = splits.three_way_split(_rows(spark, sf), "game_date").filter("split = 'calibrate'")
+    return I.isotonic_blocks(rows, "p", "outcome").select("low", "high", *r6("mean"), "weight")
 
 
 @query("score_props")
