@@ -304,6 +304,8 @@ def with_fragments(body: str) -> str:
         return body
     shared = ", ".join(f"{n} AS ({s})" for n, s in done.items())
     own = body.lstrip()
+    if own.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {shared}, {own[15:]}"
     return f"WITH {shared}, {own[5:]}" if own.startswith("WITH ") else f"WITH {shared} {own}"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.base import STATS, box, labelled, predicted, prop_rows, query, table
 from bindings.evaluating import rounded
-from bindings.joining import slate_picks
+from bindings.joining import LABEL_SQL, PICK_SQL, slate_picks
 from bindings.scans import RAW_SQL, raw_lines
 from formline.operators import select as T
 from formline.operators import slips
@@ -79,22 +79,51 @@ def quota_fill(spark, sf):
     return out.select("game_id", "market", "line", "odds")
 
 
+def greedy_sql(source: str, order: str, per_player: int, per_type: int, total: int) -> str:
+    """The scan one row a turn, all slates side by side, as common tables up to ``chosen``."""
+    return f"""WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (PARTITION BY slate ORDER BY {order}) AS i FROM ({source})),
+    scan(slate, i, who, what, ok) AS (SELECT slate, 0::BIGINT, []::BIGINT[], []::VARCHAR[], false FROM (SELECT DISTINCT slate FROM ranked)
+      UNION ALL SELECT slate, i, CASE WHEN good THEN list_append(who, w) ELSE who END, CASE WHEN good THEN list_append(what, k) ELSE what END, good
+      FROM (SELECT s.slate, r.i, s.who, s.what, r.entity_id AS w, r.prop AS k, len(list_filter(s.who, lambda x: x = r.entity_id)) < {per_player}
+        AND len(list_filter(s.what, lambda x: x = r.prop)) < {per_type} AS good
+        FROM scan s JOIN ranked r ON s.slate = r.slate AND r.i = s.i + 1 WHERE len(s.who) < {total})),
+    chosen AS (SELECT r.* EXCLUDE (i) FROM ranked r JOIN scan s ON r.slate = s.slate AND r.i = s.i WHERE s.ok)"""
+
+
+GREEDY_SQL = greedy_sql(PICK_SQL + " WHERE confidence >= 1", "confidence DESC, p DESC, pick", 3, 8, 75)
+LEG = "{'pick': pick, 'team': team, 'opponent': opponent, 'prop': prop, 'side': side, 'spread': spread, 'total': total}"
+PAIR_SQL = f"({LABEL_SQL}) = 'negative'"
+
+
 def _greedy(spark, sf):
     picks = slate_picks(spark, sf).filter("confidence >= 1")
     return T.greedy_caps(picks, ["slate"], "entity_id", "prop", ["-confidence", "-p", "pick"], 3, 8, 75)
 
 
-@query("greedy_caps")
+@query("greedy_caps", f"{GREEDY_SQL} SELECT * REPLACE (CAST(spread AS DOUBLE) AS spread, CAST(total AS DOUBLE) AS total) FROM chosen")
 def greedy_caps(spark, sf):
     return _greedy(spark, sf)
 
 
-@query("power_slips")
+@query("power_slips", f"""{GREEDY_SQL}, legs AS (SELECT slate, list({LEG} ORDER BY confidence DESC, pick) AS l FROM chosen GROUP BY slate),
+    slips(slate, l, n, made, one, two) AS (SELECT slate, l, 0, false, NULL::BIGINT, NULL::BIGINT FROM legs
+      UNION ALL SELECT slate, list_filter(l[2:], lambda x: two IS NULL OR x.pick <> two), n + CASE WHEN two IS NULL THEN 0 ELSE 1 END,
+        two IS NOT NULL, l[1].pick, two
+      FROM (SELECT *, list_filter(l[2:], lambda b: NOT coalesce({PAIR_SQL.replace("a.", "l[1].")}, false))[1].pick AS two
+        FROM (SELECT slate, l, n FROM slips WHERE len(l) > 0)))
+    SELECT slate, n AS slip, CAST(leg AS INTEGER) AS leg, CASE leg WHEN 1 THEN one ELSE two END AS pick FROM slips, range(1, 3) t(leg) WHERE made""")
 def power_slips(spark, sf):
     return slips.power_slips(_greedy(spark, sf), "slate", "pick", ["-confidence", "pick"])
 
 
-@query("flex_slips")
+@query("flex_slips", f"""{GREEDY_SQL}, legs AS (SELECT slate, row_number() OVER (PARTITION BY slate ORDER BY confidence DESC, pick) AS i, {LEG} AS b FROM chosen),
+    slips(slate, i, held, n, ok, leg) AS (SELECT slate, i - 1, list_filter([b], lambda x: false), 1, false, 0::BIGINT FROM legs WHERE i = 1
+      UNION ALL SELECT slate, i, CASE WHEN NOT good THEN held WHEN len(held) = 4 THEN held[1:0] ELSE list_append(held, b) END,
+        n + CASE WHEN len(held) = 0 AND i > 1 THEN 1 ELSE 0 END, good, len(held) + 1
+      FROM (SELECT s.slate, r.i, s.held, s.n, r.b, len(list_filter(s.held, lambda a: coalesce({PAIR_SQL.replace("b.", "r.b.")}, false))) = 0 AS good
+        FROM slips s JOIN legs r ON s.slate = r.slate AND r.i = s.i + 1))
+    SELECT slate, CAST(n AS INTEGER) AS slip, CAST(leg AS INTEGER) AS leg, pick FROM (SELECT s.slate, s.n, s.leg, r.b.pick AS pick,
+      max(s.leg) OVER (PARTITION BY s.slate, s.n) AS most FROM slips s JOIN legs r ON s.slate = r.slate AND s.i = r.i WHERE s.ok) WHERE most = 5""")
 def flex_slips(spark, sf):
     return slips.flex_slips(_greedy(spark, sf), "slate", "pick", ["-confidence", "pick"])
 
@@ -107,18 +136,23 @@ def _scored(spark, sf):
     return rows.withColumn("quality", F.round(q, 6))
 
 
-@query("smart_score", f"""SELECT slate, entity_id, prop, game_id, quality FROM (SELECT *, round(coalesce(abs(edge) * 2, 0) + CASE WHEN l5 IS NOT NULL THEN 2 ELSE 0 END
+SMART_SQL = f"""(SELECT *, round(coalesce(abs(edge) * 2, 0) + CASE WHEN l5 IS NOT NULL THEN 2 ELSE 0 END
     + CASE WHEN l10 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN sm IS NOT NULL THEN 0.5 ELSE 0 END
     + CASE WHEN odds IS NOT NULL THEN 0.5 + greatest(0, 1.5 - abs(odds) / 150.0::DOUBLE) ELSE 0 END + 0.3 + 0.2
     + (CASE WHEN sd5 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN sd10 IS NOT NULL THEN 1 ELSE 0 END) * 0.05, 6) AS quality
-    FROM (SELECT *, round(coalesce(l5, l10, sm) - line, 9) AS edge FROM {SLATE_SQL}))
-    QUALIFY row_number() OVER (PARTITION BY slate, entity_id, prop ORDER BY quality DESC, abs(edge) DESC, abs(coalesce(odds, 0)), game_id) = 1""")
+    FROM (SELECT *, round(coalesce(l5, l10, sm) - line, 9) AS edge FROM {SLATE_SQL}))"""
+BEST_SQL = f"""SELECT *, abs(edge) AS size FROM {SMART_SQL}
+    QUALIFY row_number() OVER (PARTITION BY slate, entity_id, prop ORDER BY quality DESC, abs(edge) DESC, abs(coalesce(odds, 0)), game_id) = 1"""
+
+
+@query("smart_score", f"SELECT slate, entity_id, prop, game_id, quality FROM ({BEST_SQL})")
 def smart_score(spark, sf):
     rows = T.best_candidates(_scored(spark, sf), ["slate", "entity_id", "prop"], ["game_id"])
     return rows.select("slate", "entity_id", "prop", "game_id", "quality")
 
 
-@query("smart_filter")
+@query("smart_filter", greedy_sql(BEST_SQL, "quality DESC, size DESC, line, entity_id, game_id", 2, 8, 25)
+       + " SELECT slate, entity_id, prop, game_id, quality FROM chosen")
 def smart_filter(spark, sf):
     rows = T.smart_filter(_scored(spark, sf), ["slate"], "entity_id", "prop", "line", ["entity_id", "game_id"], 25)
     return rows.select("slate", "entity_id", "prop", "game_id", "quality")

@@ -33,6 +33,8 @@ SMALL_TOTAL_BYTES = 64 * 1024 * 1024  # the same where there is no entity and on
 LOCAL_KEYS = 10_000
 MAX_PIECES = 4096
 BROADCAST_VALUES = 2_000_000
+WINDOW_LIMIT = 1000  # Spark's own default for limiting groups before a shuffle
+TOP_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -303,7 +305,17 @@ def ranked(df: DataFrame, entity: list[str], ranks: dict[str, list[str]]) -> Dat
 
 
 def top_n(df: DataFrame, group: list[str], order: list[str], n: int, rank_as: str | None = None) -> DataFrame:
-    """First n rows of each group. Spark limits each group before and after the shuffle."""
+    """First n rows of each group.
+
+    Spark limits each group before the shuffle while n is small. Beyond that each group is first dealt to buckets by a hash
+    of its order columns and cut to n rows a bucket, so a group of any size is sorted in parts and only a bounded rest meets in
+    one task.
+    """
+    if n > WINDOW_LIMIT:
+        names = [c.lstrip("-") for c in order]
+        dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(setting(df.sparkSession, "topBuckets", TOP_BUCKETS))))
+        part = Window.partitionBy(*group, "__bucket").orderBy(*sort_columns(order))
+        df = dealt.withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= n).drop("__rn", "__bucket")
     window = Window.partitionBy(*group).orderBy(*sort_columns(order))
     out = df.withColumn("__rn", F.row_number().over(window)).filter(F.col("__rn") <= n)
     if rank_as:

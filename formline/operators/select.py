@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +109,9 @@ def greedy_caps(df: DataFrame, slate: list[str], player: str, prop: str, order:
                 per_player: int, per_type: int, total: int) -> DataFrame:
     """Scan a slate in order, skip closed players and types, stop at the total.
 
-    Rows the scan can never take are cut by window limits first, losing nothing, so a slate reaches
-    its task at a fixed size whatever its length was.
+    Rows the scan can never take are cut by window limits first, losing nothing, so a slate reaches its scan at a fixed size
+    whatever its length was. The scan itself is one fold over that slate's array, whose state are the players and types taken
+    so far. Missing players count as one player, missing types as one type.
     """
     in_type, of_player, in_all = greedy_reach(per_player, per_type, total)
     rows = top_n(df, [*slate, player, prop], order, per_player)
@@ -119,23 +119,19 @@ def greedy_caps(df: DataFrame, slate: list[str], player: str, prop: str, order:
     rows = top_n(rows, [*slate, prop], order, in_type)
     rows = top_n(rows, slate, order, in_all, "__seq")
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__seq")
-        players: dict = {}
-        types: dict = {}
-        keep = []
-        for who, what in zip(pdf[player], pdf[prop]):
-            if len(types) and sum(types.values()) >= total:
-                keep.append(False)
-                continue
-            ok = players.get(who, 0) < per_player and types.get(what, 0) < per_type
-            if ok:
-                players[who] = players.get(who, 0) + 1
-                types[what] = types.get(what, 0) + 1
-            keep.append(ok)
-        return pdf[keep].drop(columns="__seq")
-
-    return rows.groupBy(*slate).applyInPandas(scan, df.schema)
+    leg = F.struct("__seq", F.col(player).alias("who"), F.col(prop).alias("what"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    keys = [F.col(c).alias(f"__s{i}") for i, c in enumerate(slate)]
+    slates = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(leg)).alias("legs"))
+    who, what = df.schema[player].dataType.simpleString(), df.schema[prop].dataType.simpleString()
+    taken = F.expr(f"""aggregate(legs,
+        cast(named_struct('who', array(), 'what', array(), 'seq', array()) as struct<who:array<{who}>,what:array<{what}>,seq:array<int>>),
+        (s, r) -> if(size(s.seq) < {total} and size(filter(s.who, x -> x <=> r.who)) < {per_player}
+                     and size(filter(s.what, x -> x <=> r.what)) < {per_type},
+                     named_struct('who', concat(s.who, array(r.who)), 'what', concat(s.what, array(r.what)), 'seq', concat(s.seq, array(r.__seq))), s),
+        s -> s.seq)""")
+    picked = slates.withColumn("taken", taken).select(
+        F.explode(F.filter("legs", lambda r: F.array_contains("taken", r["__seq"]))).alias("leg"))
+    return picked.select("leg.row.*")
 
 
 def quality(edge: Column, l5: Column, l10: Column, season: Column, odds: Column, rest: Column,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,24 +71,43 @@ def _frame(slips: list[list[dict]], slate_value, slate: str, key: str) -> pd.Dat
     return pd.DataFrame(rows, columns=[slate, "slip", "leg", key])
 
 
+def _queues(legs: list[dict]) -> tuple[list[int], dict[int, deque], list[dict]]:
+    """Class of each leg, places of each class in order, and a leg of each class. Legs of a class relate alike to all others,
+    so a slate is matched class by class."""
+    number: dict[tuple, int] = {}
+    kinds, queues, sample = [], {}, []
+    for i, leg in enumerate(legs):
+        key = (leg["team"], leg["opponent"], leg["prop"], leg["side"], abs(leg["spread"]) > 12)
+        if key not in number:
+            number[key] = len(number)
+            sample.append(leg)
+        kinds.append(number[key])
+        queues.setdefault(number[key], deque()).append(i)
+    return kinds, queues, sample
+
+
 def power_slips(picks: DataFrame, slate: str, key: str, order: list[str], size: int = 2) -> DataFrame:
-    """Short slips, each pick used once. ``picks`` is a selected slate, so its length is capped."""
+    """Short slips, each pick used once: the first free pick leads, the next free ones that suit it follow. ``picks`` is a
+    selected slate; its time is the number of picks times that of classes."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         legs = _records(pdf, order)
-        used: set = set()
+        kinds, queues, sample = _queues(legs)
+        suits = functools.cache(lambda a: [b for b in queues if not negative(sample[a], sample[b])])
         slips = []
         for i, lead in enumerate(legs):
-            if i in used:
-                continue
-            used.add(i)
+            mine = queues[kinds[i]]
+            if not mine or mine[0] != i:
+                continue  # used before: places of a class are used in order
+            mine.popleft()
             slip = [lead]
-            for j, other in enumerate(legs):
-                if len(slip) == size:
+            while len(slip) < size:
+                heads = [(queues[b][0], b) for b in suits(kinds[i]) if queues[b]]
+                if not heads:
                     break
-                if j not in used and not negative(lead, other):
-                    slip.append(other)
-                    used.add(j)
+                at, kind = min(heads)
+                queues[kind].popleft()
+                slip.append(legs[at])
             if len(slip) == size:
                 slips.append(slip)
         return _frame(slips, pdf[slate].iloc[0], slate, key)

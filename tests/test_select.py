@@ -7,6 +7,7 @@ import pytest
 
 from formline.operators import select as T
 from formline.operators import slips
+from formline.operators.ordered import top_n
 from pyspark.sql import functions as F
 
 
@@ -182,3 +183,61 @@ def test_missing_spreads_and_teams_in_slips(spark):
     assert got == {(1, 1), (1, 3), (2, 2), (2, 4)}
     count = {r["relation"]: r["pairs"] for r in slips.pair_correlation(df.filter("pick < 3"), "slate").collect()}
     assert count == {"negative": 1}
+
+
+def test_power_slips_equal_a_scan_of_all_picks(spark):
+    for seed, size in ((5, 2), (6, 3), (7, 2)):
+        rows, df = picks(spark, 90, seed)
+        want = set()
+        for slate in "ab":
+            legs = sorted((dict(zip(NAMES, r)) for r in rows if r[0] == slate), key=lambda p: (-p["confidence"], p["pick"]))
+            used, n = set(), 0
+            for lead in legs:
+                if lead["pick"] in used:
+                    continue
+                used.add(lead["pick"])
+                slip = [lead["pick"]]
+                for other in legs:
+                    if len(slip) < size and other["pick"] not in used and label(lead, other) != "negative":
+                        slip.append(other["pick"])
+                        used.add(other["pick"])
+                if len(slip) == size:
+                    n += 1
+                    want |= {(slate, n, j + 1, p) for j, p in enumerate(slip)}
+        got = slips.power_slips(df, "slate", "pick", ["-confidence", "pick"], size).collect()
+        assert {tuple(r) for r in got} == want
+
+
+def test_many_picks_on_one_slate_are_matched_in_time(spark):
+    df = spark.range(60_000).selectExpr("'s' slate", "int(id) pick", "int(id % 30) team", "int((id % 30) + 1 - 2 * (id % 2)) opponent",
+                                        "if(id % 3 = 0, 'REB', 'POINTS') prop", "if(id % 5 = 0, 'UNDER', 'OVER') side", "double(id % 17) spread",
+                                        "220D total", "5 confidence")
+    assert slips.power_slips(df, "slate", "pick", ["pick"]).count() == 60_000
+
+
+def test_a_million_rows_on_one_slate(spark):
+    df = spark.range(1_000_000).selectExpr("'s' slate", "id", "concat('p', hash(id) % 5000) player", "concat('t', id % 40) prop", "hash(id, 7) % 1000 conf")
+    got = T.greedy_caps(df, ["slate"], "player", "prop", ["-conf", "id"], 3, 8, 75).collect()
+    rows = [("s", r["id"], r["player"], r["prop"], r["conf"]) for r in df.orderBy(F.desc("conf"), "id").limit(20_000).collect()]
+    assert {("s", r["id"]) for r in got} == scan(rows, 3, 8, 75)
+
+
+def test_missing_players_are_one_player(spark):
+    rows = [("s", i, None if i % 2 else "p", None if i % 3 else "t", 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "slate string, id int, player string, prop string, conf int")
+    got = {(r["slate"], r["id"]) for r in T.greedy_caps(df, ["slate"], "player", "prop", ["-conf", "id"], 2, 3, 9).collect()}
+    assert got == scan(rows, 2, 3, 9)
+
+
+def test_long_tops_are_cut_bucket_by_bucket(spark):
+    rows = [("g" if i % 3 else "h", (i * 7919) % 500, i) for i in range(6000)] + [("g", None, 6000), ("g", 3, 6001)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    for order, key in ((["v", "id"], lambda r: (r[1] is not None, r[1] or 0, r[2])), (["-v", "id"], lambda r: (r[1] is None, -(r[1] or 0), r[2]))):
+        got = {(r["g"], r["id"], r["r"]) for r in top_n(df, ["g"], order, 1500, "r").collect()}
+        want = set()
+        for g in "gh":
+            mine = sorted((r for r in rows if r[0] == g), key=key)[:1500]
+            want |= {(g, r[2], i + 1) for i, r in enumerate(mine)}
+        assert got == want
+        plan = top_n(df, ["g"], order, 1500)._jdf.queryExecution().optimizedPlan().toString()
+        assert "__bucket" in plan and "__bucket" not in top_n(df, ["g"], order, 1000)._jdf.queryExecution().optimizedPlan().toString()
