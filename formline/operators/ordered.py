@@ -3,10 +3,10 @@
 A window over an entity runs in one task. That is the right plan for ordinary entities and the
 wrong one for an entity with a third of all rows. Here each input is checked first: entities
 above ``spark.formline.splitRows`` rows are *hot*. Cold entities take the plain window, one
-shuffle. A hot entity is cut at quantiles of its own time axis, rows get their exact position from
-per-piece counts, and the work then runs over chunks of exactly ``splitRows`` positions. A frame of
-k rows sees the k last rows of the chunk before it as copies; an unbounded frame adds the totals of
-earlier chunks. Both paths give the same values.
+shuffle. The rows of hot entities are sorted across tasks, cut by splitters sampled over the whole sort
+key; rows get their exact position from per-piece counts, and the work then runs over chunks of exactly
+``splitRows`` positions. A frame of k rows sees the k last rows of the chunk before it as copies; an
+unbounded frame adds the states of earlier chunks. Both paths give the same values.
 
 The check and the split path read their input several times. A large input that is more than a scan is
 therefore written once to the shared folder and read back, so the plan below it runs once.
@@ -31,7 +31,6 @@ SPLIT_ROWS = 4_000_000
 SMALL_INPUT_BYTES = 256 * 1024 * 1024  # one entity may hold all of it
 SMALL_TOTAL_BYTES = 64 * 1024 * 1024  # the same where there is no entity and one task orders all rows
 LOCAL_KEYS = 10_000
-MAX_PIECES = 4096
 BROADCAST_VALUES = 2_000_000
 WINDOW_LIMIT = 1000  # Spark's own default for limiting groups before a shuffle
 TOP_BUCKETS = 64
@@ -52,7 +51,7 @@ class Frame:
 class Hot:
     keys: DataFrame
     n_keys: int | None  # None: too many to list
-    max_rows: int
+    rows: int  # of all of them
 
 
 def sort_columns(order: list[str]) -> list[Column]:
@@ -98,9 +97,8 @@ def hot_keys(df: DataFrame, entity: list[str]) -> Hot | None:
         schema = T.StructType([df.schema[c] for c in entity])
         keys = [tuple(r[c] for c in entity) for r in listed]
         local = F.broadcast(spark.createDataFrame(keys, schema)) if entity else spark.range(1).select()
-        return Hot(local, len(listed), max(r["__n"] for r in listed))
-    biggest = over.agg(F.max("__n")).first()[0]
-    return Hot(over.select(*entity), None, biggest)
+        return Hot(local, len(listed), sum(r["__n"] for r in listed))
+    return Hot(over.select(*entity), None, over.agg(F.sum("__n")).first()[0])
 
 
 def _part(df: DataFrame, hot: Hot, entity: list[str], how: str) -> DataFrame:
@@ -114,30 +112,6 @@ def _part(df: DataFrame, hot: Hot, entity: list[str], how: str) -> DataFrame:
     return df.join(renamed, cond, how)
 
 
-def _axis(df: DataFrame, spec: str) -> Column:
-    """A double that grows (weakly) with the first order column."""
-    name = spec.lstrip("-")
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(kind, T.DateType):
-        v = F.unix_date(c).cast("double")
-    elif isinstance(kind, T.TimestampNTZType):
-        # without a zone, so no clock change folds two moments into one
-        day = F.to_date(c)
-        v = F.unix_date(day).cast("double") * 86_400e6 + (
-            (F.hour(c) * 60 + F.minute(c)).cast("double") * 60e6 + F.extract(F.lit("SECOND"), c).cast("double") * 1e6)
-    elif isinstance(kind, T.TimestampType):
-        v = F.unix_micros(c).cast("double")
-    elif isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        v = F.conv(head, 16, 10).cast("double")
-    else:
-        v = c.cast("double")
-        v = F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v)  # Spark sorts NaN above all numbers
-    v = F.coalesce(v, F.lit(float("-inf")))
-    return -v if spec.startswith("-") else v
-
-
 def _join_small(left: DataFrame, right: DataFrame, keys: list[str], small: bool) -> DataFrame:
     renamed = right.select(
         *[F.col(k).alias(f"__j_{k}") for k in keys], *[c for c in right.columns if c not in keys]
@@ -151,32 +125,28 @@ def _join_small(left: DataFrame, right: DataFrame, keys: list[str], small: bool)
 
 
 def _hot_positions(df: DataFrame, hot: Hot, entity: list[str], order: list[str], out: str) -> DataFrame:
-    """Exact 1-based position in the order of hot entities, no task above one piece."""
-    cap = split_rows(df)
-    rows = _part(df, hot, entity, "left_semi").withColumn("__axis", _axis(df, order[0]))
-    key = entity or ["__all"]
-    if not entity:
-        rows = rows.withColumn("__all", F.lit(0))
-    pieces = min(MAX_PIECES, max(2, math.ceil(2 * hot.max_rows / cap)))
-    cuts = rows.groupBy(*key).agg(
-        F.percentile_approx(
-            "__axis", [i / pieces for i in range(1, pieces)], max(10_000, 10 * pieces)
-        ).alias("__cuts")
-    )
-    small = hot.n_keys is not None and hot.n_keys * pieces <= BROADCAST_VALUES
-    rows = _join_small(rows, cuts, key, small)
-    rows = rows.withColumn(
-        "__piece",
-        F.size(F.filter("__cuts", lambda c: c < F.col("__axis"))),
-    ).drop("__cuts", "__axis")
-    counts = rows.groupBy(*key, "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(*key, "__piece").orderBy(*sort_columns(order))
-    rows = rows.withColumn("__rn", F.row_number().over(inside))
-    rows = _join_small(rows, offsets, [*key, "__piece"], small)
-    rows = rows.withColumn(out, (F.col("__before") + F.col("__rn")).cast("long"))
-    return rows.select(*df.columns, out)
+    """Exact 1-based position in the order of hot entities, no task above one piece.
+
+    Spark samples splitters over the whole sort key, entity first, so a piece is a stretch of the sorted rows however long the
+    common beginnings of the keys are; a last key, the place of the row in the input, parts equal rows. Sorted pieces are
+    written once, as a second sample would cut them elsewhere, and a position is the number of an entity's rows in earlier
+    pieces plus the place in its own.
+    """
+    rows = _part(df, hot, entity, "left_semi").withColumn("__tie", F.monotonically_increasing_id())
+    pieces = max(2, math.ceil(2 * hot.rows / split_rows(df)))
+    keys = [*[F.col(c).asc() for c in entity], *sort_columns(order), F.col("__tie").asc()]
+    cut = rows.repartitionByRange(pieces, *keys).sortWithinPartitions(*keys).drop("__tie")
+    place = F.monotonically_increasing_id()  # the number of the piece above 33 bits of the row's number in it
+    cut = cut.withColumn("__at", place).withColumns(
+        {"__piece": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    cut = staged(cut, run_dir(df.sparkSession, "pieces"))
+    counts = cut.groupBy(*entity, "__piece").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*entity).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    # an entity's rows are together, so these are no more than the entities and the pieces
+    small = hot.n_keys is not None and hot.n_keys + pieces <= BROADCAST_VALUES
+    cut = _join_small(cut, offsets, [*entity, "__piece"], small)
+    return cut.select(*df.columns, (F.col("__before") + F.col("__at") + 1).cast("long").alias(out))
 
 
 def positions(df: DataFrame, entity: list[str], order: list[str], out: str = "position",
@@ -252,43 +222,68 @@ def _hot_rolling(df, hot, entity, order, frames) -> DataFrame:
     rows = rows.withColumn("__home", F.col("__chunk") == F.col("__own"))
     window = Window.partitionBy(*key, "__chunk").orderBy("__p")
 
-    prefix_cols = sorted({f.col for f in frames if f.rows is None and f.fn != "lag"})
-    for f in frames:
-        if f.rows is None and f.fn == "std":
-            raise ValueError("unbounded std is not offered for split entities")
     upto = window.rowsBetween(Window.unboundedPreceding, -1)
-    exprs = []
-    for c in prefix_cols:
-        own = F.when(F.col("__home"), F.col(c))
-        exprs.append(F.sum(own).over(upto).alias(f"__s_{c}"))
-        exprs.append(F.count(own).over(upto).alias(f"__c_{c}"))
     bounded = [f for f in frames if f.rows is not None or f.fn == "lag"]
-    exprs += [_over(f, window).alias(f.out) for f in bounded]
-    rows = rows.select("*", *exprs).filter("__home")
-
-    if prefix_cols:
-        totals = placed.groupBy(*key, F.col("__own").alias("__chunk")).agg(
-            *[F.sum(c).alias(f"__ts_{c}") for c in prefix_cols],
-            *[F.count(c).alias(f"__tc_{c}") for c in prefix_cols],
-        )
-        earlier = Window.partitionBy(*key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(
-            *key, "__chunk",
-            *[F.sum(f"__ts_{c}").over(earlier).alias(f"__ks_{c}") for c in prefix_cols],
-            *[F.sum(f"__tc_{c}").over(earlier).alias(f"__kc_{c}") for c in prefix_cols],
-        )
-        rows = _join_small(rows, carry, [*key, "__chunk"], False)
-        for f in frames:
-            if f in bounded:
-                continue
-            c = f.col
-            total = F.coalesce(F.col(f"__ks_{c}") + F.col(f"__s_{c}"), F.col(f"__ks_{c}"), F.col(f"__s_{c}"))
-            n = F.coalesce(F.col(f"__kc_{c}"), F.lit(0)) + F.col(f"__c_{c}")
-            value = {"mean": F.when(n > 0, total / n), "sum": F.when(n > 0, total), "count": n}[f.fn]
-            rows = rows.withColumn(f.out, value)
+    whole = [f for f in frames if f not in bounded]
+    spread = {f.col for f in whole if f.fn == "std"}
+
+    def state(c: str, value: Column, over=None) -> dict[str, Column]:
+        """Count and sum of a column, with a deviation to come also its mean and centred squares."""
+        fns = {"n": F.count(value), "s": F.sum(value)}
+        if c in spread:
+            fns |= {"m": F.avg(value), "q": F.var_pop(value) * F.count(value)}
+        if over is not None and c in spread:
+            fns["q"] = F.var_pop(value).over(over) * F.count(value).over(over)
+        return {k: v if over is None or (k == "q") else v.over(over) for k, v in fns.items()}
+
+    cols = sorted({f.col for f in whole})
+    own = {c: state(c, F.when(F.col("__home"), F.col(c)), upto) for c in cols}
+    rows = rows.select("*", *[v.alias(f"__{k}_{c}") for c in cols for k, v in own[c].items()],
+                       *[_over(f, window).alias(f.out) for f in bounded]).filter("__home")
+    if cols:
+        rows = _join_small(rows, _earlier(placed, key, {c: state(c, F.col(c)) for c in cols}), [*key, "__chunk"], False)
+        for f in whole:
+            rows = rows.withColumn(f.out, _merged(f))
     return rows.select(*df.columns, *[f.out for f in frames])
 
 
+def _earlier(placed: DataFrame, key: list[str], states: dict[str, dict[str, Column]]) -> DataFrame:
+    """Per chunk, the state of all chunks before it (``__k`` columns). Centred squares are put together around the mean of the
+    whole entity, so nothing large cancels."""
+    totals = placed.groupBy(*key, F.col("__own").alias("__chunk")).agg(
+        *[v.alias(f"__t{k}_{c}") for c, parts in states.items() for k, v in parts.items()])
+    before = Window.partitionBy(*key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*key)
+    out: list[Column] = [F.col(k) for k in [*key, "__chunk"]]
+    for c, parts in states.items():
+        n = F.sum(f"__tn_{c}").over(before)
+        out += [n.alias(f"__kn_{c}"), F.sum(f"__ts_{c}").over(before).alias(f"__ks_{c}")]
+        if "q" in parts:
+            centre = F.try_divide(F.sum(f"__ts_{c}").over(every), F.sum(f"__tn_{c}").over(every))
+            totals = totals.withColumn(f"__off_{c}", F.col(f"__tm_{c}") - centre)
+            off = F.sum(F.col(f"__tn_{c}") * F.col(f"__off_{c}")).over(before)
+            off = F.try_divide(off, n)
+            around = F.sum(F.col(f"__tq_{c}") + F.col(f"__tn_{c}") * F.col(f"__off_{c}") ** 2).over(before)
+            out += [(centre + off).alias(f"__km_{c}"), F.greatest(around - n * off ** 2, F.lit(0.0)).alias(f"__kq_{c}")]
+    return totals.select(*out)
+
+
+def _merged(f: Frame) -> Column:
+    """The value of an unbounded frame from the state of earlier chunks and of the rows before in the own chunk."""
+    def part(kind: str) -> tuple[Column, Column]:
+        return F.col(f"__k{kind}_{f.col}"), F.col(f"__{kind}_{f.col}")
+
+    n1, n2 = (F.coalesce(v, F.lit(0)) for v in part("n"))
+    n = n1 + n2
+    s1, s2 = part("s")
+    total = F.coalesce(s1 + s2, s1, s2)
+    if f.fn == "std":
+        (m1, m2), (q1, q2) = part("m"), part("q")
+        squares = [q1, q2, (m2 - m1) ** 2 * (n1 * n2 / n)]  # missing where either side has no value
+        return F.when(n > 1, F.sqrt(sum(F.coalesce(q, F.lit(0.0)) for q in squares) / (n - 1)))
+    return {"mean": F.when(n > 0, total / n), "sum": F.when(n > 0, total), "count": n}[f.fn]
+
+
 def ranked(df: DataFrame, entity: list[str], ranks: dict[str, list[str]]) -> DataFrame:
     """SQL ``rank()`` columns by name; hot groups rank their distinct values and join the ranks back."""
     df, hot = settled(df, entity)

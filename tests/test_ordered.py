@@ -1,12 +1,14 @@
 """Plain and split plans must give the same rows, and frames must never see the current row."""
 
 import random
+import statistics
 
 import pandas as pd
+import pytest
 
 from pyspark.sql import functions as F
 
-from formline.operators.ordered import Frame, positions, ranked, rolling, running_total, top_n
+from formline.operators.ordered import Frame, _hot_positions, hot_keys, positions, ranked, rolling, running_total, top_n
 
 
 def skewed(spark, n=400, seed=3):
@@ -23,7 +25,7 @@ def skewed(spark, n=400, seed=3):
 FRAMES = [
     Frame("m5", "mean", "v", 5), Frame("m10", "mean", "v", 10), Frame("mall", "mean", "v"),
     Frame("s5", "std", "v", 5), Frame("nall", "count", "v"), Frame("tall", "sum", "v"),
-    Frame("prev", "lag", "day", 1),
+    Frame("prev", "lag", "day", 1), Frame("sall", "std", "v"), Frame("days", "std", "day"),
 ]
 
 
@@ -105,7 +107,7 @@ def test_large_derived_input_is_written_once(split):
     derived = scan.groupBy("k", "day", "id").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
     assert is_scan(scan.filter("day > 1").select("k", "day")) and not is_scan(derived)
     files, hot = settled(derived, ["k"])
-    assert is_scan(files) and hot is not None and hot.max_rows > 12
+    assert is_scan(files) and hot is not None and hot.rows > 12
     got = frame_of(rolling(derived, ["k"], ["day", "id"], FRAMES))
     split.conf.set("spark.formline.smallInputBytes", str(2**62))
     pd.testing.assert_frame_equal(got, frame_of(rolling(scan, ["k"], ["day", "id"], FRAMES)))
@@ -150,3 +152,33 @@ def test_nan_descending_and_zoneless_time_on_the_split_path(spark, split):
             assert got == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def pieces_of(df, entity, order):
+    """Rows in the largest and the number of pieces of the split path."""
+    hot = hot_keys(df, entity)
+    placed = _hot_positions(df, hot, entity, order, "p")
+    paths = {f.rsplit("/", 1)[0] for f in placed.inputFiles() if "formline-pieces" in f}
+    sizes = df.sparkSession.read.parquet(*paths).groupBy("__piece").count().collect()
+    return max(r["count"] for r in sizes), len(sizes)
+
+
+def test_long_common_beginnings_and_equal_first_keys_are_cut(split):
+    df = split.range(600).selectExpr("id", "concat(repeat('same beginning ', 40), lpad(id * 37 % 600, 4, '0')) s", "date'2024-01-01' d", "1 one")
+    for order in (["s", "id"], ["-s", "id"], ["d", "id"], ["one"]):
+        most, n = pieces_of(df, [], order)
+        assert n > 50 and most < 60, (order, most, n)
+    got = {r["id"]: r["position"] for r in positions(df, [], ["d", "-s"]).collect()}
+    assert got == {i: 600 - i * 37 % 600 for i in range(600)}
+    # rows that are equal in all order columns still get different places
+    assert sorted(r["position"] for r in positions(df, [], ["one"]).collect()) == list(range(1, 601))
+
+
+def test_unbounded_deviation_of_far_and_missing_values(split):
+    rows = [("a", i, None if i < 40 or i % 7 == 0 else 1e9 + i % 5) for i in range(300)] + [("b", 1, 2.0), ("b", 2, None)]
+    df = split.createDataFrame(rows, "k string, id int, v double")
+    got = {(r["k"], r["id"]): r["s"] for r in rolling(df, ["k"], ["id"], [Frame("s", "std", "v")]).collect()}
+    for k, i, _ in rows:
+        mine = [v for kk, j, v in rows if kk == k and j < i and v is not None]
+        want = statistics.stdev(mine) if len(mine) > 1 else None
+        assert got[k, i] == (None if want is None else pytest.approx(want, rel=1e-6)), (k, i)
