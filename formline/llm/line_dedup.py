@@ -172,10 +172,10 @@ def document_cuts(runs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", least: int = MIN_WORDS, deleted: str | None = None) -> DataFrame:
     """``docs`` with the later repeats cut out of ``text``; with ``deleted``, also the number of lines cut by that name."""
-    hash_name, doc_name, spans_name = (fresh(n, docs) for n in ("text_hash", "cut_id", "cut_spans"))
+    hash_name, key_name, doc_name, spans_name = (fresh(n, docs) for n in ("text_hash", "text_key", "cut_id", "cut_spans"))
     spans = document_cuts(repeated_runs(docs, text, least)).toDF(doc_name, hash_name, spans_name)
-    joined = docs.withColumn("k_" + hash_name, F.xxhash64(f"`{text}`")).join(
-        spans, F.expr(f"doc_id <=> `{doc_name}` and `k_{hash_name}` = `{hash_name}`"), "left")
+    joined = docs.withColumn(key_name, F.xxhash64(f"`{text}`")).join(
+        spans, F.expr(f"doc_id <=> `{doc_name}` and `{key_name}` = `{hash_name}`"), "left")
     # native: lines whose index lies in no span
     kept = F.filter(
         F.split(f"`{text}`", "\n", -1),

@@ -64,6 +64,15 @@ def test_edges(spark):
     assert len(got) == len(docs) + 2 and dict(got)[4] == "" and dict(got)[3] == "own words here"
 
 
+def test_clashing_names(spark):
+    names = ["k_text_hash", "text_hash", "text_key", "cut_id", "CUT_SPANS"]
+    rows = [(i, "p " * 60, 7 + i, *"abcd") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, k_text_hash int, text_hash string, text_key string, cut_id string, CUT_SPANS string")
+    got = line_dedup.dedup(docs)
+    assert got.schema == docs.schema and got.columns[2:] == names
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], *[(i, "", 7 + i, *"abcd") for i in (1, 2)]]
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 

@@ -15,7 +15,7 @@ TEXTS = [
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" ▁abcdehinorst\n<>0x"), st.characters()), max_size=700)))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" ▁abcdehinorst\n<>0x"), st.characters(exclude_categories=["Cs"])), max_size=700)))
 def test_counts_equal_the_library(texts):
     got = token_counts.count_batch(token_counts.transducer(PATH), texts)
     assert got.tolist() == [len(LIB.encode(t)) for t in texts]
