@@ -9,8 +9,8 @@ separated by single spaces are then put together from the ids of their words; ea
 once, and a worker forgets its words beyond ``MAX_WORDS``. All other texts are encoded whole.
 
 Parity is verified on everything that is encoded: each distinct word, or whole text, is also encoded by the sentencepiece
-library and must give the same ids (``parity`` is false for a text with any difference), and each text's ids are decoded
-again (``round_trip``).
+library and must give the same ids (``parity`` is false for a text with any difference), and its ids are decoded again and
+must give it back (``round_trip``).
 
 Defined cases: null and empty texts have no ids and round-trip to the empty text. Special strings in texts are ordinary
 text. Texts are encoded whole, whatever their length. Rows are independent; other columns stay, and columns of a result's
@@ -100,7 +100,8 @@ class Codec:
             norm.add_dummy_prefix and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
             and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in model.pieces if p.type == NORMAL))
         self.words: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.odd: set[str] = set()  # words whose ids the library has otherwise
+        self.lossy: set[str] = set()  # words that do not come back
 
     def encode_whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,19 +112,25 @@ class Codec:
         """Remember the ids of words, each with its space marker in front; the empty word is a lone marker."""
         new = sorted(words - self.words.keys())
         if len(self.words) + len(new) > MAX_WORDS:
-            self.words, self.odd = {}, set()
+            self.words, self.odd, self.lossy = {}, set(), set()
             new = sorted(words)
         # an empty text has no ids, so the lone marker is written out
-        ids, same = self.encode_whole([w for w in new if w])
-        for word, i, ok in zip([w for w in new if w], ids, same, strict=True):
+        new = [w for w in new if w]
+        ids, same = self.encode_whole(new)
+        for word, i, ok, back in zip(new, ids, same, self.decode(ids), strict=True):
             self.words[word] = np.array(i, np.int32).tobytes()
             if not ok:
                 self.odd.add(word)
+            if back != word:
+                self.lossy.add(word)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of each text, and whether sentencepiece agrees."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of each text, whether sentencepiece agrees, and whether they decode to the text.
+
+        A word's ids begin with its space marker, so no run of byte pieces goes on from word to word: a text put together from
+        words comes back if its words do."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
-        parity = np.ones(len(texts), bool)
+        parity, back = np.ones(len(texts), bool), np.ones(len(texts), bool)
         split: dict[int, list[str]] = {}
         whole = []
         for i, text in enumerate(texts):
@@ -138,10 +145,11 @@ class Codec:
         for i, words in split.items():
             out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
             parity[i] = not self.odd or self.odd.isdisjoint(words)
+            back[i] = not self.lossy or self.lossy.isdisjoint(words)
         ids, same = self.encode_whole([texts[i] for i in whole])
-        for i, x, ok in zip(whole, ids, same, strict=True):
-            out[i], parity[i] = np.array(x, np.int32), ok
-        return out, parity
+        for i, x, ok, text in zip(whole, ids, same, self.decode(ids), strict=True):
+            out[i], parity[i], back[i] = np.array(x, np.int32), ok, text == texts[i]
+        return out, parity, back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False) if ids else []
@@ -171,16 +179,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", threads: int = THREAD
     def batch(texts: list) -> pa.Array:
         machine, arrays, parity, back = codec(path, threads), [], [], []
         for part in slices([t or "" for t in texts], len):
-            ids, same = machine.encode(part)
+            ids, same, whole = machine.encode(part)
             arrays += ids
             parity.append(same)
-            back += [a == b for a, b in zip(machine.decode([x.tolist() for x in ids]), part, strict=True)]
+            back.append(whole)
         sizes = np.fromiter((len(x) for x in arrays), np.int32, len(arrays))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         values = np.concatenate([np.empty(0, np.int32), *arrays])
         return pa.StructArray.from_arrays([
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(sizes),
-            pa.array(back, pa.bool_()), pa.array(np.concatenate(parity) if arrays else [], pa.bool_()),
+            *[pa.array(np.concatenate(f) if arrays else [], pa.bool_()) for f in (back, parity)],
         ], names=FIELDS.names)
 
     added = add_struct(docs, text, name, FIELDS, batch)
