@@ -177,26 +177,3 @@ def min_games(history: DataFrame, earlier: DataFrame, entity: str, game: str, k:
     return history.join(enough, entity, "left_semi")
 
 
-def pair_label(a: str, b: str) -> Column:
-    """Relation of two picks; the rules apply in this order."""
-    def l(n):
-        return F.col(f"{a}.{n}")
-
-    def r(n):
-        return F.col(f"{b}.{n}")
-
-    both_over = (l("side") == "OVER") & (r("side") == "OVER")
-    same_team = l("team") == r("team")
-    opposing = (l("opponent") == r("team")) | (l("team") == r("opponent"))
-    blowout = (F.abs(S.or_default(l("spread"), 0)) > 12) | (F.abs(S.or_default(r("spread"), 0)) > 12)
-    scoring = (S.or_default(l("total"), 220) > 235) & (S.or_default(r("total"), 220) > 235)
-    mates = ((l("prop") == "POINTS") & (r("prop") == "ASSISTS")) | (
-        (l("prop") == "ASSISTS") & (r("prop") == "POINTS")
-    )
-    return (
-        F.when(same_team & (l("prop") == r("prop")) & both_over, "negative")
-        .when(same_team & mates, "positive")
-        .when(opposing & blowout, "negative")
-        .when(scoring & both_over, "positive")
-        .otherwise("neutral")
-    )

@@ -17,28 +17,57 @@ def profile_freshness(df: DataFrame, day: str, game: str, player: str, cutoff: C
     )
 
 
+BITS = 62  # of one mask
+
+
+def _marks(column: Column, values: list) -> list[Column]:
+    """Masks with the bit of the value that ``column`` holds."""
+    out = []
+    for k in range(0, len(values), BITS):
+        mask = F.lit(0).cast("long")
+        for i, v in enumerate(values[k:k + BITS]):
+            mask = F.when(column.eqNullSafe(F.lit(v)), F.lit(1 << i).cast("long")).otherwise(mask)
+        out.append(mask)
+    return out
+
+
 def profile_dataset(df: DataFrame, day: str, game: str, player: str, season: str, prop: str,
                     outcome: str) -> DataFrame:
     """Records, range, distinct keys and outcome share overall, by season and by type.
 
-    Distinct keys are counted on pre-aggregated (season, type, key) rows.
+    Distinct keys are counted by a mask: each key is reduced to the bits of the seasons and types it occurs in, so one pass a
+    key counts it for all scopes and no row is multiplied. The scopes themselves, one row a season and type, are few.
     """
-    s, p = F.col(season), F.col(prop)
-    pre = df.groupBy(s.alias("season"), p.alias("prop"), F.col(game).alias("g"), F.col(player).alias("pl")).agg(
-        F.count("*").alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos"),
-        F.min(day).alias("lo"), F.max(day).alias("hi"),
-    )
-    cols = [F.col("season"), F.col("prop")]
-    rows = pre.groupingSets([[cols[0]], [cols[1]], []], *cols).agg(
-        F.grouping_id(*cols).alias("gid"),
-        F.sum("n").alias("records"), F.min("lo").alias("first_day"), F.max("hi").alias("last_day"),
-        F.count_distinct("g").alias("games"), F.count_distinct("pl").alias("players"),
-        (F.sum("pos") / F.sum("n")).alias("over_share"),
-    )
-    scope = F.when(F.col("gid") == 1, F.concat(F.lit("season "), "season")).when(
-        F.col("gid") == 2, F.concat(F.lit("type "), "prop")
-    ).otherwise("all")
-    return rows.select(scope.alias("scope"), "records", "first_day", "last_day", "games", "players", "over_share")
+    base = df.groupBy(F.col(season).alias("season"), F.col(prop).alias("prop")).agg(
+        F.count("*").alias("n"), F.sum(F.col(outcome).cast("long")).alias("pos"), F.min(day).alias("lo"), F.max(day).alias("hi"))
+    found = base.select("season", "prop").collect()
+    values = {c: sorted({r[c] for r in found}, key=lambda v: (v is None, v)) for c in ("season", "prop")}
+    scopes = [("all", None, None), *[("season", "season", v) for v in values["season"]], *[("type", "prop", v) for v in values["prop"]]]
+
+    def distinct(key: str, out: str) -> Column:
+        """Array of the number of distinct keys of each scope."""
+        masks = [*_marks(F.col(season), values["season"]), *_marks(F.col(prop), values["prop"])] or [F.lit(0).cast("long")]
+        keys = df.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.bit_or(m).alias(f"m{i}") for i, m in enumerate(masks)])
+        bits, first = [F.count(F.lit(1))], 0
+        for c in ("season", "prop"):
+            for i in range(len(values[c])):
+                bits.append(F.count_if(F.shiftright(f"m{first + i // BITS}", i % BITS).bitwiseAND(1) == 1))
+            first += -(-len(values[c]) // BITS)
+        return keys.agg(F.array(*bits).alias(out)).scalar()
+
+    rows = []
+    for kind, column, value in scopes:
+        mine = F.lit(True) if column is None else F.col(column).eqNullSafe(F.lit(value))
+        rows.append(F.struct(
+            F.lit("all" if column is None else None if value is None else f"{kind} {value}").alias("scope"),
+            F.sum(F.when(mine, F.col("n"))).alias("records"), F.min(F.when(mine, F.col("lo"))).alias("first_day"),
+            F.max(F.when(mine, F.col("hi"))).alias("last_day"),
+            (F.sum(F.when(mine, F.col("pos"))) / F.sum(F.when(mine, F.col("n")))).alias("over_share")))
+    one = base.agg(F.array(*rows).alias("rows"), F.count("*").alias("some")).filter((F.col("some") > 0) | F.lit(len(scopes) == 1))
+    table = one.select(F.posexplode("rows").alias("i", "r"), distinct(game, "games").alias("games"), distinct(player, "players").alias("players"))
+    return table.select(
+        "r.scope", F.coalesce("r.records", F.lit(0)).alias("records"), "r.first_day", "r.last_day",
+        F.get("games", F.col("i")).alias("games"), F.get("players", F.col("i")).alias("players"), "r.over_share")
 
 
 def profile_missing(df: DataFrame, features: list[str]) -> DataFrame:

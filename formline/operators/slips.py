@@ -9,34 +9,95 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.operators.joins import pair_label
+SUBSETS = ("all", "narrow", "top", "top_narrow")
 
-CLASS = ["team", "opponent", "prop", "side", "spread", "total"]
 
+def pair_correlation(picks: DataFrame, slate: str) -> DataFrame:
+    """Number of pick pairs per slate and relation, by inclusion and exclusion: no pair is formed and nothing is joined.
 
-def pick_classes(picks: DataFrame, slate: str) -> DataFrame:
-    """Picks that relate alike to every other pick, with their number.
-
-    The relation reads the spread and the total only through their limits, so a slate has few classes
-    however many picks it holds.
+    Pairs of one team are counted from group sizes, opposing pairs from how often a team is a team and an opponent, and pairs
+    where either pick has a wide spread as all pairs less those of narrow picks. Pairs of two scoring overs are the same
+    counts within those picks alone.
     """
-    wide = F.when(F.abs(F.coalesce(F.col("spread"), F.lit(0))) > 12, 13.0).otherwise(1.0)
-    high = F.when(F.coalesce(F.col("total"), F.lit(0)) > 235, 236.0).otherwise(220.0)
-    rows = picks.select(slate, *CLASS[:4], wide.alias("spread"), high.alias("total"))
-    return rows.groupBy(slate, *CLASS).agg(F.count(F.lit(1)).alias("n"))
-
-
-def pair_correlation(picks: DataFrame, slate: str) -> DataFrame:
-    """Number of pick pairs per slate and relation, counted over classes and never listed."""
-    packed = pick_classes(picks, slate).select(slate, F.struct(*CLASS).alias("c"), "n")
-    a = packed.select(slate, F.col("c").alias("a"), F.col("n").alias("na"))
-    b = packed.select(slate, F.col("c").alias("b"), F.col("n").alias("nb"))
-    joined = a.join(b, slate).filter(F.col("a") <= F.col("b"))
-    pairs = F.when(F.col("a") == F.col("b"), F.col("na") * (F.col("na") - 1) / 2).otherwise(
-        F.col("na") * F.col("nb")
-    )
-    labelled = joined.select(slate, pair_label("a", "b").alias("relation"), pairs.cast("long").alias("pairs"))
-    return labelled.groupBy(slate, "relation").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
+    wide = F.abs(F.coalesce(F.col("spread"), F.lit(0))) > 12
+    over = F.coalesce(F.col("side") == "OVER", F.lit(False))
+    top = over & (F.coalesce(F.col("total"), F.lit(0)) > 235)
+    member = dict(zip(SUBSETS, (F.lit(True), ~wide, top, top & ~wide), strict=True))
+    sizes = picks.groupBy(slate, "team", "opponent", "prop", over.alias("over")).agg(
+        *[F.count_if(m).alias(f"n_{s}") for s, m in member.items()])
+    parts = [_team_pairs(sizes, slate), _one_way(sizes, slate), _both_ways(sizes, slate)]
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    names = [c for c in every.columns if c != slate]
+    sums = every.groupBy(slate).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+
+    def at(name: str, subset: str) -> Column:
+        return F.col(f"{name}_{subset}")
+
+    def wide_opponents(subset: str, narrow: str) -> Column:
+        """Opposing pairs with a wide spread that no rule for one team takes first."""
+        def opposing(s: str) -> Column:
+            return at("one_way", s) - at("both_ways", s) - at("own", s)
+        return opposing(subset) - opposing(narrow)
+
+    crowd = at("crowd", "all") + wide_opponents("all", "narrow")
+    scoring = at("pairs", "top") - at("crowd", "top") - at("mates", "top") - wide_opponents("top", "top_narrow")
+    positive = at("mates", "all") + scoring
+    counts = {"negative": crowd, "positive": positive, "neutral": at("pairs", "all") - crowd - positive}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("relation"), v.cast("long").alias("pairs")) for k, v in counts.items()]))
+    return sums.select(slate, rows.alias("r")).select(slate, "r.*").filter("pairs > 0")
+
+
+def _pairs(n: Column) -> Column:
+    return F.floor(n * (n - 1) / F.lit(2))
+
+
+def _team_pairs(sizes: DataFrame, slate: str) -> DataFrame:
+    """Per slate: pairs of all; of one team, pairs on one prop over (``crowd``) and points with assists (``mates``); and those
+    of the two with an own team as opponent (``own``)."""
+    self_ = F.coalesce(F.col("team") == F.col("opponent"), F.lit(False))
+    props = sizes.groupBy(slate, "team", "prop").agg(*[
+        F.sum(F.when(cond, F.col(f"n_{s}")).otherwise(0)).alias(f"{k}_{s}") for s in SUBSETS
+        for k, cond in (("n", F.lit(True)), ("over", F.col("over")), ("over_own", F.col("over") & self_), ("own", self_))])
+    real = F.col("team").isNotNull() & F.col("prop").isNotNull()
+    teams = props.groupBy(slate, "team").agg(*[c for s in SUBSETS for c in (
+        F.sum(f"n_{s}").alias(f"n_{s}"),
+        F.sum(F.when(real, _pairs(F.col(f"over_{s}"))).otherwise(0)).alias(f"crowd_{s}"),
+        F.sum(F.when(real, _pairs(F.col(f"over_{s}")) - _pairs(F.col(f"over_{s}") - F.col(f"over_own_{s}"))).otherwise(0)).alias(f"crowd_own_{s}"),
+        *[F.sum(F.when(real & (F.col("prop") == prop), F.col(f"{k}_{s}")).otherwise(0)).alias(f"{k}_{prop}_{s}")
+          for prop in ("POINTS", "ASSISTS") for k in ("n", "own")])])
+    columns = []
+    for s in SUBSETS:
+        p, a, po, ao = (F.col(f"{k}_{prop}_{s}") for k in ("n", "own") for prop in ("POINTS", "ASSISTS"))
+        n = F.sum(f"n_{s}")
+        columns += [_pairs(n).alias(f"pairs_{s}"), F.sum(f"crowd_{s}").alias(f"crowd_{s}"), F.sum(p * a).alias(f"mates_{s}"),
+                    F.sum(F.col(f"crowd_own_{s}") + p * a - (p - po) * (a - ao)).alias(f"own_{s}")]
+    return teams.groupBy(slate).agg(*columns)
+
+
+def _one_way(sizes: DataFrame, slate: str) -> DataFrame:
+    """Per slate: ordered pairs in which the opponent of the first is the team of the second."""
+    def roles(column: str, role: str) -> DataFrame:
+        other = {"team": "opponent", "opponent": "team"}[column]
+        same = F.col(column) == F.col(other)
+        return sizes.filter(F.col(column).isNotNull()).select(slate, F.col(column).alias("club"), *[
+            (F.col(f"n_{s}") if k == role else F.when(same, F.col(f"n_{s}")).otherwise(0) if (k, role) == ("self", "team") else F.lit(0))
+            .cast("long").alias(f"{k}_{s}") for s in SUBSETS for k in ("team", "opponent", "self")])
+    clubs = roles("team", "team").unionByName(roles("opponent", "opponent"))
+    summed = clubs.groupBy(slate, "club").agg(*[F.sum(c).alias(c) for c in clubs.columns if c not in (slate, "club")])
+    return summed.groupBy(slate).agg(*[
+        F.sum(F.col(f"team_{s}") * F.col(f"opponent_{s}") - F.col(f"self_{s}")).alias(f"one_way_{s}") for s in SUBSETS])
+
+
+def _both_ways(sizes: DataFrame, slate: str) -> DataFrame:
+    """Per slate: pairs in which each is the other's opponent."""
+    known = sizes.filter("team is not null and opponent is not null")
+    low, high = F.least("team", "opponent"), F.greatest("team", "opponent")
+    games = known.groupBy(slate, low.alias("low"), high.alias("high")).agg(*[
+        F.sum(F.when(cond, F.col(f"n_{s}")).otherwise(0)).alias(f"{k}_{s}") for s in SUBSETS
+        for k, cond in (("first", F.col("team") <= F.col("opponent")), ("second", F.col("team") > F.col("opponent")))])
+    return games.groupBy(slate).agg(*[
+        F.sum(F.when(F.col("low") == F.col("high"), _pairs(F.col(f"first_{s}"))).otherwise(F.col(f"first_{s}") * F.col(f"second_{s}")))
+        .alias(f"both_ways_{s}") for s in SUBSETS])
 
 
 def _same(a, b) -> bool:

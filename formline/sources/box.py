@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import csv
+import io
+from collections.abc import Iterable
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +33,43 @@ TEAM_SCHEMA = (
 )
 
 
+HEADER_BYTES = 1 << 20
+
+
+def first_names(uri: str) -> list[str]:
+    """Column names of the first line with text of a CSV file; none of an empty file."""
+    system, place = pafs.FileSystem.from_uri(uri)
+    with system.open_input_stream(place) as stream:
+        text = stream.read(HEADER_BYTES).decode("utf-8-sig", "replace")
+    line = next((x for x in io.StringIO(text) if x.strip()), "")
+    return next(csv.reader([line]), [])
+
+
 def by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files below ``path`` by their header. Only first lines are read, sixteen files at a time."""
+    """The files below ``path`` by their header, in one job: tasks share the files and read their beginnings alone."""
     files = sorted(spark.read.text(path).inputFiles())
-    with ThreadPoolExecutor(16) as pool:
-        names = list(pool.map(lambda f: tuple(spark.read.csv(f, header=True).columns), files))
+    if not files:
+        return {}
+
+    def read(pdfs: Iterable[pd.DataFrame]):
+        for pdf in pdfs:
+            yield pdf.assign(names=[first_names(f) for f in pdf["file"]])
+
+    tasks = min(len(files), max(1, spark.sparkContext.defaultParallelism))
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
     out: dict[tuple[str, ...], list[str]] = {}
-    for name, file in zip(names, files, strict=True):
-        if name:
-            out.setdefault(name, []).append(file)
+    for file, names in sorted(listed.mapInPandas(read, "file string, names array<string>").collect()):
+        if names:
+            out.setdefault(tuple(names), []).append(file)
     return out
 
 
+def once(header: tuple[str, ...]) -> set[str]:
+    """Names that one column alone has; Spark renames columns of one name, in any case."""
+    lower = [n.lower() for n in header]
+    return {n for n in header if lower.count(n.lower()) == 1}
+
+
 def read_named(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """CSV columns picked by header name and cast to the declared types.
 
@@ -50,13 +79,13 @@ def read_named(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     """
     declared = T.StructType.fromDDL(schema)
     found = by_header(spark, path)
-    if absent := [f.name for f in declared if found and not any(f.name in header for header in found)]:
+    if absent := [f.name for f in declared if found and not any(f.name in once(header) for header in found)]:
         raise ValueError(f"no file has the columns {absent}")
     out = spark.createDataFrame([], declared)
     for k, (header, files) in enumerate(sorted(found.items())):
         raw = spark.read.csv(files, header=True)
         one = raw.select(*[
-            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in once(header) else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in declared])
         out = out.unionByName(one) if k else one
     return out

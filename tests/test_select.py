@@ -241,3 +241,37 @@ def test_long_tops_are_cut_bucket_by_bucket(spark):
         assert got == want
         plan = top_n(df, ["g"], order, 1500)._jdf.queryExecution().optimizedPlan().toString()
         assert "__bucket" in plan and "__bucket" not in top_n(df, ["g"], order, 1000)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pair_counts_of_odd_picks(spark):
+    """Missing values, teams that are their own opponents, equal picks."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        rows.append((rng.choice(["a", "b", None]), i, rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2, 3]),
+                     rng.choice(["POINTS", "ASSISTS", "REB", None]), rng.choice(["OVER", "UNDER", None]),
+                     rng.choice([None, 0.0, -13.0, 13.0]), rng.choice([None, 210.0, 240.0]), 1))
+    df = spark.createDataFrame(rows, "slate string, pick int, team int, opponent int, prop string, side string, spread double, total double, confidence int")
+
+    def same(a, b):
+        return a is not None and a == b
+
+    def relation(p, q):
+        over = p["side"] == q["side"] == "OVER"
+        team = same(p["team"], q["team"])
+        if team and same(p["prop"], q["prop"]) and over:
+            return "negative"
+        if team and {p["prop"], q["prop"]} == {"POINTS", "ASSISTS"}:
+            return "positive"
+        if (same(p["opponent"], q["team"]) or same(p["team"], q["opponent"])) and max(abs(p["spread"] or 0), abs(q["spread"] or 0)) > 12:
+            return "negative"
+        return "positive" if over and min(p["total"] or 0, q["total"] or 0) > 235 else "neutral"
+
+    want = {}
+    for slate in ("a", "b", None):
+        for p, q in combinations([dict(zip(NAMES, r)) for r in rows if r[0] == slate], 2):
+            want[slate, relation(p, q)] = want.get((slate, relation(p, q)), 0) + 1
+    got = slips.pair_correlation(df, "slate")
+    assert {(r["slate"], r["relation"]): r["pairs"] for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert slips.pair_correlation(df.limit(0), "slate").count() == 0

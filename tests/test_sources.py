@@ -130,3 +130,38 @@ def test_files_of_one_folder_are_read_by_their_own_header(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == [(1, 2), (2, 1), (7, None)]
     with pytest.raises(ValueError, match="no file has"):
         B.read_named(spark, str(tmp_path), "x long, z long")
+
+
+def test_headers_of_many_files_are_read_in_one_job(spark, tmp_path):
+    from formline.sources.box import by_header, read_named
+
+    for i in range(300):
+        head = ("" if i % 2 else "\ufeff") + "id,name,extra" if i % 3 == 0 else 'name,"id"' if i % 3 == 1 else "id,ID,name"
+        row = {0: f"{i},n{i},x", 1: f"n{i},{i}", 2: f"{i},0,n{i}"}[i % 3]
+        (tmp_path / f"part {i}.csv").write_text(f"\n{head}\n{row}\n" if i % 2 else f"{head}\n{row}\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = by_header(spark, str(tmp_path))
+    jobs = before.getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2 and {k: len(v) for k, v in found.items()} == {
+        ("id", "name", "extra"): 100, ("name", "id"): 100, ("id", "ID", "name"): 100}
+    got = {r["name"]: r["id"] for r in read_named(spark, str(tmp_path), "id long, name string").collect()}
+    # a name that two columns share is not there
+    assert got == {f"n{i}": None if i % 3 == 2 else i for i in range(300)}
+
+
+def test_profile_of_many_seasons_and_missing_keys(spark):
+    from formline.operators.profile import profile_dataset
+
+    rows = [(f"s{i % 70}" if i % 11 else None, ["A", "B"][i % 2], i % 90 if i % 7 else None, i % 13, i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "season string, prop string, game int, player int, y int").withColumn("day", F.lit("2024-01-01").cast("date"))
+    got = {(r["scope"]): (r["records"], r["games"], r["players"], r["over_share"]) for r in
+           profile_dataset(df, "day", "game", "player", "season", "prop", "y").collect()}
+    scopes = {"all": rows, None: [r for r in rows if r[0] is None]}
+    scopes |= {f"season {s}": [r for r in rows if r[0] == s] for s in {r[0] for r in rows} - {None}}
+    scopes |= {f"type {p}": [r for r in rows if r[1] == p] for p in "AB"}
+    assert got == {k: (len(v), len({r[2] for r in v} - {None}), len({r[3] for r in v}), sum(r[4] for r in v) / len(v)) for k, v in scopes.items()}
+    empty = profile_dataset(df.limit(0), "day", "game", "player", "season", "prop", "y").collect()
+    assert [(r["scope"], r["records"], r["games"]) for r in empty] == [("all", 0, 0)]
