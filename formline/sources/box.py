@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -60,7 +61,7 @@ def by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...
     out: dict[tuple[str, ...], list[str]] = {}
     for file, names in sorted(listed.mapInPandas(read, "file string, names array<string>").collect()):
         if names:
-            out.setdefault(tuple(names), []).append(file)
+            out.setdefault(tuple(names), []).append(unquote(file))  # readers take plain paths
     return out
 
 
