@@ -71,23 +71,33 @@ def asof_latest(props: DataFrame, history: DataFrame, on: list[str], time: list[
     return props.join(latest, on, "inner").select(props["*"], *[F.col(f"__last.{c}").alias(c) for c in take])
 
 
-def containing_names(needles: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (needle, name) with the needle inside the name, from distinct needles and names.
+GRAM = 3
 
-    Each name offers its substrings of the lengths that needles have, and a needle meets its names by
-    equality: only true pairs are formed, however many names share a beginning.
-    """
-    left = needles.filter(F.length("needle") > 0).select("needle").distinct()
-    lengths = left.agg(F.collect_set(F.length("needle"))).scalar()
-    size = F.length("name")
 
-    def of_length(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(F.col("name"), i, n))
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct stretches of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
 
-    fitting = F.filter(F.col("__lengths"), lambda n: n <= size)
-    pieces = F.array_distinct(F.flatten(F.transform(fitting, of_length)))
-    right = names.select("name").distinct().withColumn("__lengths", lengths)
-    return right.select("name", F.explode(pieces).alias("needle")).join(left, "needle").select("needle", "name")
+def containing_names(needles: DataFrame, names: DataFrame, kind: str) -> DataFrame:
+    """Rows (kind, needle, name) with the needle inside the name, from distinct needles and names of a kind.
+
+    An inverted index of names by kind and stretch of ``GRAM`` characters (all of it for a shorter needle) is asked for the
+    rarest stretch of each needle alone; a name it lists is then looked at whole. A needle with a stretch that no name has
+    asks for nothing.
+    """
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    left = needles.filter(F.length("needle") > 0).select(kind, "needle").distinct()
+    sizes = left.agg(F.collect_set(size)).scalar()  # at most GRAM of them
+    listed = F.flatten(F.transform("__sizes", lambda n: _grams(F.col("name"), n)))
+    posted = names.select(kind, "name").distinct().withColumn("__sizes", sizes).select(kind, "name", F.explode(listed).alias("__gram"))
+    counts = posted.groupBy(kind, "__gram").agg(F.count(F.lit(1)).alias("__n"))
+    asked = left.select(kind, "needle", F.explode(_grams(F.col("needle"), size)).alias("__gram"))
+    rarest = asked.join(counts, [kind, "__gram"], "left").groupBy(kind, "needle").agg(
+        F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"), F.min(F.coalesce("__n", F.lit(0))).alias("__n"))
+    found = rarest.filter("__n > 0").drop("__n").join(posted, [kind, "__gram"])
+    return found.filter(F.contains("name", "needle")).select(kind, "needle", "name")
 
 
 def asof_by_last_token(props: DataFrame, history: DataFrame, name: str, kind: str, time: list[str],
@@ -100,15 +110,9 @@ def asof_by_last_token(props: DataFrame, history: DataFrame, name: str, kind: st
     latest = history.groupBy(name, kind).agg(
         F.max(F.struct(F.struct(*time).alias("at"), F.struct(*take).alias("row"))).alias("__last")
     ).withColumn("__low", F.lower(name))
-    pairs = containing_names(
-        rest.select(F.col("__token").alias("needle")), latest.select(F.col("__low").alias("name"))
-    )
-    best = (
-        pairs.join(latest, pairs["name"] == latest["__low"])
-        .groupBy("needle", kind)
-        .agg(F.max("__last").alias("__best"))
-    )
-    best = best.select(F.col("needle").alias("__token"), kind, "__best")
+    lows = latest.groupBy(F.col("__low").alias("name"), kind).agg(F.max("__last").alias("__last"))
+    pairs = containing_names(rest.select(kind, F.col("__token").alias("needle")), lows, kind)
+    best = pairs.join(lows, [kind, "name"]).groupBy(F.col("needle").alias("__token"), kind).agg(F.max("__last").alias("__best"))
     return rest.join(best, ["__token", kind]).select(
         props["*"], *[F.col(f"__best.row.{c}").alias(c) for c in take]
     )
@@ -149,19 +153,20 @@ def compare_predictions(predictions: DataFrame, actuals: DataFrame, on: list[str
 def match_names(predictions: DataFrame, lines: DataFrame, name: str, kind: str, pick: list[str],
                 take: list[str]) -> DataFrame:
     """Match where one name contains the other and the type agrees; the first by ``pick`` wins."""
-    wanted = predictions.select(F.lower(F.trim(name)).alias("n")).distinct()
-    offered = lines.select(F.lower(F.trim(name)).alias("n")).distinct()
-    inside = containing_names(wanted.select(F.col("n").alias("needle")), offered.select(F.col("n").alias("name")))
-    around = containing_names(offered.select(F.col("n").alias("needle")), wanted.select(F.col("n").alias("name")))
+    def named(df: DataFrame, out: str) -> DataFrame:
+        return df.select(kind, F.lower(F.trim(name)).alias(out))
+
+    inside = containing_names(named(predictions, "needle"), named(lines, "name"), kind)
+    around = containing_names(named(lines, "needle"), named(predictions, "name"), kind)
     pairs = (
-        inside.select(F.col("needle").alias("__want"), F.col("name").alias("__offer"))
-        .unionByName(around.select(F.col("name").alias("__want"), F.col("needle").alias("__offer")))
+        inside.select(kind, F.col("needle").alias("__want"), F.col("name").alias("__offer"))
+        .unionByName(around.select(kind, F.col("name").alias("__want"), F.col("needle").alias("__offer")))
         .distinct()
     )
     firsts = lines.groupBy(F.lower(F.trim(name)).alias("__offer"), F.col(kind)).agg(
         F.min(F.struct(*pick, *[c for c in take if c not in pick])).alias("__row")
     )
-    best = pairs.join(firsts, "__offer").groupBy("__want", kind).agg(F.min("__row").alias("__best"))
+    best = pairs.join(firsts, [kind, "__offer"]).groupBy("__want", kind).agg(F.min("__row").alias("__best"))
     keyed = predictions.withColumn("__want", F.lower(F.trim(name)))
     return keyed.join(best, ["__want", kind]).select(
         predictions["*"], *[F.col(f"__best.{c}").alias(f"matched_{c}") for c in take]

@@ -12,11 +12,12 @@ from formline.plans import build
 
 def test_containing_names_equals_all_pairs(spark):
     rng = random.Random(3)
-    names = sorted({"".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9))) for _ in range(80)})
-    needles = sorted({"".join(rng.choice("ab ") for _ in range(rng.randrange(1, 6))) for _ in range(40)})
-    got = J.containing_names(spark.createDataFrame([(n,) for n in needles], "needle string"),
-                             spark.createDataFrame([(n,) for n in names], "name string"))
-    assert {tuple(r) for r in got.collect()} == {(a, b) for a in needles for b in names if a in b}
+    names = [("".join(rng.choice("ab c") for _ in range(rng.randrange(12))), rng.choice("xyz")) for _ in range(80)] + [(None, "x"), ("abc", None)]
+    needles = [("".join(rng.choice("abcd ") for _ in range(rng.randrange(6))), rng.choice("xy")) for _ in range(60)] + [(None, "x"), ("a", None)]
+    got = J.containing_names(spark.createDataFrame(needles, "needle string, k string"), spark.createDataFrame(names, "name string, k string"), "k")
+    want = {(k, n, m) for n, k in needles for m, j in names if k and k == j and n and m and n in m}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and want
 
 
 def test_fallback_only_without_exact_history(spark):
