@@ -246,16 +246,20 @@ def write_dates(spark, sf):
     return spark.read.parquet(path).groupBy("game_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("season_cache", "SELECT season, count(*) AS n FROM q_box WHERE season IN ('1996-97', '1998-99') GROUP BY season")
+@query("season_cache", """SELECT season, count(*) AS n FROM q_box WHERE season IN ('1996-97', '1998-99')
+    AND game_date BETWEEN DATE '1996-12-01' AND DATE '1998-12-31' GROUP BY season""")
 def season_cache(spark, sf):
+    """One season stored without its last months, found stale and built again with the other; then a range of days."""
     path = run_dir(spark, "seasons")
-    rows = box(spark, sf).select("season", "entity_id", "game_id")
+    rows = box(spark, sf).select("season", "entity_id", "game_id", "game_date")
+    last = rows.filter("season = '1996-97'").agg(F.max("game_date")).first()[0]
 
     def build(missing):
         return rows.filter(F.col("season").isin(*missing))
 
-    I.season_cache(spark, path, ["1996-97"], build)
-    both = I.season_cache(spark, path, ["1996-97", "1998-99"], build)
+    I.season_cache(spark, path, ["1996-97"], lambda missing: build(missing).filter(F.col("game_date") < "1997-01-15"))
+    both = I.season_cache(spark, path, ["1996-97", "1998-99"], build, day="game_date",
+                          must_have={"1996-97": str(last)} if last else None, between=("1996-12-01", "1998-12-31"))
     return both.groupBy(F.col("season").cast("string").alias("season")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -291,6 +295,17 @@ def mark_dates(spark, sf):
     return I.dates_by_month(I.mark_dates(_done(spark, sf), new))
 
 
+@query("training_sessions", f"""SELECT CAST(0 AS INTEGER) AS position, 'orders' AS session, count(DISTINCT day) AS dates, 'closed' AS kind FROM ({DONE_SQL})
+    UNION ALL SELECT 1, 'shipping', count(DISTINCT CAST(l_shipdate AS DATE)), 'lines' FROM lineitem WHERE CAST(l_shipdate AS DATE) NOT IN ({DONE_SQL})""")
+def training_sessions(spark, sf):
+    """Two sessions stored one after the other; the second marks what the first left."""
+    path = run_dir(spark, "sessions")
+    I.mark_session(_done(spark, sf), path, "day", "orders", {"kind": "closed"})
+    shipped = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    I.mark_session(shipped, path, "day", "shipping", {"kind": "lines"})
+    return I.sessions(spark, path).select("position", "session", "dates", F.col("info")["kind"].alias("kind"))
+
+
 @query("list_dates", "SELECT DISTINCT game_date AS day FROM q_ev")
 def list_dates(spark, sf):
     return B.list_dates(events(spark, sf), "game_date")

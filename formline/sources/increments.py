@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from formline.sources import manifest
 
 
 def calendar(spark: SparkSession, low: Column, high: Column, day: str = "day") -> DataFrame:
@@ -46,19 +53,71 @@ def write_dates(new: DataFrame, path: str, day: str) -> None:
 
 
 def season_cache(spark: SparkSession, path: str, wanted: list[str], build, season: str = "season",
-                 force: bool = False) -> DataFrame:
-    """Season partitions from ``path``; those missing (or all, if forced) are built and written first."""
-    have: set[str] = set()
-    if not force:
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        for s in wanted:
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{season}={s}")):
-                have.add(s)
-    missing = [s for s in wanted if s not in have]
+                 force: bool = False, day: str | None = None, must_have: dict[str, str] | None = None,
+                 between: tuple[str, str] | None = None) -> DataFrame:
+    """Stored seasons of ``path``; those that the manifest does not name are built, written and then committed.
+
+    A season of ``must_have`` is stale, and built again, while it has no row of the day given for it. ``between`` keeps the
+    days from one to another, both included. Each build goes to a folder of its own, so readers of the list before keep theirs.
+    """
+    number, stored = manifest.newest(spark, path)
+
+    def stale(s: str) -> bool:
+        if force or s not in stored:
+            return True
+        wants = (must_have or {}).get(s)
+        return wants is not None and _of(spark, path, stored, [s], season).filter(F.col(day) == F.lit(wants).cast("date")).isEmpty()
+
+    missing = [s for s in wanted if stale(s)]
     if missing:
-        (
-            build(missing).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy(season).parquet(path)
-        )
-    return spark.read.parquet(path).filter(F.col(season).isin(*wanted))
+        rows, folder = build(missing), f"part-{uuid.uuid4().hex}"
+        rows.write.mode("errorifexists").partitionBy(season).parquet(f"{path}/{folder}")
+        stored = stored | {s: {"folder": folder, "schema": rows.schema.json()} for s in missing}
+        manifest.commit(spark, path, number, stored)
+    out = _of(spark, path, stored, wanted, season)
+    return out.filter(F.col(day).between(*[F.lit(d).cast("date") for d in between])) if between else out
+
+
+def _of(spark: SparkSession, path: str, stored: dict, wanted: list[str], season: str) -> DataFrame:
+    """Rows of the wanted seasons, each from the folder that the manifest names."""
+    folders: dict[str, list[str]] = {}
+    for s in wanted:
+        folders.setdefault(stored[s]["folder"], []).append(s)
+    parts = []
+    for folder, names in folders.items():
+        schema = T.StructType.fromJson(json.loads(stored[names[0]]["schema"]))
+        some = spark.read.schema(schema).parquet(f"{path}/{folder}").filter(F.col(season).cast("string").isin(*names))
+        parts.append(some.select(*schema.names))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def mark_session(new: DataFrame, path: str, day: str, session: str, info: dict[str, str]) -> None:
+    """Store the days of a session that no earlier one has, then its record. The record commits them: days of a session
+    without one do not count."""
+    spark = new.sparkSession
+    number, stored = manifest.newest(spark, path)
+    if session in stored:
+        raise ValueError(f"session {session} is recorded already")
+    days = new.select(F.col(day).cast("date").alias("day")).filter("day is not null").distinct()
+    if stored:
+        days = days.join(marked_dates(spark, path), "day", "left_anti")
+    folder = f"days-{uuid.uuid4().hex}"
+    days.write.mode("errorifexists").parquet(f"{path}/{folder}")
+    record = {**info, "folder": folder, "order": str(len(stored)), "dates": str(spark.read.schema("day date").parquet(f"{path}/{folder}").count())}
+    manifest.commit(spark, path, number, stored | {session: record})
+
+
+def marked_dates(spark: SparkSession, path: str) -> DataFrame:
+    """Days of all recorded sessions, each once."""
+    _, stored = manifest.newest(spark, path)
+    if not stored:
+        return spark.createDataFrame([], "day date")
+    return spark.read.schema("day date").parquet(*[f"{path}/{r['folder']}" for r in stored.values()])
+
+
+def sessions(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """Session records in order, the ``last`` ones if given: position, session, dates and what else was recorded."""
+    _, stored = manifest.newest(spark, path)
+    rows = sorted((int(r["order"]), name, int(r["dates"]), {k: v for k, v in r.items() if k not in ("folder", "order", "dates")})
+                  for name, r in stored.items())
+    return spark.createDataFrame(rows[-last:] if last else rows, "position int, session string, dates long, info map<string,string>")

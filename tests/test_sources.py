@@ -165,3 +165,56 @@ def test_profile_of_many_seasons_and_missing_keys(spark):
     assert got == {k: (len(v), len({r[2] for r in v} - {None}), len({r[3] for r in v}), sum(r[4] for r in v) / len(v)) for k, v in scopes.items()}
     empty = profile_dataset(df.limit(0), "day", "game", "player", "season", "prop", "y").collect()
     assert [(r["scope"], r["records"], r["games"]) for r in empty] == [("all", 0, 0)]
+
+
+def test_a_write_that_dies_before_its_commit_is_not_there(spark, monkeypatch):
+    from formline.sources import manifest
+
+    path, built = run_dir(spark, "cache"), []
+
+    def build(names):
+        built.append(list(names))
+        return spark.createDataFrame([(n, "2024-01-01") for n in names], "season string, d string").withColumn("d", F.col("d").cast("date"))
+
+    real = manifest.commit
+    monkeypatch.setattr(manifest, "commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    for _ in range(2):
+        try:
+            I.season_cache(spark, path, ["2001"], build)
+        except OSError:
+            pass
+    assert manifest.newest(spark, path) == (0, {})
+    monkeypatch.setattr(manifest, "commit", real)
+    got = I.season_cache(spark, path, ["2001", "b"], build)
+    assert sorted(r["season"] for r in got.collect()) == ["2001", "b"] and built == [["2001"], ["2001"], ["2001", "b"]]
+    # a season stays while it has the day asked for, and is built again while it has not
+    I.season_cache(spark, path, ["b"], build, day="d", must_have={"b": "2024-01-01"})
+    assert len(built) == 3
+    I.season_cache(spark, path, ["2001", "b"], build, day="d", must_have={"b": "2024-01-02"})
+    assert built[3:] == [["b"]] and manifest.newest(spark, path)[0] == 2
+    assert I.season_cache(spark, path, ["2001", "b"], build, day="d", between=("2024-01-02", "2024-02-01")).isEmpty()
+    try:
+        manifest.commit(spark, path, 1, {})
+        raise AssertionError("a second writer of the same number")
+    except RuntimeError:
+        pass
+
+
+def test_sessions_mark_new_days_once(spark, monkeypatch):
+    from formline.sources import manifest
+
+    path = run_dir(spark, "sessions")
+    assert I.marked_dates(spark, path).isEmpty() and I.sessions(spark, path).isEmpty()
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-05')) d")
+    I.mark_session(days, path, "d", "one", {"accuracy": "51.2"})
+    I.mark_session(days.unionByName(days).withColumn("d", F.date_add("d", 3)), path, "d", "two", {})
+    assert I.marked_dates(spark, path).count() == 8
+    assert [(r["position"], r["session"], r["dates"], r["info"]) for r in I.sessions(spark, path).collect()] == [
+        (0, "one", 5, {"accuracy": "51.2"}), (1, "two", 3, {})]
+    assert [r["session"] for r in I.sessions(spark, path, 1).collect()] == ["two"]
+    monkeypatch.setattr(manifest, "commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    try:
+        I.mark_session(days.withColumn("d", F.date_add("d", 30)), path, "d", "three", {})
+    except OSError:
+        pass
+    assert I.marked_dates(spark, path).count() == 8
