@@ -112,7 +112,13 @@ def grow(p: Problems, c: Config, used: np.ndarray, chosen: np.ndarray, g: np.nda
     """Leaf value of every row in one more tree of each model. ``used`` rows are learnt from; ``chosen`` are the features of
     each model."""
     def score(gs, hs):
-        return np.maximum(np.abs(gs) - c.alpha, 0) ** 2 / (hs + c.lam)
+        top = np.abs(gs)
+        if c.alpha:
+            top -= c.alpha
+            np.maximum(top, 0, out=top)
+        top *= top
+        top /= hs + c.lam
+        return top
 
     out, (count, wide) = np.zeros(len(g)), chosen.shape
     rows, node = np.arange(len(g)), p.model
@@ -129,8 +135,9 @@ def grow(p: Problems, c: Config, used: np.ndarray, chosen: np.ndarray, g: np.nda
         left_g = np.bincount(cell, np.repeat(gs, wide), size).reshape(count, wide, BINS).cumsum(2)
         left_h = np.bincount(cell, np.repeat(hs, wide), size).reshape(count, wide, BINS).cumsum(2)
         right_h = sum_h[:, None, None] - left_h
-        gain = score(left_g, left_h) + score(sum_g[:, None, None] - left_g, right_h)
-        gain[(left_h < c.leaf) | (right_h < c.leaf)] = -1
+        gain = score(left_g, left_h)
+        gain += score(sum_g[:, None, None] - left_g, right_h)
+        gain[np.minimum(left_h, right_h) < c.leaf] = -1
         flat = gain.reshape(count, -1)
         best = flat.argmax(1)
         split = flat[np.arange(count), best] > score(sum_g, sum_h) + 1e-9
