@@ -1,5 +1,7 @@
 """Projections, filters, labels, classes and gates."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from bindings.base import (RELIABILITY_SQL, STATS, box, events, featured, labelled, predicted, prop_rows, query, r6,
@@ -279,11 +281,17 @@ def actuals_projection(spark, sf):
     return B.actuals(rows)
 
 
-@query("feature_select", """SELECT home, rest_days, round("L5_Avg_PTS", 6) AS "L5_Avg_PTS", game_id FROM q_feat""")
+# of the model's list, the features of the player's own games; the others come from team, line and tier
+OWN = [c for c in config.model_features("PTS") if not re.match("Opp_|Player_|Reliability_|Form_|Line|.*_SameVenue", c)]
+
+
+@query("feature_select", f"""SELECT game_id, home, is_b2b, CAST(rest_days AS BIGINT) AS rest_days, {r6_sql(*[c for c in OWN if "_Avg_" in c or "_StdDev_" in c])}
+    FROM q_feat""")
 def feature_select(spark, sf):
     rows = featured(spark, sf)
-    names = [c for c in C.feature_select(rows, config.model_features("PTS")) if c in ("home", "rest_days", "L5_Avg_PTS")]
-    return rows.select("game_id", *[F.round(c, 6).alias(c) if "Avg" in c else F.col(c).cast("long" if c == "rest_days" else "int").alias(c) for c in names])
+    names = C.feature_select(rows, OWN)
+    return rows.select("game_id", *[F.round(c, 6).alias(c) if "_" in c and c[0] in "LS" else F.col(c).cast("long" if c == "rest_days" else "int").alias(c)
+                                    for c in names])
 
 
 @query("parse_times", """SELECT event_id, CAST(timezone('America/New_York', ts AT TIME ZONE 'UTC') AS DATE) AS local_day,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formline import config
 from formline.functions import scalars as S
@@ -144,34 +145,38 @@ def impute_median(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFr
     )
 
 
-NUMERIC = ("double", "float", "int", "bigint", "smallint")
-
-
 def fill_numeric_zero(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Null numbers to 0, at the model edge only: tiers and tags come before."""
-    cols = [n for n, t in df.dtypes if t in NUMERIC and n not in skip]
+    """Null numbers of any type to 0, at the model edge only: tiers and tags come before."""
+    cols = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]
     return df.fillna(0, subset=cols) if cols else df
 
 
+def column_plan(names: list[str], order: list[str], drop: set[str], prefixes: list[str]) -> list[int]:
+    """Places of the columns to keep: listed ones by the list, then those of a prefix by the prefixes, then the others as they
+    come; of equal names the first."""
+    def rank(i: int) -> tuple[int, int, int]:
+        name = names[i]
+        if name in order:
+            return 0, order.index(name), i
+        group = next((k for k, p in enumerate(prefixes) if name.startswith(p)), None)
+        return (2, 0, i) if group is None else (1, group, i)
+
+    return sorted((i for i, n in enumerate(names) if n not in drop and names.index(n) == i), key=rank)
+
+
 def shape_schema(df: DataFrame, order: list[str], drop: list[str] | None = None,
                  prefixes: list[str] | None = None) -> DataFrame:
-    """Drop noise, keep the first of equal names, put listed columns first, then prefix groups."""
-    names = df.columns
-    unique = df.toDF(*[f"__c{i}" for i in range(len(names))])
-    first: dict[str, str] = {}
-    for i, n in enumerate(names):
-        first.setdefault(n, f"__c{i}")
-    gone = set(config.NOISE_COLUMNS if drop is None else drop)
-    left = [n for n in first if n not in gone]
-    head = [n for n in order if n in left]
-    middle: list[str] = []
-    for p in prefixes or []:
-        middle += [n for n in left if n.startswith(p) and n not in head and n not in middle]
-    tail = [n for n in left if n not in head and n not in middle]
-    return unique.select(*[F.col(first[n]).alias(n) for n in [*head, *middle, *tail]])
+    """The columns that ``column_plan`` keeps, in its order."""
+    plan = column_plan(df.columns, order, set(config.NOISE_COLUMNS if drop is None else drop), prefixes or [])
+    if len(set(df.columns)) == len(df.columns):
+        return df.select(*[f"`{df.columns[i]}`" for i in plan])
+    # equal names cannot be told apart by name
+    numbered = df.toDF(*map(str, range(len(df.columns))))
+    return numbered.select(*[F.col(str(i)).alias(df.columns[i]) for i in plan])
 
 
 def feature_select(df: DataFrame, wanted: list[str]) -> list[str]:
-    """Wanted features that the table has, in the wanted order."""
-    have = set(df.columns)
-    return [c for c in wanted if c in have]
+    """The wanted features, all of which the table must have."""
+    if absent := [c for c in wanted if c not in df.columns]:
+        raise ValueError(f"no columns {absent}")
+    return wanted

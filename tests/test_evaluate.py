@@ -160,3 +160,12 @@ def test_holdout_cv_sees_only_other_players(spark):
     held = P.group_holdout(df, "who", 2)
     got = M.player_holdout_cv(df, held, "who", ["f"], "y", 2, M.TreeParams(max_iter=2, max_depth=2, step=0.3)).first()
     assert got["folds"] == 2 and got["accuracy"] == 1.0 and got["roc_auc_std"] == 0.0
+
+
+def test_numbers_of_all_types_are_filled_and_absent_features_raise(spark):
+    df = spark.sql("select cast(null as tinyint) a, cast(null as decimal(9, 2)) b, cast(null as float) c, cast(null as string) d, cast(null as bigint) e")
+    assert tuple(C.fill_numeric_zero(df, ("e",)).first()) == (0, 0, 0.0, None, None)
+    assert C.feature_select(df, ["b", "a"]) == ["b", "a"]
+    with pytest.raises(ValueError, match="zz"):
+        C.feature_select(df, ["a", "zz"])
+    assert C.column_plan(["x", "p2", "a", "x", "p1", "gone", "b"], ["b", "a"], {"gone"}, ["p1", "p"]) == [6, 2, 4, 1, 0]
