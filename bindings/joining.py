@@ -126,6 +126,23 @@ def recent_hit_rate(spark, sf):
     return rows.select("c_name", "prop", *r6("recent_prob", "implied_prob", "edge"))
 
 
+@query("recent_hit_rate_fallback", f"""SELECT t.c_name, t.prop, coalesce(o.rate, 0.5) AS by_outcome, CASE WHEN a.l10 IS NULL THEN 0.5
+    WHEN a.l10 > t.line THEN 1.0 ELSE 0.0 END::DOUBLE AS by_average FROM ({TODAY_SQL}) t
+    LEFT JOIN (SELECT c_name, prop, round(avg(outcome), 6) AS rate FROM (SELECT * FROM q_lab QUALIFY row_number() OVER
+      (PARTITION BY c_name, prop ORDER BY game_date DESC, game_id DESC) <= 10) GROUP BY ALL) o USING (c_name, prop)
+    LEFT JOIN ({LATEST_SQL}) a USING (c_name, prop)""")
+def recent_hit_rate_fallback(spark, sf):
+    """Histories that keep no measures: by past overs, and by the latest average alone."""
+    history, props = labelled(spark, sf), todays(spark, sf).select("c_name", "prop", "line", "odds")
+
+    def by(columns, out):
+        some = history.select("c_name", "prop", "game_date", "game_id", *columns)
+        rows = J.recent_hit_rate(props, some, ["c_name", "prop"], ["-game_date", "-game_id"], "actual", "line", "odds", average="l10")
+        return rows.select("c_name", "prop", F.round("recent_prob", 6).alias(out))
+
+    return by(["outcome", "l10"], "by_outcome").join(by(["l10"], "by_average"), ["c_name", "prop"])
+
+
 @query("compare_predictions", """SELECT game_id, prop, CASE WHEN got > line THEN 'OVER' ELSE 'UNDER' END AS actual_side,
     side = CASE WHEN got > line THEN 'OVER' ELSE 'UNDER' END AS hit,
     confidence2 >= 7 AND side <> CASE WHEN got > line THEN 'OVER' ELSE 'UNDER' END AS confident_miss

@@ -119,16 +119,25 @@ def asof_by_last_token(props: DataFrame, history: DataFrame, name: str, kind: st
 
 
 def recent_hit_rate(props: DataFrame, history: DataFrame, on: list[str], order: list[str], stat: str,
-                    line: str, odds: str, n: int = 10) -> DataFrame:
-    """Share of the last n history rows above today's line, even odds if none, and the edge."""
+                    line: str, odds: str, n: int = 10, outcome: str = "outcome", average: str | None = None) -> DataFrame:
+    """Share of the last n history rows above today's line, even odds if none, and the edge.
+
+    A history without the ``stat`` is judged by what it has: the share of its past overs, without ``outcome`` too whether its
+    latest ``average`` is above the line, without any of them even odds.
+    """
     from formline.operators.ordered import top_n
 
-    last = top_n(history, on, order, n).groupBy(*on).agg(
-        F.collect_list(F.coalesce(F.col(stat).cast("double"), F.lit(float("-inf")))).alias("__recent")
-    )
+    kind = next((k for k, c in (("stat", stat), ("outcome", outcome), ("average", average)) if c and c in history.columns), None)
+    taken = {"stat": stat, "outcome": outcome, "average": average}.get(kind)
+    value = F.lit(None).cast("double") if kind is None else F.col(taken).cast("double")
+    if kind != "average":
+        value = F.coalesce(value, F.lit(float("-inf")))  # a missing value is no over
+    last = top_n(history.withColumn("__value", value), on, order, 1 if kind == "average" else n).groupBy(*on).agg(
+        F.collect_list("__value").alias("__recent"))
     joined = props.join(last, on, "left")
-    over = F.size(F.filter("__recent", lambda v: v > F.col(line)))
-    rate = F.when(F.size("__recent") > 0, over / F.size("__recent")).otherwise(0.5)
+    bar = F.lit(0.5) if kind == "outcome" else F.col(line)
+    over = F.size(F.filter("__recent", lambda v: v > bar))
+    rate = F.when((F.size("__recent") > 0) & F.lit(kind is not None), over / F.size("__recent")).otherwise(0.5)
     implied = S.implied_probability(F.col(odds))
     return (
         joined.withColumn("recent_prob", F.coalesce(rate, F.lit(0.5)))
