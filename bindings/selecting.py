@@ -151,10 +151,10 @@ def smart_score(spark, sf):
     return rows.select("slate", "entity_id", "prop", "game_id", "quality")
 
 
-@query("smart_filter", greedy_sql(BEST_SQL, "quality DESC, size DESC, line, entity_id, game_id", 2, 8, 25)
+@query("smart_filter", greedy_sql(BEST_SQL, "quality DESC, size DESC, line, entity_id, game_id, prop", 2, 8, 25)
        + " SELECT slate, entity_id, prop, game_id, quality FROM chosen")
 def smart_filter(spark, sf):
-    rows = T.smart_filter(_scored(spark, sf), ["slate"], "entity_id", "prop", "line", ["entity_id", "game_id"], 25)
+    rows = T.smart_filter(_scored(spark, sf), ["slate"], "entity_id", "prop", "line", ["entity_id", "game_id", "prop"], 25)
     return rows.select("slate", "entity_id", "prop", "game_id", "quality")
 
 
