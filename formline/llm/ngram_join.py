@@ -15,6 +15,9 @@ behind the first pass works on classes, so exact copies cost nothing more.
   ends when all its members are in one group; as soon as the pairs between different groups are few, they are all tested.
   So every two classes that share a list are tested or already connected: no link between groups is lost, and a list of N
   near copies costs N tests, not N squared.
+* Before two sets are compared their sketches are: a bit for each of 1,024 slots, set where an odd number of elements falls
+  into it. Every element that only one of the sets has turns one bit, so more differing bits than the sets may have elements
+  apart rule the pair out, exactly. Only pairs that are left move their sets.
 * The boundary is the largest size up to which listing subsets costs less than lists and checks (``boundary``).
 
 The global order takes a class of frequency from a table of 2^24 bytes. Counts cover all shingles of all documents (32-bit
@@ -23,7 +26,8 @@ right results, so the table needs no more room as data grows; a fuller table onl
 sent to all tasks besides a bitmap of 2^24 bits that spares tasks sets nobody asks for; an exact join follows it.
 
 Tables that later steps read are written to the shared folder. Groups come from alternating large-star and small-star
-steps, as joins and map-side reduced minima.
+steps, as joins and map-side reduced minima. Before the first and after each step, every task contracts the links it holds
+to stars by union-find, ``FOREST`` classes at a time, so that few links and few steps are left.
 
 Defined cases: null and empty texts have 0 shingles. Rows with equal doc_id and equal text are one document. A null doc_id
 takes part; component_id is the smallest id that is not null, or null if there is none. Other columns are untouched.
@@ -34,6 +38,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +54,8 @@ SLOT_BITS, MAP_BITS = 24, 24
 SHORT = 32  # a list of at most so many classes gives its pairs at once
 FEW = 16  # pairs between groups, for each posting, that are tested at once
 MORE = 4  # a turn has so many times the hubs of the turn before
+FOREST = 500_000  # classes a task contracts at once
+SKETCH = 16  # words of 64 bits of a sketch
 FLUSH = 4_000_000  # shingles held before their remainders are passed on
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -221,8 +228,15 @@ def second_pass(docs: DataFrame, text: str, k: int, percent: int, bits: int, tab
     return docs.select(f"`{text}`").mapInArrow(task, "k1 bigint, k2 bigint, cid binary, n int, partner int, rare int")
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of bits: whether an odd number of elements falls into a slot."""
+    at = (mix(tokens * K3) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def third_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
-    """cid and shingles of the sets in the bitmap, once a task."""
+    """cid, size, sketch and shingles of the sets in the bitmap, once a task."""
+    words = [f"s{i}" for i in range(SKETCH)]
 
     def task(batches):
         bits, seen = wanted.value, set()
@@ -234,12 +248,15 @@ def third_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
                 at = int.from_bytes(cid[:4], "big") & (1 << MAP_BITS) - 1
                 if int(bits[at >> 6]) >> (at & 63) & 1 and cid not in seen:
                     seen.add(cid)
-                    out.append((cid, tokens.view(np.int64)))
+                    out.append((cid, tokens.view(np.int64), sketch(tokens)))
+            bits_of = np.array([x[2] for x in out], np.int64).reshape(len(out), SKETCH)
             yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))],
-                names=["cid", "tokens"])
+                pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int32()),
+                pa.array([x[1] for x in out], pa.list_(pa.int64())),
+                *[pa.array(np.ascontiguousarray(bits_of[:, i])) for i in range(SKETCH)]], names=["cid", "n", "tokens", *words])
 
-    return docs.select(f"`{text}`").mapInArrow(task, "cid binary, tokens array<bigint>")
+    return docs.select(f"`{text}`").mapInArrow(
+        task, "cid binary, n int, tokens array<bigint>, " + ", ".join(f"{w} bigint" for w in words))
 
 
 def bitmap(cids: DataFrame) -> np.ndarray:
@@ -280,8 +297,19 @@ def fits(x: str, y: str, percent: int, most: int):
         f"{100 + percent} * least({n} - {x}.k2, {m} - {y}.k2) >= {percent} * ({n} + {m})")
 
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out. Linked sets have at most n + m - 2 * overlap elements apart."""
+    words = [f"s{i}" for i in range(SKETCH)]
+    x = sets.select(F.col("cid").alias("a"), F.col("n").alias("xn"), *[F.col(w).alias(f"x{w}") for w in words])
+    y = sets.select(F.col("cid").alias("b"), F.col("n").alias("yn"), *[F.col(w).alias(f"y{w}") for w in words])
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in words])
+    return pairs.join(x, "a").join(y, "b").where(
+        (F.col("xn") + F.col("yn") - apart) * (100 + percent) >= 2 * percent * (F.col("xn") + F.col("yn"))).select("a", "b")
+
+
 def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
+    pairs = near(pairs, sets, percent)
     x, y = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(
         F.col("cid").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -289,12 +317,40 @@ def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, that join the same classes: each task's own groups as stars around their smallest class."""
+
+    def task(batches):
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in range(2)], names=["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high = sorted((root(u), root(v)))
+                parent[high] = low
+            if len(parent) >= FOREST:
+                yield stars()
+                parent.clear()
+        yield stars()
+
+    return edges.select("u", "v").mapInArrow(task, "u binary, v binary")
+
+
 def groups(links: DataFrame, folder: str) -> DataFrame:
     """(cid, label): every class with a link and the smallest class of its group."""
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/edges")
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = staged(contract(links), f"{folder}/edges")
     before = state(edges)
     for step in itertools.count():
         # large star: the larger neighbours of u go to its smallest
@@ -305,7 +361,7 @@ def groups(links: DataFrame, folder: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small, f"{folder}/star-{step}")
+        edges = staged(contract(small), f"{folder}/star-{step}")
         now = state(edges)
         if now == before:  # stars stay as they are
             break

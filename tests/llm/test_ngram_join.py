@@ -141,3 +141,41 @@ def test_overlap_and_subsets():
             ka = {x[:2] for x in nj.subsets(np.sort(a), percent, most) if x[2] == len(b)}
             kb = {x[:2] for x in nj.subsets(np.sort(b), percent, most) if x[2] == len(a)}
             assert bool(ka & kb) == linked
+
+
+def test_sketches_rule_out_no_link(spark):
+    """Whatever their sizes, linked sets pass; sets with nothing in common do not, unless they are too large to tell."""
+    rng = np.random.default_rng(3)
+    rows, pairs, links = [], [], set()
+    for i, n in enumerate([1, 2, 7, 40, 300, 1000, 6000] * 3):
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[rng.integers(0, 1 + n // 15):], rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 15), np.uint64)])
+        other = rng.integers(0, 1 << 63, n, np.uint64)
+        for kind, x in (("a", a), ("b", b), ("c", other)):
+            words = {f"s{k}": int(w) for k, w in enumerate(nj.sketch(x))}
+            rows.append({"cid": f"{kind}{i}".encode(), "n": len(x), **words})
+        pairs += [(f"a{i}".encode(), f"b{i}".encode()), (f"a{i}".encode(), f"c{i}".encode())]
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 90 * (len(a) + len(b) - common):
+            links.add((f"a{i}", f"b{i}"))
+    words = ", ".join(f"s{k} bigint" for k in range(nj.SKETCH))
+    sets = spark.createDataFrame(rows, f"cid binary, n int, {words}")
+    left = {(bytes(r.a).decode(), bytes(r.b).decode()) for r in nj.near(
+        spark.createDataFrame(pairs, "a binary, b binary"), sets, 90).collect()}
+    assert links <= left and len(links) > 10
+    assert {b for _, b in left if b[0] == "c"} <= {f"c{i}" for i in range(21) if i % 7 == 6}
+
+
+@pytest.mark.parametrize("forest", [2, 10**6])
+def test_contracted_links_join_the_same_classes(spark, monkeypatch, tmp_path, forest):
+    monkeypatch.setattr(nj, "FOREST", forest)
+    rng = random.Random(forest)
+    name = lambda i: f"{i:03d}".encode()
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(100, 160)]
+    least = list(range(200))
+    for _ in range(200):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    links = spark.createDataFrame([(name(a), name(b)) for a, b in pairs if a != b], "a binary, b binary").repartition(5)
+    got = {int(bytes(r.cid)): int(bytes(r.label)) for r in nj.groups(links, f"{tmp_path}/g").collect()}
+    assert got == {i: least[i] for p in pairs if p[0] != p[1] for i in p}
