@@ -15,8 +15,9 @@ item is found where the windows that count, of all alignments together, cover ``
 left out word costs no more than the windows around it.
 
 The benchmark side is broadcast only if its windows measure at most ``BROADCAST_ROWS``, a bound on its bytes; beyond it the
-same join shuffles. A bitmap of 2^19 bits of the benchmark's template windows goes in front of the join, so only windows that
-may match become rows; the document side is never held whole.
+same join shuffles. Two bitmaps of 2^19 bits go in front of the join, of the benchmark's template windows and of the ``HEAD``
+words they begin with: a window is hashed only where its first template words begin one of the benchmark's, in either
+reading, and becomes a row only if its own bit is set. The document side is never held whole.
 
 Defined cases: null and empty texts hold nothing. Empty items are never found. Rows with equal doc_id and equal text are
 one document; a null doc_id is an id like any other. Other columns are untouched. An empty benchmark finds nothing.
@@ -24,6 +25,9 @@ one document; a null doc_id is an id like any other. Other columns are untouched
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ from formline.llm.common import fresh
 WINDOW = 8
 LITERALS = 4
 WIDE = 2  # windows' length
+HEAD = 3  # words that let a window be hashed at all
 OPEN = "<name?>"
 COVER = 0.3
 BROADCAST_ROWS = 1_000_000  # hash, item, position and slots: at most about 100 MB
@@ -57,35 +62,44 @@ def templates(text: Column) -> Column:
     """Array of (t, s, n): template word, slot (the bare word for a placeholder, else null), and the bare word where it is
     capitalised at the start of a sentence, so that it may be a name."""
     # most words are plain: one pattern decides, and the bare word is the word itself
-    words = F.transform(words_of(text), lambda w: F.struct(w.alias("w"), F.when(w.rlike(PLAIN), w).otherwise(
-        F.regexp_replace(w, EDGE, "")).alias("b")))
+    words = F.transform(words_of(text), lambda w: F.transform(F.array(w.rlike(PLAIN)), lambda p: F.struct(
+        w.alias("w"), F.when(p, w).otherwise(F.regexp_replace(w, EDGE, "")).alias("b"), p.alias("plain")))[0])
+    nothing = F.lit(None).cast("string")
 
     def one(all_words: Column, x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(all_words, i - 1))
         unit = F.lower(x["b"]).isin(*UNITS) & F.coalesce(before["b"].rlike(NUMBER), F.lit(False))
         upper = x["b"].rlike(r"^\p{Lu}[\p{Ll}'’-]+$")
         inside = F.coalesce(~before["w"].rlike(r"[.!?:;\"”»|]$"), F.lit(False))
-        plain = (x["b"] == x["w"]) & x["w"].rlike(PLAIN)
-        kind = F.when(unit, "<unit>").when(plain, F.lit(None)).when(x["b"].rlike(NUMBER), "<num>").when(
+        kind = F.when(unit, "<unit>").when(x["plain"], F.lit(None)).when(x["b"].rlike(NUMBER), "<num>").when(
             upper, F.when(inside, "<name>").otherwise(OPEN))
-        return F.transform(F.array(kind), lambda k: F.struct(
+        full = F.transform(F.array(kind), lambda k: F.struct(
             F.when(k != OPEN, k).otherwise(F.when(x["b"] == "", x["w"]).otherwise(F.lower(x["b"]))).alias("t"),
             F.when(k != OPEN, x["b"]).alias("s"), F.when(k == OPEN, x["b"]).alias("n")))[0]
+        return F.when(x["plain"] & ~x["w"].isin(*UNITS), F.struct(
+            x["w"].alias("t"), nothing.alias("s"), nothing.alias("n"))).otherwise(full)
 
     # bound once by the outer lambda, so no step computes the words again
     return F.flatten(F.transform(F.array(words), lambda ws: F.transform(ws, lambda x, i: one(ws, x, i))))
 
 
-def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: Column | None = None, window: int = WINDOW) -> Column:
-    """Array of (h, at, slots, key, size) of each window of each size; slots are (offset, value).
+def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: Column | None = None, window: int = WINDOW,
+            longest: int = WIDE * WINDOW, head: int = 1) -> Column:
+    """Array of (h, at, slots, key, size, head) of each window of each size; slots are (offset, value).
 
-    ``key`` hashes the template words alone. With ``bits`` only windows whose key is in that bitmap are spelled out.
+    ``key`` hashes the template words alone, ``head`` the first ``head`` of them. With ``bits`` (bitmaps of both) only windows whose
+    head and key are in them are spelled out.
     Windows that hold an open word come twice, the second time with all their open words as names. ``wides`` are the sizes
-    to read around windows of ``window`` words with too few literal words, where the longer one has enough."""
+    to read around windows of ``window`` words with too few literal words, where the longer one has enough; no size is above
+    ``longest``."""
 
     def key(keys: Column, size, i: Column) -> Column:
         return F.xxhash64(size, F.slice(keys, i, size))
 
+    def is_set(words: Column, of: Column) -> Column:
+        word, bit = of.bitwiseAND(WORDS - 1).cast("int"), F.shiftright(of, WORD_BITS).bitwiseAND(63).cast("int")
+        return F.call_function("shiftright", F.get(words, word), bit).bitwiseAND(1) == 1
+
     def spelled(ts: Column, keys: Column, set_bits: Column | None, size: Column, places: Column) -> Column:
         def one(i: Column) -> Column:
             slots = F.filter(F.transform(F.slice(ts, i, size), lambda x, k: F.struct(k.alias("o"), x["s"].alias("v"))),
@@ -93,14 +107,16 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
             return F.transform(F.array(slots), lambda z: F.struct(
                 F.when(size - F.size(z) < F.least(F.lit(LITERALS), size), F.xxhash64(key(keys, size, i), z)).otherwise(
                     key(keys, size, i)).alias("h"),
-                (i - 1).alias("at"), z.alias("slots"), key(keys, size, i).alias("key"), size.alias("size")))[0]
+                (i - 1).alias("at"), z.alias("slots"), key(keys, size, i).alias("key"), size.alias("size"),
+                F.xxhash64(*[F.get(keys, i - 1 + k) for k in range(head)]).alias("head")))[0]
 
         if set_bits is not None:
-            places = F.filter(places, lambda i: F.transform(F.array(slot_of(key(keys, size, i))), lambda at: (
-                F.call_function("shiftright", F.get(set_bits, at.bitwiseAND(WORDS - 1)), F.shiftright(at, WORD_BITS)).bitwiseAND(1) == 1))[0])
+            places = F.filter(places, lambda i: F.transform(
+                F.array(key(keys, size, i)), lambda h: is_set(set_bits["keys"], h))[0])
         return F.when(F.size(ts) >= size, F.transform(places, one))
 
-    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint, size: int>>)")
+    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint, size: int, head: bigint>>)")
+    nowhere = F.expr("cast(array() as array<int>)")
 
     def positions(ts: Column, field: str) -> Column:
         return F.filter(F.transform(ts, lambda x, i: F.when(x[field].isNotNull(), i + 1)), lambda i: i.isNotNull())
@@ -117,29 +133,70 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
             F.transform(F.slice(q, 1, F.greatest(F.size(q) - gap, F.lit(0))), lambda lo, j: F.struct(lo.alias("lo"), F.get(q, j + gap).alias("hi"))),
             lambda r: r["hi"] - r["lo"] < window)))
 
-    def reading(ts: Column, set_bits: Column | None, opened: Column | None) -> Column:
-        def all_sizes(keys: Column) -> Column:
-            parts = []
-            for n in sizes:
-                size = F.lit(n)
-                places = F.sequence(F.lit(1), F.size(ts) - n + 1) if opened is None else around(ts, size, opened)
-                parts.append(F.coalesce(spelled(ts, keys, set_bits, size, places), none))
-            if wides is not None:
+    def may_begin(ts: Column, keys: Column, set_bits: Column) -> Column:
+        """Places whose first words begin a window of the benchmark's, in either reading."""
+        name = F.xxhash64(F.lit("<name>"))
+
+        def hit(parts: list[Column]) -> Column:
+            return F.transform(F.array(F.xxhash64(*parts)), lambda h: (
+                is_set(set_bits["heads"], h) & is_set(set_bits["heads"], F.shiftright(h, 32))))[0]
+
+        def may(i: Column) -> Column:
+            words = [i - 1 + k for k in range(head)]
+            opened = functools.reduce(operator.or_, [F.get(ts, j)["n"].isNotNull() for j in words])
+            return hit([F.get(keys, j) for j in words]) | opened & hit(
+                [F.when(F.get(ts, j)["n"].isNotNull(), name).otherwise(F.get(keys, j)) for j in words])
+
+        return F.filter(F.sequence(F.lit(1), F.size(ts) - head + 1), may)
+
+    def begins(ts: Column, size: Column, live: Column | None, ranges: Column | None, holds) -> Column:
+        """Begins of windows: of all, or those around ``ranges``; of the ``live`` ones those that ``holds``."""
+        if live is not None:
+            return F.filter(live, lambda i: holds(F.slice(ts, i, size))) if holds else live
+        return F.sequence(F.lit(1), F.size(ts) - size + 1) if ranges is None else around(ts, size, ranges)
+
+    def reading(ts: Column, keys: Column, set_bits: Column | None, opened: Column | None, live: Column | None) -> Column:
+        parts = []
+        for n in sizes:
+            holds = None if opened is None else lambda part: F.exists(part, lambda x: x["o"])
+            parts.append(F.coalesce(spelled(ts, keys, set_bits, F.lit(n), begins(ts, F.lit(n), live, opened, holds)), none))
+        if wides is not None:
+            def wide(size: Column, runs: Column | None) -> Column:
+                places = begins(ts, size, live, runs, lambda part: F.size(dense(part)) > 0)
+                return F.coalesce(spelled(ts, keys, set_bits, size, F.filter(places, lambda i: (
+                    F.size(F.filter(F.slice(ts, i, size), lambda x: x["s"].isNull())) >= LITERALS))), none)
+
+            if live is None:
                 parts.append(F.flatten(F.flatten(F.transform(F.array(dense(ts)), lambda runs: F.transform(
-                    F.when(F.size(runs) > 0, wides).otherwise(F.expr("cast(array() as array<int>)")),
-                    lambda size: F.coalesce(spelled(ts, keys, set_bits, size, F.filter(around(ts, size, runs), lambda i: (
-                        F.size(F.filter(F.slice(ts, i, size), lambda x: x["s"].isNull())) >= LITERALS))), none))))))
-            return F.flatten(F.array(*parts))
-
-        return F.flatten(F.transform(F.array(F.transform(ts, lambda x: F.xxhash64(x["t"]))), all_sizes))
-
-    def each(ts: Column, set_bits: Column | None) -> Column:
-        named = F.transform(ts, lambda x: F.struct(F.when(x["n"].isNotNull(), "<name>").otherwise(x["t"]).alias("t"),
-                                                   F.coalesce(x["n"], x["s"]).alias("s")))
+                    F.when(F.size(runs) > 0, wides).otherwise(nowhere), lambda size: wide(size, runs))))))
+            else:
+                parts.append(F.flatten(F.transform(wides, lambda size: wide(size, None))))
+        return F.flatten(F.array(*parts))
+
+    def both(ts: Column, keys: Column, set_bits: Column | None, live: Column | None) -> Column:
+        named = F.transform(ts, lambda x: F.struct(
+            F.coalesce(x["n"], x["s"]).alias("s"), x["n"].isNotNull().alias("o"),
+            F.when(x["n"].isNotNull(), "<name>").otherwise(x["t"]).alias("t")))
         opened = F.transform(positions(ts, "n"), lambda i: F.struct(i.alias("lo"), i.alias("hi")))
         second = F.flatten(F.transform(F.array(named), lambda us: F.flatten(F.transform(
-            F.array(opened), lambda o: F.when(F.size(o) > 0, reading(us, set_bits, o)).otherwise(none)))))
-        return F.concat(reading(ts, set_bits, None), second)
+            F.array(F.transform(us, lambda x: F.xxhash64(x["t"]))), lambda ks: F.flatten(F.transform(
+                F.array(opened), lambda o: F.when(F.size(o) > 0, reading(us, ks, set_bits, o, live)).otherwise(none)))))))
+        return F.concat(reading(ts, keys, set_bits, None, live), second)
+
+    def each(ts: Column, set_bits: Column | None) -> Column:
+        def begun(keys: Column) -> Column:
+            if set_bits is None:
+                return both(ts, keys, None, None)
+
+            def there(i: Column) -> Column:
+                """The windows that begin at i, from a stretch as long as the longest."""
+                found = both(F.slice(ts, i, longest), F.slice(keys, i, longest), set_bits, F.array(F.lit(1)))
+                return F.transform(found, lambda x: F.struct(
+                    x["h"].alias("h"), (x["at"] + i - 1).alias("at"), *[x[c].alias(c) for c in ("slots", "key", "size", "head")]))
+
+            return F.when(F.size(ts) >= head, F.flatten(F.transform(may_begin(ts, keys, set_bits), there)))
+
+        return F.flatten(F.transform(F.array(F.transform(ts, lambda x: F.xxhash64(x["t"]))), begun))
 
     bound = F.array(templates(text))
     if bits is None:
@@ -168,30 +225,32 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     sized = benchmark.select("item_id", "text", F.size(words_of(F.col("text"))).alias("n")).where("n > 0").distinct()
     sizes = sorted(r[0] for r in sized.select(F.least("n", F.lit(window))).distinct().collect())
     longer = sorted(r[0] for r in sized.where(F.col("n") > window).select(F.least("n", F.lit(WIDE * window))).distinct().collect())
-    found = None
+    found, head = None, min([HEAD, *sizes])
     for size in sizes:
         some = sized.where(F.col("n") == size if size < window else F.col("n") >= window)
         wides = F.when(F.col("n") > window, F.array(F.least("n", F.lit(WIDE * window)))).otherwise(F.expr("cast(array() as array<int>)"))
         one = some.select("item_id", (F.col("n") - size + 1).alias("n_windows"), F.explode(
-            windows(F.col("text"), [size], wides=wides if size == window else None, window=window)).alias("w"))
+            windows(F.col("text"), [size], wides=wides if size == window else None, window=window, head=head)).alias("w"))
         found = one if found is None else found.union(one)
     if found is None:
         found = sized.select("item_id", F.col("n").alias("n_windows"), F.explode(windows(F.col("text"), [1])).alias("w"))
     return found.select("item_id", "n_windows", F.col("w.h").alias("h"), F.col("w.at").alias("item_at"),
-                        F.col("w.slots").alias("item_slots"), F.col("w.key").alias("key")), sizes, longer
+                        F.col("w.slots").alias("item_slots"), F.col("w.key").alias("key"), F.col("w.head").alias("head")), sizes, longer
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, item_id, shift and windows that match at that alignment, with slots (position, item value, document value)."""
     items, sizes, longer = benchmark_windows(benchmark, window)
-    bits = bitmap(docs.sparkSession, items.select("key"))
-    items = items.drop("key")
+    # a head has two bits
+    heads = items.select(F.explode(F.array("head", F.shiftright("head", 32))).alias("key"))
+    bits = F.struct(*[bitmap(docs.sparkSession, x).alias(n) for x, n in ((items.select("key"), "keys"), (heads, "heads"))])
+    items = items.drop("key", "head")
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     value = docs.select("doc_id", F.col(f"`{text}`").alias("text"), bits.alias("bits"))
     wides = F.array(*[F.lit(n) for n in longer]) if longer else None
     rows = value.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(
-        windows(F.col("text"), sizes or [1], F.col("bits"), wides, window)).alias("w")
+        windows(F.col("text"), sizes or [1], F.col("bits"), wides, window, max([1, *sizes, *longer]), min([HEAD, *sizes]))).alias("w")
     ).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"), F.col("w.size").alias("size"))
     hits = rows.join(items, "h").select(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"),
