@@ -9,7 +9,8 @@ behind the first pass works on classes, so exact copies cost nothing more.
   overlap they need. Each small set lists those subsets for every partner size; whoever lists the same one is linked,
   without a check and without pairs: each class links to the smallest class of the other size.
 * Large sets scan inverted lists. Shingles are put in one global order, rare ones first; linked sets share one of their
-  first n - ceil(percent n) + 1, and enough shingles must be left behind the first one they share. Lists of one class are dropped. Short lists give their pairs. Long lists (groups of near
+  first n - ceil(percent n) + 1, and enough shingles must be left behind the first one they share. Postings without a second
+  class of a size that fits are dropped. Short lists give their pairs. Long lists (groups of near
   copies, shared passages) test all members against one hub, the member whose rarest shingle is most common; what lies in
   one group afterwards needs no more tests. The next turn takes four hubs a list, then sixteen, so turns are few. A list
   ends when all its members are in one group; as soon as the pairs between different groups are few, they are all tested.
@@ -56,7 +57,8 @@ FEW = 16  # pairs between groups, for each posting, that are tested at once
 MORE = 4  # a turn has so many times the hubs of the turn before
 FOREST = 500_000  # classes a task contracts at once
 SKETCH = 16  # words of 64 bits of a sketch
-FLUSH = 4_000_000  # shingles held before their remainders are passed on
+PART = 50_000  # rows a task hands over at once; of sets, eight times as many shingles
+FLUSH = 2_000_000  # shingles held before their remainders are passed on
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -150,8 +152,8 @@ def first_pass(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             n, cids = [], []
-            for value in batch.column(2).to_pylist():
-                tokens = shingles(value, k)
+            for value in batch.column(2):
+                tokens = shingles(value.as_py(), k)
                 held.append(tokens)
                 size += len(tokens)
                 n.append(len(tokens))
@@ -204,10 +206,19 @@ def second_pass(docs: DataFrame, text: str, k: int, percent: int, bits: int, tab
 
     def task(batches):
         classes, seen = table.value, set()
+
+        def part(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+
         for batch in batches:
             out = []
-            for value in batch.column(0).to_pylist():
-                tokens = shingles(value, k)
+            for value in batch.column(0):
+                if len(out) >= PART:
+                    yield part(out)
+                    out = []
+                tokens = shingles(value.as_py(), k)
                 n = len(tokens)
                 if not n or (cid := class_name(tokens)) in seen:
                     continue
@@ -221,9 +232,7 @@ def second_pass(docs: DataFrame, text: str, k: int, percent: int, bits: int, tab
                     often = np.flatnonzero(freq[first] > 0)
                     here = tokens[first[often]].view(np.int64).tolist()
                     out += [(t, p, cid, n, None, rare) for t, p in zip(here, often.tolist(), strict=True)]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+            yield part(out)
 
     return docs.select(f"`{text}`").mapInArrow(task, "k1 bigint, k2 bigint, cid binary, n int, partner int, rare int")
 
@@ -240,20 +249,28 @@ def third_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
 
     def task(batches):
         bits, seen = wanted.value, set()
+
+        def part(out: list[tuple]) -> pa.RecordBatch:
+            bits_of = np.array([x[2] for x in out], np.int64).reshape(len(out), SKETCH)
+            return pa.RecordBatch.from_arrays([
+                pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int32()),
+                pa.array([x[1] for x in out], pa.list_(pa.int64())),
+                *[pa.array(np.ascontiguousarray(bits_of[:, i])) for i in range(SKETCH)]], names=["cid", "n", "tokens", *words])
+
         for batch in batches:
-            out = []
-            for value in batch.column(0).to_pylist():
-                tokens = shingles(value, k)
+            out, size = [], 0
+            for value in batch.column(0):
+                if size >= 8 * PART:
+                    yield part(out)
+                    out, size = [], 0
+                tokens = shingles(value.as_py(), k)
                 cid = class_name(tokens)
                 at = int.from_bytes(cid[:4], "big") & (1 << MAP_BITS) - 1
                 if int(bits[at >> 6]) >> (at & 63) & 1 and cid not in seen:
                     seen.add(cid)
                     out.append((cid, tokens.view(np.int64), sketch(tokens)))
-            bits_of = np.array([x[2] for x in out], np.int64).reshape(len(out), SKETCH)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int32()),
-                pa.array([x[1] for x in out], pa.list_(pa.int64())),
-                *[pa.array(np.ascontiguousarray(bits_of[:, i])) for i in range(SKETCH)]], names=["cid", "n", "tokens", *words])
+                    size += len(tokens)
+            yield part(out)
 
     return docs.select(f"`{text}`").mapInArrow(
         task, "cid binary, n int, tokens array<bigint>, " + ", ".join(f"{w} bigint" for w in words))
@@ -373,8 +390,12 @@ def groups(links: DataFrame, folder: str) -> DataFrame:
 def list_groups(postings: DataFrame, known: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
     """(cid, label) of the groups that ``known`` links and those found by lists make."""
     most, posting = boundary(percent), ["k1", "k2", "cid", "n", "rare"]
-    ends = postings.groupBy("k1").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("k1")
-    lists = staged(postings.join(ends, "k1", "left_semi").select(*posting).distinct(), f"{folder}/lists")
+    # sizes that can link lie in one band or in neighbours; a posting stays if its band and a neighbour hold another class
+    # (the bands are a little wider than the sizes need, so that rounding parts none)
+    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n")
+    banded = postings.withColumn("band", F.explode(F.array(band, band + 1)))
+    ends = banded.groupBy("k1", "band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("k1", "band")
+    lists = staged(banded.join(ends, ["k1", "band"], "left_semi").select(*posting).distinct(), f"{folder}/lists")
     sets = staged(sets_of(lists.select("cid")), f"{folder}/sets")
     short = lists.groupBy("k1").count().where(f"count <= {SHORT}").select("k1")
 
