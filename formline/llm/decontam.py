@@ -134,7 +134,7 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
             lambda r: r["hi"] - r["lo"] < window)))
 
     def may_begin(ts: Column, keys: Column, set_bits: Column) -> Column:
-        """Places whose first words begin a window of the benchmark's, in either reading."""
+        """Places (from 0) whose first words begin a window of the benchmark's, in either reading."""
         name = F.xxhash64(F.lit("<name>"))
 
         def hit(parts: list[Column]) -> Column:
@@ -142,12 +142,12 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
                 is_set(set_bits["heads"], h) & is_set(set_bits["heads"], F.shiftright(h, 32))))[0]
 
         def may(i: Column) -> Column:
-            words = [i - 1 + k for k in range(head)]
+            words = [i + k if k else i for k in range(head)]
             opened = functools.reduce(operator.or_, [F.get(ts, j)["n"].isNotNull() for j in words])
             return hit([F.get(keys, j) for j in words]) | opened & hit(
                 [F.when(F.get(ts, j)["n"].isNotNull(), name).otherwise(F.get(keys, j)) for j in words])
 
-        return F.filter(F.sequence(F.lit(1), F.size(ts) - head + 1), may)
+        return F.filter(F.sequence(F.lit(0), F.size(ts) - head), may)
 
     def begins(ts: Column, size: Column, live: Column | None, ranges: Column | None, holds) -> Column:
         """Begins of windows: of all, or those around ``ranges``; of the ``live`` ones those that ``holds``."""
@@ -190,9 +190,9 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
 
             def there(i: Column) -> Column:
                 """The windows that begin at i, from a stretch as long as the longest."""
-                found = both(F.slice(ts, i, longest), F.slice(keys, i, longest), set_bits, F.array(F.lit(1)))
+                found = both(F.slice(ts, i + 1, longest), F.slice(keys, i + 1, longest), set_bits, F.array(F.lit(1)))
                 return F.transform(found, lambda x: F.struct(
-                    x["h"].alias("h"), (x["at"] + i - 1).alias("at"), *[x[c].alias(c) for c in ("slots", "key", "size", "head")]))
+                    x["h"].alias("h"), (x["at"] + i).alias("at"), *[x[c].alias(c) for c in ("slots", "key", "size", "head")]))
 
             return F.when(F.size(ts) >= head, F.flatten(F.transform(may_begin(ts, keys, set_bits), there)))
 
