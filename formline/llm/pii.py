@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds anchors in whole texts: at-signs, plus signs, digits, URL schemes and identifier cues.
 Around each anchor a small deterministic parser expands to the left and right and validates what it finds. Digits are
-joined into runs first, so a number is parsed once, however long it is. Work and memory are proportional to one text.
+joined into runs first, so a number is parsed once, however long it is. Cues count in either case of A-Z. Memory is
+proportional to one text; whether an added span is free is looked up in sorted spans.
 
 Base kinds, each leftmost and without overlaps, failing candidates dropped without a second try:
 ``email`` (local part, at-sign, at least two labels), ``ip`` (four numbers up to 255), ``card`` (13 to 19 digits with
@@ -16,6 +17,7 @@ give equal results; other columns stay, and columns of a result's name are repla
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
@@ -37,6 +39,7 @@ LOCAL = frozenset(LETTERS + "0123456789._%+-")
 LABEL = frozenset(LETTERS + "0123456789-")
 IN_PHONE = frozenset(" ().0123456789-")
 DIGITS = frozenset("0123456789")
+FOLD = {ord(c): c.lower() for c in LETTERS[:26]}
 UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 NUMBER = re.compile(r"\W{0,3}(?:(?:no|nr|number|num|id)\b\W{0,3})?([0-9](?:[ -]?[0-9]){5,})", re.I)
 
@@ -44,17 +47,13 @@ NUMBER = re.compile(r"\W{0,3}(?:(?:no|nr|number|num|id)\b\W{0,3})?([0-9](?:[ -]?
 @functools.cache
 def automaton():
     found = ahocorasick.Automaton()
-    for kind, words in (("@", ["@"]), ("+", ["+"]), ("0", sorted(DIGITS)), ("://", ["://"]), ("cue", cue_forms())):
+    for kind, words in (("@", ["@"]), ("+", ["+"]), ("0", sorted(DIGITS)), ("://", ["://"]), ("cue", CUES)):
         for word in words:
             found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
-def cue_forms() -> list[str]:
-    return sorted({f for c in CUES for f in (c, c.upper(), c.capitalize())})
-
-
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -172,7 +171,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     digits: list[int] = []
     schemes, cues = [], []
     done = 0
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(text.translate(FOLD)):
         if kind == "0":
             digits.append(last)
         elif kind == "@":
@@ -190,12 +189,24 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             cues.append((last + 1 - size, last + 1))
     runs = digit_runs(digits)
     found["ip"], found["card"] = ips(text, runs), cards(text, runs)
-    taken = sorted(s for k in BASE for s in found[k])
+    begins: list[int] = []  # of the stretches that base and added spans cover, in order and apart
+    ends: list[int] = []
+    for b, e in sorted(s for k in BASE for s in found[k]):
+        if ends and b < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(b)
+            ends.append(e)
 
     def add(kind: str, span: tuple[int, int] | None) -> None:
-        if span and not any(b < span[1] and span[0] < e for b, e in taken):
-            found[kind].append(span)
-            taken.append(span)
+        if not span:
+            return
+        at = bisect.bisect_left(begins, span[1])
+        if at and ends[at - 1] > span[0]:
+            return
+        found[kind].append(span)
+        begins.insert(at, span[0])
+        ends.insert(at, span[1])
 
     for b, e in runs:
         if e - b >= 2:
