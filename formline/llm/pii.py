@@ -2,7 +2,7 @@
 
 An Aho-Corasick automaton finds anchors in whole texts: at-signs, plus signs, digits, URL schemes and identifier cues.
 Around each anchor a small deterministic parser expands to the left and right and validates what it finds. Digits are
-joined into runs first, so a number is parsed once, however long it is. Cues count in either case of A-Z. Memory is
+joined into runs first, so a number is parsed once, however long it is. Cues count in either case. Memory is
 proportional to one text; whether an added span is free is looked up in sorted spans.
 
 Base kinds, each leftmost and without overlaps, failing candidates dropped without a second try:
@@ -170,8 +170,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     digits: list[int] = []
     schemes, cues = [], []
+    folded = text.lower()
+    if len(folded) != len(text):  # a letter whose small form is longer would shift positions
+        folded = text.translate(FOLD)
     done = 0
-    for last, (kind, size) in automaton().iter(text.translate(FOLD)):
+    for last, (kind, size) in automaton().iter(folded):
         if kind == "0":
             digits.append(last)
         elif kind == "@":

@@ -88,3 +88,8 @@ def test_many_accounts_in_one_text():
     kinds = [k for k, _, _ in pii.spans_of(text)]
     assert kinds.count("account") == kinds.count("email") == 100_000
     assert time.perf_counter() - start < 60
+
+
+def test_letters_that_grow_in_lower_case_shift_nothing():
+    text = "İİİ SSN 123456789 a@b.example"
+    assert pii.spans_of(text) == [("email", 18, 29), ("account", 8, 17)]
