@@ -169,3 +169,31 @@ def test_numbers_of_all_types_are_filled_and_absent_features_raise(spark):
     with pytest.raises(ValueError, match="zz"):
         C.feature_select(df, ["a", "zz"])
     assert C.column_plan(["x", "p2", "a", "x", "p1", "gone", "b"], ["b", "a"], {"gone"}, ["p1", "p"]) == [6, 2, 4, 1, 0]
+
+
+@pytest.mark.parametrize("how", ["players", "time"])
+def test_folds_of_large_rows_are_held_narrow_and_from_files(spark, how, monkeypatch):
+    """Every task over held rows reports the counters of the whole plan below them, so that plan must end at a scan."""
+    from formline.operators.ordered import is_scan
+
+    df = spark.range(600).selectExpr("id", "int(id % 20) who", "double(id % 10) f", "int(id % 10 >= 5) y", "'long text' other")
+    p, seen, kept = M.TreeParams(max_iter=2, max_depth=2, step=0.3), [], M.kept
+
+    def spy(rows):
+        seen.append(rows)
+        return kept(rows)
+
+    def run():
+        if how == "players":
+            return M.player_holdout_cv(df, P.group_holdout(df, "who", 2), "who", ["f"], "y", 2, p).first()
+        return M.time_cv(P.timeseries_folds(df, ["id"], 2), ["f"], "y", 2, p).first()
+
+    small = run()
+    monkeypatch.setattr(M, "kept", spy)
+    spark.conf.set("spark.formline.smallInputBytes", "0")
+    try:
+        large = run()
+    finally:
+        spark.conf.unset("spark.formline.smallInputBytes")
+    assert is_scan(seen[0]) and "other" not in seen[0].columns
+    assert large == small
