@@ -11,6 +11,8 @@ from bindings.scans import RAW_SQL, raw_lines
 from formline.operators import select as T
 from formline.operators import slips
 from formline.operators import splits as P
+from formline.operators.ordered import is_small
+from formline.session import run_dir, staged
 
 
 @query("dedup_best", """SELECT entity_id, prop, game_id, odds FROM q_prop
@@ -154,7 +156,8 @@ def smart_score(spark, sf):
 @query("smart_filter", greedy_sql(BEST_SQL, "quality DESC, size DESC, line, entity_id, game_id, prop", 2, 8, 25)
        + " SELECT slate, entity_id, prop, game_id, quality FROM chosen")
 def smart_filter(spark, sf):
-    rows = T.smart_filter(_scored(spark, sf), ["slate"], "entity_id", "prop", "line", ["entity_id", "game_id", "prop"], 25)
+    scored = _scored(spark, sf).select("slate", "entity_id", "prop", "game_id", "line", "odds", "edge", "quality")
+    rows = T.smart_filter(scored, ["slate"], "entity_id", "prop", "line", ["entity_id", "game_id", "prop"], 25)
     return rows.select("slate", "entity_id", "prop", "game_id", "quality")
 
 
@@ -166,8 +169,11 @@ def top_confidence(spark, sf):
 @query("union_selected", """SELECT prop, game_id FROM q_prop
     QUALIFY row_number() OVER (PARTITION BY prop ORDER BY odds NULLS LAST, game_id) <= 12""")
 def union_selected(spark, sf):
-    """Each type selected by itself, all types united."""
-    picks = [topn_by_type(spark, sf).filter(F.col("prop") == p) for p in STATS]
+    """Each type selected by itself, all types united; the plan of the rows runs once."""
+    rows = prop_rows(spark, sf).select("prop", "odds", "game_id")
+    if not is_small(rows):
+        rows = staged(rows, run_dir(spark, "props"))
+    picks = [T.balanced_by_type(rows.filter(F.col("prop") == p), "prop", "odds", ["game_id"], 48).select("prop", "game_id") for p in STATS]
     return reduce(lambda a, b: a.unionByName(b), picks)
 
 
