@@ -79,11 +79,11 @@ def box(spark, sf) -> DataFrame:
     return rows.withColumn("opponent", team + 1 - 2 * (team % 2)).withColumn("season", S.season_of(F.col("game_date")))
 
 
-def featured(spark, sf) -> DataFrame:
-    """Box rows with rolling means and spreads, rest days and season means, one shuffle by entity."""
+def featured(spark, sf, players: DataFrame | None = None) -> DataFrame:
+    """Box rows (``players`` if given) with rolling means and spreads, rest days and season means, one shuffle by entity."""
     stats = {**STATS, "MIN": "minutes"}
     frames = [*features.mean_frames(stats, "season"), *features.std_frames(STATS), Frame("__prev", "lag", "game_date", 1)]
-    rows = rolling(box(spark, sf), ENTITY, ORDER, frames)
+    rows = rolling(box(spark, sf) if players is None else players, ENTITY, ORDER, frames)
     rest = F.coalesce(F.datediff("game_date", "__prev"), F.lit(7))
     return rows.withColumn("rest_days", rest).withColumn("is_b2b", (F.col("rest_days") == 1).cast("int")).drop("__prev")
 
@@ -92,7 +92,7 @@ LONG = ["entity_id", "game_id", "game_date", "season", "home", "team", "opponent
         "L5_Avg_MIN", "Season_Avg_MIN", "Season_Avg_PTS"]
 
 
-def prop_rows(spark, sf) -> DataFrame:
+def prop_rows(spark, sf, players: DataFrame | None = None) -> DataFrame:
     """One row per player, game and prop type with a line from the last ten games and its odds."""
     items = F.array(*[
         F.struct(
@@ -102,7 +102,7 @@ def prop_rows(spark, sf) -> DataFrame:
         )
         for p, c in STATS.items()
     ])
-    rows = featured(spark, sf).select(*LONG, F.explode(items).alias("i")).select(*LONG, "i.*")
+    rows = featured(spark, sf, players).select(*LONG, F.explode(items).alias("i")).select(*LONG, "i.*")
     odds = S.case_of(F.col("game_id") % 7, {0: -110, 1: -125, 2: 105, 3: 120, 4: -140, 6: 0}, F.lit(None).cast("int"))
     return rows.withColumn("line", F.floor(F.col("l10") * 2) / 2.0).withColumn("odds", odds).filter("line IS NOT NULL")
 

@@ -13,11 +13,12 @@ from bindings.selecting import boundary_sql
 from formline.functions import scalars as S
 from formline.operators import isotonic as I
 from formline.operators import splits
+from formline.operators.ordered import is_small
 from formline.plans import build as B
 from formline.plans import daily as D
 from formline.plans import models as M
 from formline.plans import search as Q
-from formline.session import run_dir
+from formline.session import run_dir, staged
 
 COLUMNS = B.Columns(stats=STATS)
 SHOW = ["L5_Avg_PTS", "L10_StdDev_REB", "Season_Avg_AST", "Form_3PM", "L5_Avg_PTS_SameVenue", "Season_Avg_PTS_SameVenue", "Player_TS_Pct"]
@@ -31,8 +32,11 @@ SHOW = ["L5_Avg_PTS", "L10_StdDev_REB", "Season_Avg_AST", "Form_3PM", "L5_Avg_PT
     FROM q_feat) f ON gid = game_id JOIN (SELECT game_id AS rid, avg({RATE_SQL['TS_Pct']}) OVER (PARTITION BY entity_id ORDER BY game_date, game_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS "Player_TS_Pct" FROM ({SHOTS_SQL})) r ON rid = game_id""")
 def build_dataset(spark, sf):
-    lines = prop_rows(spark, sf).select("entity_id", "game_id", "prop", "line", "odds")
-    rows = B.build_dataset(box(spark, sf), lines, COLUMNS, _rates(), stage=run_dir(spark, "features"))
+    players = box(spark, sf)
+    if not is_small(players):
+        players = staged(players, run_dir(spark, "players"))
+    lines = prop_rows(spark, sf, players).select("entity_id", "game_id", "prop", "line", "odds")
+    rows = B.build_dataset(players, lines, COLUMNS, _rates(), stage=run_dir(spark, "features"))
     return rows.select("game_id", "prop", "line", "outcome", "Player_Tier", "Reliability_Tag", "Player_Tier_encoded",
                        "Reliability_Tag_encoded", "rest_days", *r6(*SHOW))
 

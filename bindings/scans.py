@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from bindings.base import box, events, featured, labelled, prop_rows, query, r6, spread, table, tagged
 from formline.functions import scalars as S
 from formline.operators import profile as P
+from formline.operators.ordered import dealt
 from formline.session import run_dir
 from formline.sources import box as B
 from formline.sources import increments as I
@@ -97,7 +98,7 @@ def raw_lines(spark, sf):
     """Every order line as an offered line: book, market, side, point and price."""
     people = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     orders = table(spark, sf, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
-    rows = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = dealt(table(spark, sf, "lineitem"), ["l_orderkey"]).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     market = F.col("l_partkey") % 6
     return rows.select(
         F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"),
