@@ -15,9 +15,12 @@ item is found where the windows that count, of all alignments together, cover ``
 left out word costs no more than the windows around it.
 
 The benchmark side is broadcast only if its windows measure at most ``BROADCAST_ROWS``, a bound on its bytes; beyond it the
-same join shuffles. Two bitmaps of 2^19 bits go in front of the join, of the benchmark's template windows and of the ``HEAD``
-words they begin with: a window is hashed only where its first template words begin one of the benchmark's, in either
-reading, and becomes a row only if its own bit is set. The document side is never held whole.
+same join shuffles. Three bitmaps go in front of the join. One of 2^24 bits holds the ``HEAD`` words that windows of the benchmark begin
+with, ``CHUNK`` words at a time, in each form that a document may give them: every word of a document is a place, and a place
+stays if the words from there on are in it. Lower-case words are compared as such, of others only whether they have capitals.
+Only for such places templates are made, of as many words as a window holds. Two of 2^19 bits hold
+the first template words and the template windows: windows are read only at a place whose bit is set in either reading, and a
+window becomes a row only if its own is. The document side is never held whole.
 
 Defined cases: null and empty texts hold nothing. Empty items are never found. Rows with equal doc_id and equal text are
 one document; a null doc_id is an id like any other. Other columns are untouched. An empty benchmark finds nothing.
@@ -36,7 +39,7 @@ from formline.llm.common import fresh
 WINDOW = 8
 LITERALS = 4
 WIDE = 2  # windows' length
-HEAD = 3  # words that let a window be hashed at all
+HEAD, CHUNK = 8, 4  # words that let a window be read at all, looked up so many at a time
 OPEN = "<name?>"
 COVER = 0.3
 BROADCAST_ROWS = 1_000_000  # hash, item, position and slots: at most about 100 MB
@@ -49,20 +52,45 @@ NUMBER = r"^[$€£(+-]*[0-9][0-9.,:/]*(%|st|nd|rd|th)?$"
 PLAIN = r"^\p{Ll}+$"
 PAIR = ["doc_id", "text_hash", "item_id"]
 WORD_BITS = 13
-WORDS = 1 << WORD_BITS  # of 64 bits
+MASK_BITS = 18  # words of 64 bits, as a power of two
 EDGE = r"^[^\p{L}\p{N}$€£%+-]+|[^\p{L}\p{N}%]+$"
+BREAK = r"[\n\r\x{85}\x{2028}\x{2029}]"
+ANY, OTHER = 0, 1
+STEM = r"^[^\p{L}\p{N}$€£%+-]*(\p{Ll}+)[^\p{L}\p{N}%\n\r\x{85}\x{2028}\x{2029}]*\z"
 
 
 def words_of(text: Column) -> Column:
     """Array of words; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
-def templates(text: Column) -> Column:
-    """Array of (t, s, n): template word, slot (the bare word for a placeholder, else null), and the bare word where it is
+def codes(ws: Column) -> Column:
+    """For each word the hash of it in lower case without punctuation; ``OTHER`` where it has no capitals but more than such a word,
+    or may be a unit; else ``ANY``. What has a hash is a literal word in either reading."""
+    def one(plain: Column) -> Column:
+        return F.transform(plain, lambda c, i: F.when((c == "") & ((F.lower(F.get(ws, i)) != F.get(ws, i)) | F.get(ws, i).rlike(BREAK)), F.lit(ANY).cast("bigint")).when(
+            (c == "") | c.isin(*UNITS) & F.coalesce(F.when(i > 0, F.get(plain, i - 1) == ""), F.lit(True)), F.lit(OTHER).cast("bigint")).otherwise(F.xxhash64(c)))
+
+    return F.flatten(F.transform(F.array(F.transform(ws, lambda w: F.regexp_extract(w, STEM, 1))), one))
+
+
+def codes_of(t: Column) -> Column:
+    """Array of the codes that words of a template word may have."""
+    pure = t.rlike(r"^\p{Ll}+\z")
+    return F.array_compact(F.array(F.lit(ANY).cast("bigint"), F.when(~pure | t.isin(*UNITS), F.lit(OTHER).cast("bigint")), F.when(pure, F.xxhash64(t))))
+
+
+def is_set(words: Column, of: Column, bits: int = WORD_BITS) -> Column:
+    """Whether the key's bit is in a bitmap."""
+    word, bit = of.bitwiseAND((1 << bits) - 1).cast("int"), F.shiftright(of, bits).bitwiseAND(63).cast("int")
+    return F.call_function("shiftright", F.get(words, word), bit).bitwiseAND(1) == 1
+
+
+def templates(ws: Column) -> Column:
+    """For an array of words, array of (t, s, n): template word, slot (the bare word for a placeholder, else null), and the bare word where it is
     capitalised at the start of a sentence, so that it may be a name."""
     # most words are plain: one pattern decides, and the bare word is the word itself
-    words = F.transform(words_of(text), lambda w: F.transform(F.array(w.rlike(PLAIN)), lambda p: F.struct(
+    words = F.transform(ws, lambda w: F.transform(F.array(w.rlike(PLAIN)), lambda p: F.struct(
         w.alias("w"), F.when(p, w).otherwise(F.regexp_replace(w, EDGE, "")).alias("b"), p.alias("plain")))[0])
     nothing = F.lit(None).cast("string")
 
@@ -83,24 +111,35 @@ def templates(text: Column) -> Column:
     return F.flatten(F.transform(F.array(words), lambda ws: F.transform(ws, lambda x, i: one(ws, x, i))))
 
 
-def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: Column | None = None, window: int = WINDOW,
-            longest: int = WIDE * WINDOW, head: int = 1) -> Column:
+def heads(words: Column, head: int, skip: Column) -> Column:
+    """Array of one (literal, named): hash of the first ``head`` template words behind ``skip`` in both readings, the second one
+    null without an open word."""
+    def both(ts: Column) -> Column:
+        named = F.transform(ts, lambda x: F.when(x["n"].isNotNull(), "<name>").otherwise(x["t"]))
+        return F.struct(F.xxhash64(F.transform(ts, lambda x: x["t"])).alias("literal"),
+                        F.when(F.exists(ts, lambda x: x["n"].isNotNull()), F.xxhash64(named)).alias("named"))
+
+    return F.transform(F.array(behind(F.slice(words, 1, skip + head), skip)), both)
+
+
+def behind(words: Column, skip: Column) -> Column:
+    """Templates of the words behind ``skip`` ones, which only tell what the next one is."""
+    return F.slice(templates(words), skip + 1, F.size(words))
+
+
+def windows(words: Column, sizes: list[int], wides: Column | None = None, window: int = WINDOW, head: int = 1,
+            skip: Column | None = None) -> Column:
     """Array of (h, at, slots, key, size, head) of each window of each size; slots are (offset, value).
 
-    ``key`` hashes the template words alone, ``head`` the first ``head`` of them. With ``bits`` (bitmaps of both) only windows whose
-    head and key are in them are spelled out.
+    ``key`` hashes the template words alone, ``head`` are the first ``head`` of them. With ``skip`` only windows that
+    begin behind so many words are read.
     Windows that hold an open word come twice, the second time with all their open words as names. ``wides`` are the sizes
-    to read around windows of ``window`` words with too few literal words, where the longer one has enough; no size is above
-    ``longest``."""
+    to read around windows of ``window`` words with too few literal words, where the longer one has enough."""
 
     def key(keys: Column, size, i: Column) -> Column:
         return F.xxhash64(size, F.slice(keys, i, size))
 
-    def is_set(words: Column, of: Column) -> Column:
-        word, bit = of.bitwiseAND(WORDS - 1).cast("int"), F.shiftright(of, WORD_BITS).bitwiseAND(63).cast("int")
-        return F.call_function("shiftright", F.get(words, word), bit).bitwiseAND(1) == 1
-
-    def spelled(ts: Column, keys: Column, set_bits: Column | None, size: Column, places: Column) -> Column:
+    def spelled(ts: Column, keys: Column, size: Column, places: Column) -> Column:
         def one(i: Column) -> Column:
             slots = F.filter(F.transform(F.slice(ts, i, size), lambda x, k: F.struct(k.alias("o"), x["s"].alias("v"))),
                              lambda x: x["v"].isNotNull())
@@ -108,14 +147,11 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
                 F.when(size - F.size(z) < F.least(F.lit(LITERALS), size), F.xxhash64(key(keys, size, i), z)).otherwise(
                     key(keys, size, i)).alias("h"),
                 (i - 1).alias("at"), z.alias("slots"), key(keys, size, i).alias("key"), size.alias("size"),
-                F.xxhash64(*[F.get(keys, i - 1 + k) for k in range(head)]).alias("head")))[0]
+                F.transform(F.slice(ts, i, head), lambda x: x["t"]).alias("head")))[0]
 
-        if set_bits is not None:
-            places = F.filter(places, lambda i: F.transform(
-                F.array(key(keys, size, i)), lambda h: is_set(set_bits["keys"], h))[0])
         return F.when(F.size(ts) >= size, F.transform(places, one))
 
-    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint, size: int, head: bigint>>)")
+    none = F.expr("cast(array() as array<struct<h: bigint, at: int, slots: array<struct<o: int, v: string>>, key: bigint, size: int, head: array<string>>>)")
     nowhere = F.expr("cast(array() as array<int>)")
 
     def positions(ts: Column, field: str) -> Column:
@@ -133,37 +169,21 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
             F.transform(F.slice(q, 1, F.greatest(F.size(q) - gap, F.lit(0))), lambda lo, j: F.struct(lo.alias("lo"), F.get(q, j + gap).alias("hi"))),
             lambda r: r["hi"] - r["lo"] < window)))
 
-    def may_begin(ts: Column, keys: Column, set_bits: Column) -> Column:
-        """Places (from 0) whose first words begin a window of the benchmark's, in either reading."""
-        name = F.xxhash64(F.lit("<name>"))
-
-        def hit(parts: list[Column]) -> Column:
-            return F.transform(F.array(F.xxhash64(*parts)), lambda h: (
-                is_set(set_bits["heads"], h) & is_set(set_bits["heads"], F.shiftright(h, 32))))[0]
-
-        def may(i: Column) -> Column:
-            words = [i + k if k else i for k in range(head)]
-            opened = functools.reduce(operator.or_, [F.get(ts, j)["n"].isNotNull() for j in words])
-            return hit([F.get(keys, j) for j in words]) | opened & hit(
-                [F.when(F.get(ts, j)["n"].isNotNull(), name).otherwise(F.get(keys, j)) for j in words])
-
-        return F.filter(F.sequence(F.lit(0), F.size(ts) - head), may)
-
     def begins(ts: Column, size: Column, live: Column | None, ranges: Column | None, holds) -> Column:
         """Begins of windows: of all, or those around ``ranges``; of the ``live`` ones those that ``holds``."""
         if live is not None:
             return F.filter(live, lambda i: holds(F.slice(ts, i, size))) if holds else live
         return F.sequence(F.lit(1), F.size(ts) - size + 1) if ranges is None else around(ts, size, ranges)
 
-    def reading(ts: Column, keys: Column, set_bits: Column | None, opened: Column | None, live: Column | None) -> Column:
+    def reading(ts: Column, keys: Column, opened: Column | None, live: Column | None) -> Column:
         parts = []
         for n in sizes:
             holds = None if opened is None else lambda part: F.exists(part, lambda x: x["o"])
-            parts.append(F.coalesce(spelled(ts, keys, set_bits, F.lit(n), begins(ts, F.lit(n), live, opened, holds)), none))
+            parts.append(F.coalesce(spelled(ts, keys, F.lit(n), begins(ts, F.lit(n), live, opened, holds)), none))
         if wides is not None:
             def wide(size: Column, runs: Column | None) -> Column:
                 places = begins(ts, size, live, runs, lambda part: F.size(dense(part)) > 0)
-                return F.coalesce(spelled(ts, keys, set_bits, size, F.filter(places, lambda i: (
+                return F.coalesce(spelled(ts, keys, size, F.filter(places, lambda i: (
                     F.size(F.filter(F.slice(ts, i, size), lambda x: x["s"].isNull())) >= LITERALS))), none)
 
             if live is None:
@@ -173,48 +193,28 @@ def windows(text: Column, sizes: list[int], bits: Column | None = None, wides: C
                 parts.append(F.flatten(F.transform(wides, lambda size: wide(size, None))))
         return F.flatten(F.array(*parts))
 
-    def both(ts: Column, keys: Column, set_bits: Column | None, live: Column | None) -> Column:
+    def both(ts: Column, keys: Column, live: Column | None) -> Column:
         named = F.transform(ts, lambda x: F.struct(
             F.coalesce(x["n"], x["s"]).alias("s"), x["n"].isNotNull().alias("o"),
             F.when(x["n"].isNotNull(), "<name>").otherwise(x["t"]).alias("t")))
         opened = F.transform(positions(ts, "n"), lambda i: F.struct(i.alias("lo"), i.alias("hi")))
         second = F.flatten(F.transform(F.array(named), lambda us: F.flatten(F.transform(
             F.array(F.transform(us, lambda x: F.xxhash64(x["t"]))), lambda ks: F.flatten(F.transform(
-                F.array(opened), lambda o: F.when(F.size(o) > 0, reading(us, ks, set_bits, o, live)).otherwise(none)))))))
-        return F.concat(reading(ts, keys, set_bits, None, live), second)
-
-    def each(ts: Column, set_bits: Column | None) -> Column:
-        def begun(keys: Column) -> Column:
-            if set_bits is None:
-                return both(ts, keys, None, None)
-
-            def there(i: Column) -> Column:
-                """The windows that begin at i, from a stretch as long as the longest."""
-                found = both(F.slice(ts, i + 1, longest), F.slice(keys, i + 1, longest), set_bits, F.array(F.lit(1)))
-                return F.transform(found, lambda x: F.struct(
-                    x["h"].alias("h"), (x["at"] + i).alias("at"), *[x[c].alias(c) for c in ("slots", "key", "size", "head")]))
+                F.array(opened), lambda o: F.when(F.size(o) > 0, reading(us, ks, o, live)).otherwise(none)))))))
+        return F.concat(reading(ts, keys, None, live), second)
 
-            return F.when(F.size(ts) >= head, F.flatten(F.transform(may_begin(ts, keys, set_bits), there)))
+    live = None if skip is None else F.array(F.lit(1))
+    found = F.array(templates(words) if skip is None else behind(words, skip))
+    return F.flatten(F.transform(found, lambda ts: F.flatten(F.transform(
+        F.array(F.transform(ts, lambda x: F.xxhash64(x["t"]))), lambda keys: both(ts, keys, live)))))
 
-        return F.flatten(F.transform(F.array(F.transform(ts, lambda x: F.xxhash64(x["t"]))), begun))
 
-    bound = F.array(templates(text))
-    if bits is None:
-        return F.flatten(F.transform(bound, lambda ts: each(ts, None)))
-    return F.flatten(F.flatten(F.transform(bound, lambda ts: F.transform(F.array(bits), lambda b: each(ts, b)))))
-
-
-def slot_of(key: Column) -> Column:
-    """Place of a key in the bitmap: low bits name the word, the six above them the bit."""
-    return key.bitwiseAND(WORDS * 64 - 1).cast("int")
-
-
-def bitmap(spark, keys: DataFrame) -> Column:
-    """The keys' bitmap of 2^19 bits as one array: it only spares rows, the join decides. A fuller one spares fewer."""
-    at = slot_of(F.col("key"))
-    found = keys.select(at.bitwiseAND(WORDS - 1).alias("word"), F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.shiftright(at, WORD_BITS)).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = spark.range(WORDS).select(F.col("id").cast("int").alias("word")).join(found, "word", "left").select(
+def bitmap(spark, keys: DataFrame, bits: int = WORD_BITS) -> Column:
+    """The keys' bitmap of 2^bits words of 64 bits as one array (low bits of a key name the word, the six above them the bit):
+    it only spares rows, the join decides. A fuller one spares fewer."""
+    found = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).cast("int").alias("word"), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.shiftright("key", bits).bitwiseAND(63).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(1 << bits).select(F.col("id").cast("int").alias("word")).join(found, "word", "left").select(
         F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("x"))
     return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bits")).scalar()
 
@@ -230,28 +230,54 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
         some = sized.where(F.col("n") == size if size < window else F.col("n") >= window)
         wides = F.when(F.col("n") > window, F.array(F.least("n", F.lit(WIDE * window)))).otherwise(F.expr("cast(array() as array<int>)"))
         one = some.select("item_id", (F.col("n") - size + 1).alias("n_windows"), F.explode(
-            windows(F.col("text"), [size], wides=wides if size == window else None, window=window, head=head)).alias("w"))
+            windows(words_of(F.col("text")), [size], wides=wides if size == window else None, window=window, head=head)).alias("w"))
         found = one if found is None else found.union(one)
     if found is None:
-        found = sized.select("item_id", F.col("n").alias("n_windows"), F.explode(windows(F.col("text"), [1])).alias("w"))
+        found = sized.select("item_id", F.col("n").alias("n_windows"), F.explode(windows(words_of(F.col("text")), [1])).alias("w"))
     return found.select("item_id", "n_windows", F.col("w.h").alias("h"), F.col("w.at").alias("item_at"),
                         F.col("w.slots").alias("item_slots"), F.col("w.key").alias("key"), F.col("w.head").alias("head")), sizes, longer
 
 
+def places(docs: DataFrame, items: DataFrame, text: str, head: int, longest: int) -> DataFrame:
+    """doc_id, text_hash, begin, skip and words of the places of documents where a window of the benchmark's may begin: the
+    ``longest`` words from there on, behind the one before them (``skip`` is 0 where there is none)."""
+    chunks = [range(k, min(k + CHUNK, head)) for k in range(0, head, CHUNK)]
+    known = None
+    for chunk in chunks:
+        rows = items.select("head").distinct().select(*[codes_of(F.get("head", F.lit(k))).alias(f"c{k}") for k in chunk])
+        for k in chunk:
+            rows = rows.withColumn(f"c{k}", F.explode(f"c{k}"))
+        rows = rows.select(F.xxhash64(F.lit(chunk[0]), *[f"c{k}" for k in chunk]).alias("key"))
+        known = rows if known is None else known.union(rows)
+    masks = bitmap(docs.sparkSession, known, MASK_BITS)
+    value = docs.select("doc_id", F.xxhash64(f"`{text}`").alias("text_hash"), words_of(F.col(f"`{text}`")).alias("ws")).withColumn(
+        "codes", codes(F.col("ws")))
+    # a row for each word; Spark compiles all of this step, and what leaves it is short
+    rows = value.select("*", F.posexplode_outer("codes").alias("begin", "code"))
+    found = functools.reduce(operator.and_, [is_set(masks, F.xxhash64(F.lit(chunk[0]), *[
+        F.get("codes", F.col("begin") + k) for k in chunk]), MASK_BITS) for chunk in chunks], F.col("begin") <= F.size("codes") - head)
+    skip = F.least(F.col("begin"), F.lit(1))
+    return rows.where(found).select("doc_id", "text_hash", "begin", skip.alias("skip"), F.slice(
+        "ws", F.col("begin") + 1 - skip, skip + longest).alias("words"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, item_id, shift and windows that match at that alignment, with slots (position, item value, document value)."""
     items, sizes, longer = benchmark_windows(benchmark, window)
-    # a head has two bits
-    heads = items.select(F.explode(F.array("head", F.shiftright("head", 32))).alias("key"))
-    bits = F.struct(*[bitmap(docs.sparkSession, x).alias(n) for x, n in ((items.select("key"), "keys"), (heads, "heads"))])
+    head, longest = min([HEAD, *sizes]), max([1, *sizes, *longer])
+    keys = bitmap(docs.sparkSession, items.select("key"))
+    begun = bitmap(docs.sparkSession, items.select(F.xxhash64("head").alias("key")))
+    # exploded, so that no filter on templates moves down into the compiled step
+    parts = places(docs, items, text, head, longest).select("*", F.explode(heads(F.col("words"), head, F.col("skip"))).alias("head"))
+    parts = parts.where(is_set(begun, F.col("head.literal")) | F.col("head.named").isNotNull() & is_set(begun, F.col("head.named")))
     items = items.drop("key", "head")
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    value = docs.select("doc_id", F.col(f"`{text}`").alias("text"), bits.alias("bits"))
     wides = F.array(*[F.lit(n) for n in longer]) if longer else None
-    rows = value.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(
-        windows(F.col("text"), sizes or [1], F.col("bits"), wides, window, max([1, *sizes, *longer]), min([HEAD, *sizes]))).alias("w")
-    ).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"), F.col("w.size").alias("size"))
+    rows = parts.select("doc_id", "text_hash", "begin", F.explode(
+        windows(F.col("words"), sizes or [1], wides, window, head, F.col("skip"))).alias("w")).where(is_set(keys, F.col("w.key")))
+    rows = rows.select("doc_id", "text_hash", F.col("w.h").alias("h"), (F.col("begin") + F.col("w.at")).alias("at"),
+                       F.col("w.slots").alias("slots"), F.col("w.size").alias("size"))
     hits = rows.join(items, "h").select(
         "doc_id", "text_hash", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("shift"),
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(
