@@ -88,3 +88,21 @@ def test_smart_filter_carries_what_it_reads(spark, monkeypatch):
     calls = counted(monkeypatch, selecting.T, "smart_filter")
     base.QUERIES["smart_filter"](spark, SF)
     assert set(calls[0][0].columns) == {"slate", "entity_id", "prop", "game_id", "line", "odds", "edge", "quality"}
+
+
+def test_rows_of_all_types_are_made_once(spark, monkeypatch):
+    """Each type reads what was written once, instead of joining and ranking all rows again; the rows are the same."""
+    def one(rows):
+        seen.append(rows)
+        return rows.groupBy("game_date").agg(F.count("*").alias("n"), F.sum("outcome").alias("wins"), F.round(F.sum("l5"), 6).alias("l5"))
+
+    seen = []
+    want = rows_of(plans._by_type(spark, SF, one))
+    with large(spark, 1 << 20):
+        written, seen = counted(monkeypatch, plans, "staged"), []
+        got = plans._by_type(spark, SF, one)
+        assert len(written) == 1 and len(seen) == len(plans.STATS)
+        for rows in seen:
+            plan = rows._jdf.queryExecution().optimizedPlan().toString()
+            assert "Window" not in plan and "Join" not in plan
+        assert rows_of(got) == want and len(want) > 10
