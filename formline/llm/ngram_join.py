@@ -8,27 +8,31 @@ behind the first pass works on classes, so exact copies cost nothing more.
 * Small sets enumerate subsets. Sets of n and m elements link exactly if they share a subset of c(n, m) elements, c the
   overlap they need. Each small set lists those subsets for every partner size; whoever lists the same one is linked,
   without a check and without pairs: each class links to the smallest class of the other size.
-* Large sets scan inverted lists. Shingles are put in one global order, rare ones first; linked sets share one of their
-  first n - ceil(percent n) + 1, and enough shingles must be left behind the first one they share. Postings without a second
-  class of a size that fits are dropped. Short lists give their pairs. Long lists (groups of near
-  copies, shared passages) test all members against one hub, the member whose rarest shingle is most common; what lies in
-  one group afterwards needs no more tests. The next turn takes four hubs a list, then sixteen, so turns are few. A list
-  ends when all its members are in one group; as soon as the pairs between different groups are few, they are all tested.
-  So every two classes that share a list are tested or already connected: no link between groups is lost, and a list of N
-  near copies costs N tests, not N squared.
+* Large sets scan inverted lists of parts. Sizes are cut into bands, and the sets of a band into p parts by the hashes of their
+  elements. Linked sets have at most d elements apart (``apart``), so p - d of their parts are equal. Each set lists the
+  d + 1 parts that come first in one order of all parts (most elements first, then by hash), so linked sets meet in a list.
+  A list holds the sets that are equal in a whole part, some nine shingles at 90 percent; no table of frequencies is needed
+  and lists do not get longer because shingles that occur once can no longer be told. Sets whose partners may lie in a
+  larger band are listed there too.
+* All members of a list are tested against one hub, its first class in an order of all classes; what lies in one group
+  afterwards needs no more tests. The next turn takes ``MORE`` hubs a list, and all members of lists of at most
+  ``SHORT``; then ``MORE`` times as many, so turns are few. A hub leaves its list, as it has met everybody. A list ends when
+  all its members are in one group; as soon as the pairs between different groups are few, they are all tested. So every
+  two classes that share a list are tested or already connected: no link between groups is lost, and a list of N near copies
+  costs N tests, not N squared. Members of long lists that do not link (a shared passage) cost the square of their number.
 * Before two sets are compared their sketches are: a bit for each of 1,024 slots, set where an odd number of elements falls
   into it. Every element that only one of the sets has turns one bit, so more differing bits than the sets may have elements
-  apart rule the pair out, exactly. Only pairs that are left move their sets.
+  apart rule the pair out, exactly. Within long lists sketches are compared where the list lies. Only pairs that are left
+  move their sets, each made again from one document of its class.
 * The boundary is the largest size up to which listing subsets costs less than lists and checks (``boundary``).
 
-The global order takes a class of frequency from a table of 2^24 bytes. Counts cover all shingles of all documents (32-bit
-remainders in buckets, summed bucket by bucket); where shingles share a slot the larger class holds. Any fixed order gives
-right results, so the table needs no more room as data grows; a fuller table only makes lists longer. It is the only thing
-sent to all tasks besides a bitmap of 2^24 bits that spares tasks sets nobody asks for; an exact join follows it.
+Lists and pairs name classes by 8 of their 16 bytes; groups are made of whole names. A list is found by one shuffle and sort, so
+its keys lie in one task, which keeps none of them in memory beyond Spark's spilled window. A bitmap of 2^24 bits is the
+only thing sent to all tasks; it spares them sets nobody asks for, and an exact join follows it.
 
 Tables that later steps read are written to the shared folder. Groups come from alternating large-star and small-star
-steps, as joins and map-side reduced minima. Before the first and after each step, every task contracts the links it holds
-to stars by union-find, ``FOREST`` classes at a time, so that few links and few steps are left.
+steps, as joins and map-side reduced minima, until all links are stars. Before the first and after each step, every task
+contracts the links it holds to stars by union-find, ``FOREST`` classes at a time, so that few links and few steps are left.
 
 Defined cases: null and empty texts have 0 shingles. Rows with equal doc_id and equal text are one document. A null doc_id
 takes part; component_id is the smallest id that is not null, or null if there is none. Other columns are untouched.
@@ -36,6 +40,7 @@ takes part; component_id is the smallest id that is not null, or null if there i
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import math
@@ -49,16 +54,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.common import fresh
-from formline.session import leaf_bytes, run_dir, staged
+from formline.session import run_dir, staged
 
-SLOT_BITS, MAP_BITS = 24, 24
+MAP_BITS = 24
+BAND = 1.5  # ratio of the ends of a band of sizes
+SPARE = 1.1  # parts of a set for each that is listed by the largest sets of a band
 SHORT = 32  # a list of at most so many classes gives its pairs at once
-FEW = 16  # pairs between groups, for each posting, that are tested at once
-MORE = 4  # a turn has so many times the hubs of the turn before
+FEW = 16  # pairs between groups, for each member of a list, that are all tested in the first turn
+MORE = 32  # a turn has so many times the hubs, and tests so many times the pairs at once, of the turn before
 FOREST = 500_000  # classes a task contracts at once
 SKETCH = 16  # words of 64 bits of a sketch
 PART = 50_000  # rows a task hands over at once; of sets, eight times as many shingles
-FLUSH = 2_000_000  # shingles held before their remainders are passed on
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -133,155 +139,141 @@ def subsets(tokens: np.ndarray, percent: int, most: int) -> Iterator[tuple[int,
 
 # --- passes over the texts ------------------------------------------------------------------------------------------
 
-def first_pass(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """A row for each document (doc_id, text_hash, n, cid), and rows of (bucket, remainders) of all its shingles."""
+def apart(n: int, percent: int) -> int:
+    """At most so many elements lie in only one of two linked sets, one of which has n elements."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
 
-    def blobs(held: list[np.ndarray]):
-        tokens = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
-        ends = np.searchsorted(tokens >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), side="right")
-        parts = np.split((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), ends[:-1])
-        found = [(i, p.tobytes()) for i, p in enumerate(parts) if len(p)]
-        return pa.RecordBatch.from_arrays([
-            pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()),
-            pa.nulls(len(found), pa.binary()), pa.array([x[0] for x in found], pa.int32()),
-            pa.array([x[1] for x in found], pa.binary())], names=names)
 
-    names = ["doc_id", "text_hash", "n", "cid", "bucket", "remainders"]
+@functools.cache
+def band(n: int) -> int:
+    """Sizes are cut into bands whose ends grow by about ``BAND``; band 0 is size 1."""
+    return bisect.bisect_right(ends(n), n) - 1
 
-    def task(batches):
-        held, size = [], 0
-        for batch in batches:
-            n, cids = [], []
-            for value in batch.column(2):
-                tokens = shingles(value.as_py(), k)
-                held.append(tokens)
-                size += len(tokens)
-                n.append(len(tokens))
-                cids.append(class_name(tokens))
-                if size >= FLUSH:
-                    yield blobs(held)
-                    held, size = [], 0
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cids, pa.binary()),
-                pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-        yield blobs(held)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(f"`{text}`"), f"`{text}`")
-    return rows.mapInArrow(task, "doc_id bigint, text_hash bigint, n bigint, cid binary, bucket int, remainders binary")
+@functools.cache
+def ends(n: int) -> tuple[int, ...]:
+    """The least sizes of the bands up to the first that begins above n."""
+    out = [1]
+    while out[-1] <= n:
+        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+    return tuple(out)
+
+
+@functools.cache
+def slices(b: int, percent: int) -> int:
+    """Parts that the sets of a band are cut into, some more than linked sets of it can differ in."""
+    top = 1
+    for _ in range(b + 1):
+        top = max(top + 1, int(top * BAND))
+    return math.ceil(SPARE * (apart(top - 1, percent) + 1))
+
 
+def parts(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the parts of a set under which it is listed, for each band that its larger partners lie in.
 
-def frequency_table(rows: DataFrame, bits: int) -> np.ndarray:
-    """Class of frequency (0: one document, k: 2^k or more) by slot, the first ``SLOT_BITS`` bits of a shingle known here."""
-    low = SLOT_BITS - bits
+    Two linked sets differ in at most d = ``apart`` parts of the p of a band, so p - d are equal. Each lists the d + 1 that
+    come first in one order of all parts (larger ones first), so one equal part is listed by both.
+    """
+    n = len(tokens)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens * K2), dtype=np.uint64)])
+    out = []
+    for b in range(band(n), band(100 * n // percent) + 1):
+        p = slices(b, percent)
+        counts = np.bincount((((tokens >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(np.int64), minlength=p)
+        stop = np.cumsum(counts)
+        keys = mix(sums[stop] - sums[stop - counts] + np.arange(1, p + 1, dtype=np.uint64) * K1 + np.uint64((b + 1) * int(K3) & (1 << 64) - 1))
+        out.append(keys[np.lexsort((keys, -counts))[:apart(n, percent) + 1]])
+    return np.concatenate(out).view(np.int64)
 
-    def count(table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("remainders").to_pylist()])
-        tokens.sort()
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        counts = np.diff(np.append(starts, len(tokens)))
-        more = counts > 1
-        out = np.zeros(1 << low, np.uint8)
-        slots = tokens[starts[more]] >> np.uint32(32 - low)
-        np.maximum.at(out, slots, np.log2(counts[more]).astype(np.uint8))
-        return pa.table({"bucket": table.column("bucket")[:1], "slots": pa.array([out.tobytes()], pa.binary())})
 
-    found = rows.where("bucket is not null").select("bucket", "remainders").groupBy("bucket").applyInArrow(
-        count, "bucket int, slots binary")
-    table = np.zeros((1 << bits, 1 << low), np.uint8)
-    for r in found.toLocalIterator():  # 2^24 bytes altogether
-        table[r.bucket] = np.frombuffer(r.slots, np.uint8)
-    return table.reshape(-1)
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of bits: whether an odd number of elements falls into a slot."""
+    at = (mix(tokens * K3) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
-def slots_of(tokens: np.ndarray, bits: int) -> np.ndarray:
-    low = SLOT_BITS - bits
-    top = tokens >> np.uint64(64 - bits)
-    return ((top << np.uint64(low)) | ((tokens & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - low))).astype(np.int64)
+WORDS = [f"s{i}" for i in range(SKETCH)]
 
 
-def second_pass(docs: DataFrame, text: str, k: int, percent: int, bits: int, table) -> DataFrame:
-    """Postings (partner null; shingles that occur once are left out) and subsets (partner: the size they are for)."""
+def first_pass(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """A row for each document: doc_id, text_hash, n, cid. The first of a class in a task has its part keys, its subsets
+    (two keys and the size they are for) and its sketch as well."""
     most = boundary(percent)
-    names = ["k1", "k2", "cid", "n", "partner", "rare"]
+    lists = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32())]
+    names = ["doc_id", "text_hash", "n", "cid", "parts", "k1", "k2", "partner", *WORDS]
 
     def task(batches):
-        classes, seen = table.value, set()
-
-        def part(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
-
+        seen = set()
         for batch in batches:
             out = []
-            for value in batch.column(0):
-                if len(out) >= PART:
-                    yield part(out)
-                    out = []
+            for value in batch.column(2):
                 tokens = shingles(value.as_py(), k)
-                n = len(tokens)
-                if not n or (cid := class_name(tokens)) in seen:
+                n, cid = len(tokens), class_name(tokens)
+                if not n or cid in seen:
+                    out.append((n, cid, None, None, None, None, [None] * SKETCH))
                     continue
                 seen.add(cid)
-                if n <= most:
-                    out += [(a, b, cid, n, m, 0) for a, b, m in subsets(tokens, percent, most)]
-                if n >= -(-percent * (most + 1) // 100):
-                    freq = classes[slots_of(tokens, bits)]
-                    first = np.lexsort((tokens, freq))[:prefix(n, percent)]
-                    rare = int(freq[first[0]])
-                    often = np.flatnonzero(freq[first] > 0)
-                    here = tokens[first[often]].view(np.int64).tolist()
-                    out += [(t, p, cid, n, None, rare) for t, p in zip(here, often.tolist(), strict=True)]
-            yield part(out)
+                k1, k2, partner = list(zip(*subsets(tokens, percent, most), strict=True)) or [(), (), ()] if n <= most else [()] * 3
+                listed = parts(tokens, percent) if n >= -(-percent * (most + 1) // 100) else ()
+                out.append((n, cid, listed, k1, k2, partner, sketch(tokens).tolist()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.int64()),
+                pa.array([x[1] for x in out], pa.binary()),
+                *[pa.array([x[i + 2] for x in out], t) for i, t in enumerate(lists)],
+                *[pa.array([x[6][i] for x in out], pa.int64()) for i in range(SKETCH)]], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(f"`{text}`"), f"`{text}`")
+    return rows.mapInArrow(task, "doc_id bigint, text_hash bigint, n bigint, cid binary, parts array<bigint>, "
+                           "k1 array<bigint>, k2 array<bigint>, partner array<int>, " + ", ".join(f"{w} bigint" for w in WORDS))
 
-    return docs.select(f"`{text}`").mapInArrow(task, "k1 bigint, k2 bigint, cid binary, n int, partner int, rare int")
 
+def short_name(cid: str = "cid"):
+    """The first 8 bytes of a class name, by which lists and pairs are kept; links have whole names."""
+    return F.conv(F.hex(F.substring(cid, 1, 8)), 16, -10).cast("bigint")
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """``SKETCH`` words of bits: whether an odd number of elements falls into a slot."""
-    at = (mix(tokens * K3) % np.uint64(64 * SKETCH)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
 
+def place(text_hash: str, doc_id: str):
+    """The bit of a document in the bitmap."""
+    return F.xxhash64(text_hash, doc_id).bitwiseAND((1 << MAP_BITS) - 1)
 
-def third_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
-    """cid, size, sketch and shingles of the sets in the bitmap, once a task."""
-    words = [f"s{i}" for i in range(SKETCH)]
+
+def second_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
+    """doc_id, text_hash, short class name and shingles of the documents in the bitmap; repeated rows once a task."""
 
     def task(batches):
         bits, seen = wanted.value, set()
 
         def part(out: list[tuple]) -> pa.RecordBatch:
-            bits_of = np.array([x[2] for x in out], np.int64).reshape(len(out), SKETCH)
-            return pa.RecordBatch.from_arrays([
-                pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int32()),
-                pa.array([x[1] for x in out], pa.list_(pa.int64())),
-                *[pa.array(np.ascontiguousarray(bits_of[:, i])) for i in range(SKETCH)]], names=["cid", "n", "tokens", *words])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)],
+                                              names=["doc_id", "text_hash", "c", "tokens"])
 
         for batch in batches:
             out, size = [], 0
-            for value in batch.column(0):
+            at = batch.column(2).to_numpy()
+            for i in np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).tolist():
                 if size >= 8 * PART:
                     yield part(out)
                     out, size = [], 0
-                tokens = shingles(value.as_py(), k)
-                cid = class_name(tokens)
-                at = int.from_bytes(cid[:4], "big") & (1 << MAP_BITS) - 1
-                if int(bits[at >> 6]) >> (at & 63) & 1 and cid not in seen:
-                    seen.add(cid)
-                    out.append((cid, tokens.view(np.int64), sketch(tokens)))
+                who = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                tokens = shingles(batch.column(3)[i].as_py(), k)
+                name = int.from_bytes(class_name(tokens)[:8], "big", signed=True)
+                if (*who, name) not in seen:
+                    seen.add((*who, name))
+                    out.append((*who, name, tokens.view(np.int64)))
                     size += len(tokens)
             yield part(out)
 
-    return docs.select(f"`{text}`").mapInArrow(
-        task, "cid binary, n int, tokens array<bigint>, " + ", ".join(f"{w} bigint" for w in words))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), f"`{text}`")
+    return rows.select("doc_id", "text_hash", place("text_hash", "doc_id"), f"`{text}`").mapInArrow(
+        task, "doc_id bigint, text_hash bigint, c bigint, tokens array<bigint>")
 
 
-def bitmap(cids: DataFrame) -> np.ndarray:
-    """2^24 bits, those of the given classes set; or-ed together by Spark."""
-    at = F.conv(F.hex(F.substring("cid", 1, 4)), 16, 10).cast("bigint").bitwiseAND((1 << MAP_BITS) - 1)
-    words = cids.select(
-        F.shiftright(at, 6).alias("word"),
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int")).alias("bit"),
+def bitmap(at) -> np.ndarray:
+    """2^24 bits, those of the places ``at`` set; or-ed together by Spark."""
+    words = at.select(
+        F.shiftright("at", 6).alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63).cast("int")).alias("bit"),
     ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << MAP_BITS - 6, np.uint64)
     for r in words.toLocalIterator():
@@ -305,33 +297,41 @@ def subset_links(subsets_: DataFrame) -> DataFrame:
     return rows.join(heads, keys).select(F.col("cid").alias("a"), other.alias("b")).where("a <> b").distinct()
 
 
-def fits(x: str, y: str, percent: int, most: int):
-    """Whether two postings of a list can be the first common shingle of linked sets that are not both small: the sizes
-    must be near, and enough shingles must be left from both positions on."""
-    n, m = f"{x}.n", f"{y}.n"
-    return F.expr(
-        f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and greatest({n}, {m}) > {most} and "
-        f"{100 + percent} * least({n} - {x}.k2, {m} - {y}.k2) >= {percent} * ({n} + {m})")
+def fits(n: str, m: str, percent: int, most: int):
+    """Whether two sizes can be those of linked sets that are not both small."""
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and greatest({n}, {m}) > {most}")
 
 
-def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out. Linked sets have at most n + m - 2 * overlap elements apart."""
-    words = [f"s{i}" for i in range(SKETCH)]
-    x = sets.select(F.col("cid").alias("a"), F.col("n").alias("xn"), *[F.col(w).alias(f"x{w}") for w in words])
-    y = sets.select(F.col("cid").alias("b"), F.col("n").alias("yn"), *[F.col(w).alias(f"y{w}") for w in words])
-    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in words])
-    return pairs.join(x, "a").join(y, "b").where(
-        (F.col("xn") + F.col("yn") - apart) * (100 + percent) >= 2 * percent * (F.col("xn") + F.col("yn"))).select("a", "b")
+def close(n: str, m: str, x: str, y: str, percent: int):
+    """Whether two sketches, columns that begin with x and y, do not rule a link out. Linked sets have at most
+    n + m - 2 * overlap elements apart."""
+    differ = functools.reduce(operator.add, [F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in WORDS])
+    return (F.col(n) + F.col(m) - differ) * (100 + percent) >= 2 * percent * (F.col(n) + F.col(m))
 
 
-def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = near(pairs, sets, percent)
-    x, y = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(
-        F.col("cid").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(
-        both * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+    x = sets.select(F.col("cid").alias("a"), F.col("n").alias("xn"), *[F.col(w).alias(f"x{w}") for w in WORDS])
+    y = sets.select(F.col("cid").alias("b"), F.col("n").alias("yn"), *[F.col(w).alias(f"y{w}") for w in WORDS])
+    return pairs.join(x, "a").join(y, "b").where(close("xn", "yn", "x", "y", percent)).select("a", "b")
+
+
+def check(pairs: DataFrame, classes: DataFrame, pass_over, percent: int, folder: str) -> DataFrame:
+    """The pairs of whole class names (a, b) that link, of the pairs (a, b) of short names. The sets of each class are made
+    from one document, moved once to meet the pairs, and once more with them."""
+    pairs = staged(pairs, f"{folder}-near")
+    if pairs.isEmpty():
+        return pairs.select(F.lit(b"").alias("a"), F.lit(b"").alias("b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    asked = staged(classes.join(ids, "c", "left_semi").select("c", "cid", "rep"), f"{folder}-asked")
+    found = pass_over(bitmap(asked.select(place("rep.text_hash", "rep.doc_id").alias("at")))).alias("t")
+    sets = found.join(asked.hint("merge"), "c").where(
+        "t.text_hash = rep.text_hash and t.doc_id <=> rep.doc_id").select("c", "cid", "tokens")
+    x = sets.select(F.col("c").alias("a"), F.col("cid").alias("xc"), F.col("tokens").alias("x")).hint("merge")
+    y = sets.select(F.col("c").alias("b"), F.col("cid").alias("yc"), F.col("tokens").alias("y")).hint("merge")
+    both, most = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    links = pairs.join(y, "b").join(x, "a").where(both * (100 + percent) >= percent * most)
+    return staged(links.select(F.col("xc").alias("a"), F.col("yc").alias("b")), f"{folder}-links")
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -363,13 +363,18 @@ def contract(edges: DataFrame) -> DataFrame:
 
 def groups(links: DataFrame, folder: str) -> DataFrame:
     """(cid, label): every class with a link and the smallest class of its group."""
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    def settled(edges: DataFrame) -> bool:
+        """Whether every class that has a smaller one has one only, which has none."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")),
+                                              F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where(
+            "ups > 1 or (ups > 0 and least = 0)").isEmpty()
+
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = staged(contract(links), f"{folder}/edges")
-    before = state(edges)
     for step in itertools.count():
+        if settled(edges):
+            break
         # large star: the larger neighbours of u go to its smallest
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -379,79 +384,81 @@ def groups(links: DataFrame, folder: str) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(contract(small), f"{folder}/star-{step}")
-        now = state(edges)
-        if now == before:  # stars stay as they are
-            break
-        before = now
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).union(
         edges.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
-def list_groups(postings: DataFrame, known: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
-    """(cid, label) of the groups that ``known`` links and those found by lists make."""
-    most, posting = boundary(percent), ["k1", "k2", "cid", "n", "rare"]
-    # sizes that can link lie in one band or in neighbours; a posting stays if its band and a neighbour hold another class
-    # (the bands are a little wider than the sizes need, so that rounding parts none)
-    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n")
-    banded = postings.withColumn("band", F.explode(F.array(band, band + 1)))
-    ends = banded.groupBy("k1", "band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("k1", "band")
-    lists = staged(banded.join(ends, ["k1", "band"], "left_semi").select(*posting).distinct(), f"{folder}/lists")
-    sets = staged(sets_of(lists.select("cid")), f"{folder}/sets")
-    short = lists.groupBy("k1").count().where(f"count <= {SHORT}").select("k1")
-
-    def pairs_of(rows: DataFrame, extra: str = "true") -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        return x.join(y, F.expr("x.k1 = y.k1 and x.cid < y.cid") & fits("x", "y", percent, most) & F.expr(extra)).select(
-            F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-
-    def grown(new: DataFrame, name: str) -> DataFrame:
-        """The groups of ``label`` and new links; known groups enter as stars."""
+def list_groups(rows: DataFrame, classes: DataFrame, known: DataFrame, pass_over, percent: int, folder: str) -> DataFrame:
+    """(cid, label) of the groups that ``known`` links and those found by lists make. ``rows``: n, c and parts of classes."""
+    most = boundary(percent)
+    # the first class of a list is its first hub; lists of one class end here
+    in_order = Window.partitionBy("k1").orderBy("c")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    lists = rows.select(F.explode("parts").alias("k1"), "c", F.col("n").cast("int").alias("n")).withColumns({
+        "hub": F.first("c").over(so_far), "m": F.first("n").over(so_far), "before": F.lag("c").over(in_order)})
+    lists = staged(lists.where("c <> hub and c <> before").drop("before"), f"{folder}/lists")
+
+    def ordered(rows: DataFrame, other: str) -> DataFrame:
+        return rows.select(F.least("c", other).alias("a"), F.greatest("c", other).alias("b")).distinct()
+
+    def grown(label: DataFrame, tests: DataFrame, name: str) -> DataFrame:
+        """The groups of ``label`` and the new links; known groups enter as stars."""
+        new = check(tests, classes, pass_over, percent, f"{folder}/{name}")
         stars = label.where("cid <> label").select(F.col("cid").alias("a"), F.col("label").alias("b"))
-        return groups(stars.union(new), f"{folder}/{name}")
-
-    label = groups(known.union(check(pairs_of(lists.join(short, "k1", "left_semi")), sets, percent)), f"{folder}/groups")
-    left = lists.join(short, "k1", "left_anti")
-    for turn in itertools.count():
-        left = left.select(*posting).join(label, "cid", "left").withColumn(
-            "label", F.coalesce("label", "cid"))
+        return label if new.isEmpty() else groups(stars.union(new), f"{folder}/{name}-groups")
+
+    by_hub = ordered(lists.where(fits("n", "m", percent, most)), "hub")
+    by_hub = near(by_hub, classes.select(F.col("c").alias("cid"), "n", *WORDS).hint("merge"), percent)
+    first = check(by_hub, classes, pass_over, percent, f"{folder}/first")
+    label = groups(known.union(first), f"{folder}/first-groups")
+    left = lists.select("k1", "c", "n")
+    for turn in itertools.count(1):
+        left = left.join(label.select(short_name().alias("c"), "label"), "c", "left").withColumn(
+            "label", F.coalesce("label", F.unhex(F.hex("c"))))
         open_ = left.groupBy("k1").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("k1")
-        left = staged(left.join(open_, "k1", "left_semi"), f"{folder}/left-{turn}")
+        left = left.join(open_, "k1", "left_semi")
+        if turn == 1:
+            left = left.join(classes.select("c", *WORDS), "c")
+        left = staged(left.select("k1", "c", "n", "label", *WORDS), f"{folder}/left-{turn}")
         # pairs between groups, list by list
         of_group = left.groupBy("k1", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        of_list = of_group.groupBy("k1").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        rows, pairs = left.count(), of_list.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not rows:
+        of_list = of_group.groupBy("k1").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+                                             F.sum("n").alias("rows"))
+        pairs, held = of_list.agg(F.sum("pairs"), F.sum("rows")).first()
+        if not held:
+            return label
+        whole = pairs <= FEW * MORE ** (turn - 1) * held
+        nth, size = F.row_number().over(Window.partitionBy("k1").orderBy("c")), F.count(F.lit(1)).over(Window.partitionBy("k1"))
+        hubs = left if whole else left.withColumns({"nth": nth, "size": size}).where(
+            (F.col("nth") <= MORE ** turn) | (F.col("size") <= SHORT))
+        hubs = hubs.select("k1", F.col("c").alias("hub"), F.col("n").alias("m"), F.col("label").alias("of"),
+                           *[F.col(w).alias(f"h{w}") for w in WORDS])
+        tests = ordered(left.join(hubs, "k1").where(
+            F.expr("label <> of") & fits("n", "m", percent, most) & close("n", "m", "", "h", percent)), "hub")
+        label = grown(label, tests, f"turn-{turn}")
+        if whole:
             return label
-        if pairs <= FEW * rows:
-            return grown(check(pairs_of(left, "x.label <> y.label"), sets, percent), "groups-last")
-        nth = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("rare"), "cid"))
-        hubs = left.withColumn("nth", nth).where(F.col("nth") <= MORE ** turn).select(
-            "k1", F.struct("k2", "cid", "n", "label").alias("hub"))
-        tests = left.alias("own").join(hubs, "k1").where(
-            (F.col("label") != F.col("hub.label")) & fits("own", "hub", percent, most)
-        ).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
-        label = grown(check(tests, sets, percent), f"groups-{turn}")
         # a hub has met everybody of its list
-        left = left.join(hubs, (left["k1"] == hubs["k1"]) & (left["cid"] == hubs["hub.cid"]), "left_anti").select(*posting)
+        left = left.join(hubs.select("k1", F.col("hub").alias("c")), ["k1", "c"], "left_anti").drop("label")
 
 
 def labelled(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, text_hash, n, cid and label: documents (repeated rows once or more) and the class that names their group."""
     spark = docs.sparkSession
     folder = run_dir(spark, "jaccard")
-    bits = min(16, max(4, math.ceil(math.log2(max(1, leaf_bytes(docs) / (16 << 20))))))
-    rows = staged(first_pass(docs, text, k, bits), f"{folder}/first")
-    table = spark.sparkContext.broadcast(frequency_table(rows, bits))
-    keys = staged(second_pass(docs, text, k, percent, bits, table), f"{folder}/keys")
-
-    def sets_of(cids: DataFrame) -> DataFrame:
-        asked = cids.distinct()
-        wanted = spark.sparkContext.broadcast(bitmap(asked))
-        return third_pass(docs, text, k, wanted).join(asked, "cid", "left_semi").dropDuplicates(["cid"])
-
-    small = subset_links(keys.where("partner is not null"))
-    label = list_groups(keys.where("partner is null"), small, sets_of, percent, folder)
-    documents = rows.where("bucket is null").select("doc_id", "text_hash", "n", "cid")
+    rows = staged(first_pass(docs, text, k, percent).withColumn("c", short_name()), f"{folder}/first")
+    of_task = rows.where("parts is not null")
+    one = F.min(F.struct("text_hash", "doc_id", F.col("n").cast("int").alias("n"), *WORDS)).alias("rep")
+    classes = staged(of_task.groupBy("c", "cid").agg(one).select(
+        "c", "cid", "rep.n", *[f"rep.{w}" for w in WORDS], F.struct("rep.text_hash", "rep.doc_id").alias("rep")), f"{folder}/classes")
+
+    def pass_over(bits: np.ndarray) -> DataFrame:
+        return second_pass(docs, text, k, spark.sparkContext.broadcast(bits))
+
+    small = subset_links(of_task.select(F.explode(F.arrays_zip("k1", "k2", "partner")).alias("s"), "n", "cid").select(
+        "s.*", F.col("n").cast("int").alias("n"), "cid"))
+    label = list_groups(of_task, classes, small, pass_over, percent, folder)
+    documents = rows.select("doc_id", "text_hash", "n", "cid")
     return documents.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 

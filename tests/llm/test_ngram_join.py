@@ -179,3 +179,23 @@ def test_contracted_links_join_the_same_classes(spark, monkeypatch, tmp_path, fo
     links = spark.createDataFrame([(name(a), name(b)) for a, b in pairs if a != b], "a binary, b binary").repartition(5)
     got = {int(bytes(r.cid)): int(bytes(r.label)) for r in nj.groups(links, f"{tmp_path}/g").collect()}
     assert got == {i: least[i] for p in pairs if p[0] != p[1] for i in p}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_list_an_equal_part(percent):
+    """Linked sets share a key at every size and few keys are listed; sets with nothing in common hardly ever meet."""
+    rng = np.random.default_rng(percent)
+    links, met = 0, 0
+    for _ in range(400):
+        n = int(rng.integers(10, 700))
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        gone, new = rng.integers(0, 2 + n * (100 - percent) // 100, 2)
+        b = np.concatenate([a[gone:], rng.integers(0, 1 << 64, new, np.uint64)])
+        c = rng.integers(0, 1 << 64, n, np.uint64)
+        ka, kb, kc = (set(nj.parts(np.sort(x), percent).tolist()) for x in (a, b, c))
+        assert len(ka) <= 2 * (nj.apart(n, percent) + 1)
+        if 100 * (n - gone) >= percent * (n + new):
+            links += 1
+            assert ka & kb
+        met += n > 100 and bool(ka & kc)
+    assert links > 50 and met < 10
