@@ -31,8 +31,9 @@ its keys lie in one task, which keeps none of them in memory beyond Spark's spil
 only thing sent to all tasks; it spares them sets nobody asks for, and an exact join follows it.
 
 Tables that later steps read are written to the shared folder. Groups come from alternating large-star and small-star
-steps, as joins and map-side reduced minima, until all links are stars. Before the first and after each step, every task
-contracts the links it holds to stars by union-find, ``FOREST`` classes at a time, so that few links and few steps are left.
+steps, as joins and map-side reduced minima, until all links are stars. Before the first and after each step, the links are
+dealt to a task for each ``LINKS`` of them, which contracts what it holds to stars by union-find, ``FOREST`` classes at a time,
+so that few links and few steps are left: none where one task holds all links.
 
 Defined cases: null and empty texts have 0 shingles. Rows with equal doc_id and equal text are one document. A null doc_id
 takes part; component_id is the smallest id that is not null, or null if there is none. Other columns are untouched.
@@ -53,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.llm.common import fresh
+from formline.llm.common import fresh, release
 from formline.session import run_dir, staged
 
 MAP_BITS = 24
@@ -63,6 +64,7 @@ SHORT = 32  # a list of at most so many classes gives its pairs at once
 FEW = 16  # pairs between groups, for each member of a list, that are all tested in the first turn
 MORE = 32  # a turn has so many times the hubs, and tests so many times the pairs at once, of the turn before
 FOREST = 500_000  # classes a task contracts at once
+LINKS = 50_000  # links that are worth a task of their own when they are contracted
 SKETCH = 16  # words of 64 bits of a sketch
 PART = 50_000  # rows a task hands over at once; of sets, eight times as many shingles
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -221,6 +223,7 @@ def first_pass(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
                 pa.array([x[1] for x in out], pa.binary()),
                 *[pa.array([x[i + 2] for x in out], t) for i, t in enumerate(lists)],
                 *[pa.array([x[6][i] for x in out], pa.int64()) for i in range(SKETCH)]], names=names)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(f"`{text}`"), f"`{text}`")
     return rows.mapInArrow(task, "doc_id bigint, text_hash bigint, n bigint, cid binary, parts array<bigint>, "
@@ -263,6 +266,7 @@ def second_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
                     out.append((*who, name, tokens.view(np.int64)))
                     size += len(tokens)
             yield part(out)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), f"`{text}`")
     return rows.select("doc_id", "text_hash", place("text_hash", "doc_id"), f"`{text}`").mapInArrow(
@@ -275,9 +279,9 @@ def bitmap(at) -> np.ndarray:
         F.shiftright("at", 6).alias("word"),
         F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63).cast("int")).alias("bit"),
     ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()  # 2^18 rows at most, by one job
     out = np.zeros(1 << MAP_BITS - 6, np.uint64)
-    for r in words.toLocalIterator():
-        out[r.word] = np.uint64(r.bits & (1 << 64) - 1)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -370,10 +374,16 @@ def groups(links: DataFrame, folder: str) -> DataFrame:
         return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where(
             "ups > 1 or (ups > 0 and least = 0)").isEmpty()
 
+    def contracted(links: DataFrame, most: int, path: str) -> tuple[DataFrame, bool]:
+        """``links``, ``most`` at most, contracted by few tasks, and whether one task had them all."""
+        tasks = -(-most // LINKS)
+        whole = tasks <= 1 and most <= FOREST // 2
+        return staged(contract(links.coalesce(max(tasks, 1))), path), whole
+
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = staged(contract(links), f"{folder}/edges")
+    edges, done = contracted(links, links.count(), f"{folder}/edges")
     for step in itertools.count():
-        if settled(edges):
+        if done or settled(edges):
             break
         # large star: the larger neighbours of u go to its smallest
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -383,7 +393,8 @@ def groups(links: DataFrame, folder: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(contract(small), f"{folder}/star-{step}")
+        # at most two links for each one there was
+        edges, done = contracted(small, 2 * edges.count(), f"{folder}/star-{step}")
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).union(
         edges.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
@@ -455,8 +466,8 @@ def labelled(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 90)
     def pass_over(bits: np.ndarray) -> DataFrame:
         return second_pass(docs, text, k, spark.sparkContext.broadcast(bits))
 
-    small = subset_links(of_task.select(F.explode(F.arrays_zip("k1", "k2", "partner")).alias("s"), "n", "cid").select(
-        "s.*", F.col("n").cast("int").alias("n"), "cid"))
+    small = staged(subset_links(of_task.select(F.explode(F.arrays_zip("k1", "k2", "partner")).alias("s"), "n", "cid").select(
+        "s.*", F.col("n").cast("int").alias("n"), "cid")), f"{folder}/small")
     label = list_groups(of_task, classes, small, pass_over, percent, folder)
     documents = rows.select("doc_id", "text_hash", "n", "cid")
     return documents.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))

@@ -40,6 +40,7 @@ FIELDS = StructType([
     StructField("round_trip", BooleanType()), StructField("parity", BooleanType()),
 ])
 SLICE = 2_000_000  # characters encoded at once
+LEARN = 8_192  # words encoded at once: the libraries hold far more than the ids of each
 
 
 def read_model(path: str):
@@ -116,13 +117,14 @@ class Codec:
             new = sorted(words)
         # an empty text has no ids, so the lone marker is written out
         new = [w for w in new if w]
-        ids, same = self.encode_whole(new)
-        for word, i, ok, back in zip(new, ids, same, self.decode(ids), strict=True):
-            self.words[word] = np.array(i, np.int32).tobytes()
-            if not ok:
-                self.odd.add(word)
-            if back != word:
-                self.lossy.add(word)
+        for some in (new[k:k + LEARN] for k in range(0, len(new), LEARN)):
+            ids, same = self.encode_whole(some)
+            for word, i, ok, back in zip(some, ids, same, self.decode(ids), strict=True):
+                self.words[word] = np.array(i, np.int32).tobytes()
+                if not ok:
+                    self.odd.add(word)
+                if back != word:
+                    self.lossy.add(word)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Ids of each text, whether sentencepiece agrees, and whether they decode to the text.

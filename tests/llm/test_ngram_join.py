@@ -199,3 +199,48 @@ def test_linked_sets_list_an_equal_part(percent):
             assert ka & kb
         met += n > 100 and bool(ka & kc)
     assert links > 50 and met < 10
+
+
+def jobs_of(spark, step):
+    """The result of ``step`` and the number of Spark jobs it ran."""
+    sc = spark.sparkContext
+    group = f"jobs-{random.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        return step(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_bitmap_takes_few_jobs(spark):
+    """However many partitions the shuffle has, its words come by one job, not by one for each partition."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    at = [0, 5, 63, 64, 5, (1 << nj.MAP_BITS) - 1, 12345, 12345 + 64]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        bits, jobs = jobs_of(spark, lambda: nj.bitmap(spark.createDataFrame([(x,) for x in at], "at bigint")))
+        none = nj.bitmap(spark.createDataFrame([], "at bigint"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs <= 5
+    assert not none.any() and len(none) == len(bits) == 1 << nj.MAP_BITS - 6
+    assert np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")).tolist() == sorted(set(at))
+
+
+@pytest.mark.parametrize("links_a_task", [None, 7])
+def test_few_links_are_contracted_at_once(spark, tmp_path, monkeypatch, links_a_task):
+    """Links in many partitions: few of them meet in one task and need no star steps; dealt to several they give the same."""
+    if links_a_task:
+        monkeypatch.setattr(nj, "LINKS", links_a_task)
+    rng = random.Random(4)
+    name = lambda i: i.to_bytes(16, "big")
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (200, 201)]
+    rng.shuffle(pairs)
+    pairs = [p[::rng.choice((1, -1))] for p in pairs]
+    links = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in pairs], "a binary, b binary").repartition(20)
+    got = [(int.from_bytes(r.cid, "big"), int.from_bytes(r.label, "big")) for r in nj.groups(links, str(tmp_path)).collect()]
+    want = [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 130)] + [(200, 200), (201, 200)]
+    assert sorted(got) == want
+    assert any(p.name.startswith("star") for p in tmp_path.iterdir()) == bool(links_a_task)

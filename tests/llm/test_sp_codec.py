@@ -81,3 +81,15 @@ def test_round_trip_by_words_is_that_of_whole_texts(texts):
     ids, parity, back = machine.encode(texts)
     assert back.tolist() == [a == b for a, b in zip(machine.decode([x.tolist() for x in ids]), texts, strict=True)]
     assert parity.all()
+
+
+def test_new_words_are_encoded_in_parts(monkeypatch):
+    """A text of many words that were not seen before does not hold the libraries' results of all of them at once."""
+    monkeypatch.setattr(sp_codec, "LEARN", 50)
+    machine, most = sp_codec.Codec(PATH), []
+    whole = machine.encode_whole
+    monkeypatch.setattr(machine, "encode_whole", lambda texts: (most.append(len(texts)), whole(texts))[1])
+    text = " ".join(f"w{i}x" for i in range(333)) + " a\x00b"
+    ids, parity, back = machine.encode([text, "w3x new", None])
+    assert [x.tolist() for x in ids] == [LIB.encode(text), LIB.encode("w3x new"), []] and parity.all() and back.all()
+    assert max(most) <= 50 and sum(most) == 335
