@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,9 +20,18 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def release() -> None:
-    """Gives back what Arrow keeps of freed batches: a worker stays alive after its task, beside those of other steps."""
-    pa.default_memory_pool().release_unused()
+def trimmed(task: Callable) -> Callable:
+    """``task`` over Arrow batches, after which Arrow and the C library give back the memory they keep of what was freed: a
+    worker stays alive after its task, beside what other steps need."""
+
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
 
 
 def add_struct(df: DataFrame, column: str, name: str, fields: StructType, fn: Callable[[list], pa.Array]) -> DataFrame:
@@ -32,9 +42,8 @@ def add_struct(df: DataFrame, column: str, name: str, fields: StructType, fn: Ca
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, fn(batch.column(at).to_pylist())], names=[*batch.schema.names, name])
-        release()
 
-    return df.mapInArrow(task, StructType([*df.schema.fields, StructField(name, fields)]))
+    return df.mapInArrow(trimmed(task), StructType([*df.schema.fields, StructField(name, fields)]))
 
 
 def without(df: DataFrame, names) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import fresh
+from formline.llm.common import fresh, trimmed
 from formline.session import run_dir, staged
 
 MIN_WORDS = 50
@@ -94,7 +94,7 @@ def lines_of(docs: DataFrame, text: str, least: int) -> DataFrame:
             ], names=["doc_id", "text_hash", "hashes", "words", "marks"])
 
     some = docs.where(f"`{text}` is not null and `{text}` <> ''")
-    return some.select("doc_id", F.xxhash64(f"`{text}`").alias("text_hash"), f"`{text}`").mapInArrow(task, LINES)
+    return some.select("doc_id", F.xxhash64(f"`{text}`").alias("text_hash"), f"`{text}`").mapInArrow(trimmed(task), LINES)
 
 
 def runs_through(doc, key, hashes: np.ndarray, words: np.ndarray, at: np.ndarray, least: int) -> list[tuple]:
@@ -123,7 +123,7 @@ def extend(positions: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
                                              names=["doc_id", "text_hash", "begin", "end", "h1", "h2"])
 
-    return positions.select("doc_id", "text_hash", "hashes", "words", "at").mapInArrow(task, RUNS)
+    return positions.select("doc_id", "text_hash", "hashes", "words", "at").mapInArrow(trimmed(task), RUNS)
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
@@ -167,7 +167,7 @@ def document_cuts(runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], spans], schema=batch.schema)
 
     grouped = runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    return grouped.mapInArrow(task, grouped.schema)
+    return grouped.mapInArrow(trimmed(task), grouped.schema)
 
 
 def dedup(docs: DataFrame, text: str = "text", least: int = MIN_WORDS, deleted: str | None = None) -> DataFrame:

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.llm.common import fresh, release
+from formline.llm.common import fresh, trimmed
 from formline.session import run_dir, staged
 
 MAP_BITS = 24
@@ -223,10 +223,9 @@ def first_pass(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
                 pa.array([x[1] for x in out], pa.binary()),
                 *[pa.array([x[i + 2] for x in out], t) for i, t in enumerate(lists)],
                 *[pa.array([x[6][i] for x in out], pa.int64()) for i in range(SKETCH)]], names=names)
-        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(f"`{text}`"), f"`{text}`")
-    return rows.mapInArrow(task, "doc_id bigint, text_hash bigint, n bigint, cid binary, parts array<bigint>, "
+    return rows.mapInArrow(trimmed(task), "doc_id bigint, text_hash bigint, n bigint, cid binary, parts array<bigint>, "
                            "k1 array<bigint>, k2 array<bigint>, partner array<int>, " + ", ".join(f"{w} bigint" for w in WORDS))
 
 
@@ -266,11 +265,10 @@ def second_pass(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
                     out.append((*who, name, tokens.view(np.int64)))
                     size += len(tokens)
             yield part(out)
-        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), f"`{text}`")
     return rows.select("doc_id", "text_hash", place("text_hash", "doc_id"), f"`{text}`").mapInArrow(
-        task, "doc_id bigint, text_hash bigint, c bigint, tokens array<bigint>")
+        trimmed(task), "doc_id bigint, text_hash bigint, c bigint, tokens array<bigint>")
 
 
 def bitmap(at) -> np.ndarray:
@@ -362,7 +360,7 @@ def contract(edges: DataFrame) -> DataFrame:
                 parent.clear()
         yield stars()
 
-    return edges.select("u", "v").mapInArrow(task, "u binary, v binary")
+    return edges.select("u", "v").mapInArrow(trimmed(task), "u binary, v binary")
 
 
 def groups(links: DataFrame, folder: str) -> DataFrame:
@@ -450,7 +448,7 @@ def list_groups(rows: DataFrame, classes: DataFrame, known: DataFrame, pass_over
         if whole:
             return label
         # a hub has met everybody of its list
-        left = left.join(hubs.select("k1", F.col("hub").alias("c")), ["k1", "c"], "left_anti").drop("label")
+        left = left.join(hubs.select("k1", F.col("hub").alias("c")).hint("merge"), ["k1", "c"], "left_anti").drop("label")
 
 
 def labelled(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:

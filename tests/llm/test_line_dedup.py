@@ -92,3 +92,29 @@ def test_every_window_has_its_leftmost_minimum(lines, least):
     begins = line_dedup.backward_begins(words, least)
     for i in range(len(lines)):
         assert begins[i] == next((b for b in range(i, -1, -1) if words[b:i + 1].sum() >= least), -1)
+
+
+def test_memory_is_given_back_after_the_task(monkeypatch):
+    """What a task holds ends before the allocators are asked to give memory back; its batches pass as they are."""
+    import weakref
+
+    import pyarrow as pa
+
+    from formline.llm import common
+
+    class Held:
+        pass
+
+    alive, seen = [], []
+
+    def task(batches):
+        held = Held()
+        alive.append(weakref.ref(held))
+        yield from batches
+
+    class Pool:
+        def release_unused(self):
+            seen.append(alive[0]() is None)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert list(common.trimmed(task)(iter([1, 2, 3]))) == [1, 2, 3] and seen == [True]
