@@ -104,7 +104,7 @@ def _by_type(spark, sf, one):
 @query("time_cv")
 def time_cv(spark, sf):
     blocks = _by_type(spark, sf, lambda rows: _blocks(rows, FOLDS))
-    return M.time_cv(blocks, FEATURES, "outcome", FOLDS, LIGHT, prop="prop", types=list(STATS))
+    return M.time_cv(blocks, FEATURES, "outcome", FOLDS, prop="prop", types=list(STATS))
 
 
 @query("player_holdout_cv")

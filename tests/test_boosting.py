@@ -141,7 +141,7 @@ def test_bins_of_many_rows_stay_near_their_ranks():
     assert B.cut(values, weights[:, 0], 4)[1].tolist() == [2.0]
 
 
-@pytest.mark.parametrize("name", ["player_holdout_cv"])
+@pytest.mark.parametrize("name", ["player_holdout_cv", "time_cv"])
 def test_queries_fit_all_rounds_of_all_models(spark, monkeypatch, name):
     asked, fit = [], M.out_of_fold
 
